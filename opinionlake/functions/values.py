@@ -13,8 +13,9 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}$"
 
 
-def na_to_null(value: Column, tokens: Sequence[str] = NA_TOKENS) -> Column:
-    return F.when(~value.isin(*tokens), value)
+def na_to_null(column: str, tokens: Sequence[str] = NA_TOKENS) -> Column:
+    listed = ", ".join("'" + t.replace("'", "\\'") + "'" for t in tokens)
+    return F.expr(f"CASE WHEN `{column}` NOT IN ({listed}) THEN `{column}` END")
 
 
 def to_number(value: Column) -> Column:

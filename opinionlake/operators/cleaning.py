@@ -23,7 +23,7 @@ def require_columns(df: DataFrame, columns: tuple[str, ...] = RAW_COLUMNS) -> Da
 
 
 def null_tokens(df: DataFrame, columns: tuple[str, ...] = RAW_COLUMNS) -> DataFrame:
-    return df.withColumns({c: na_to_null(F.col(c)) for c in columns})
+    return df.withColumns({c: na_to_null(c) for c in columns})
 
 
 def drop_missing(df: DataFrame, columns: tuple[str, ...] = RAW_COLUMNS) -> DataFrame:
@@ -55,10 +55,8 @@ def not_future(date: Column, as_of: dt.datetime, profile: Profile) -> Column:
 def typed(df: DataFrame) -> DataFrame:
     """Missing tokens to NULL, rating to double, date to timestamp."""
     require_columns(df)
-    return (
-        null_tokens(df)
-        .withColumn("rating", to_number(F.col("rating")))
-        .withColumn("date", to_moment(F.col("date")))
+    return null_tokens(df).withColumns(
+        {"rating": to_number(F.col("rating")), "date": to_moment(F.col("date"))}
     )
 
 
@@ -104,11 +102,11 @@ def preprocess(df: DataFrame, profile: Profile, as_of: dt.datetime, order: str =
     Cheap typed filters come before the text work. Only a profile with
     duplicate keys shuffles, and only one with a length quantile reads twice.
     """
-    rows = drop_missing(typed(df))
-    rows = rows.where(rating_between(F.col("rating"), profile))
-    rows = rows.where(not_future(F.col("date"), as_of, profile))
+    inside = rating_between(F.col("rating"), profile) & not_future(F.col("date"), as_of, profile)
+    rows = drop_missing(typed(df)).where(inside)
     rows = rows.withColumn("content_clean", once(clean_text(F.col("content"), profile)))
-    rows = rows.withColumn("content_len", char_len(F.col("content_clean")))
+    text = F.col("content_clean")
+    rows = rows.withColumns({"content_len": char_len(text), "word_len": word_len(text)})
     rows = rows.where(F.col("content_len") >= max(profile.min_chars, 1))
     if profile.dedupe:
         rows = first_by(rows, list(profile.dedupe), [F.col(order)])
@@ -116,7 +114,6 @@ def preprocess(df: DataFrame, profile: Profile, as_of: dt.datetime, order: str =
         rows = cap_quantile(rows, "content_len", profile.length_quantile)
     if profile.max_chars is not None:
         rows = rows.where(F.col("content_len") <= profile.max_chars)
-    rows = rows.withColumn("word_len", word_len(F.col("content_clean")))
     if profile.min_words:
         rows = rows.where(F.col("word_len") >= profile.min_words)
     return rows

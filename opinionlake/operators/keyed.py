@@ -13,7 +13,7 @@ from opinionlake.operators.ranking import first_by
 
 def with_raw_id(df: DataFrame) -> DataFrame:
     """Raw rows as text with their content key ``raw_id``."""
-    plain = df.withColumns({c: na_to_null(F.col(c)) for c in ("rating", "date", "content")})
+    plain = df.withColumns({c: na_to_null(c) for c in ("rating", "date", "content")})
     key = content_key(F.col("site"), F.col("date"), rating_text(F.col("rating")), F.col("content"))
     return plain.withColumn("raw_id", key)
 
@@ -61,7 +61,7 @@ def merge_stats(target: DataFrame, batch: DataFrame, key: str, by: Sequence[str]
 
 
 def append_new(
-    spark: SparkSession, path: str, batch: DataFrame, key: str, order: str, run: str, partition: str = "site"
+    spark: SparkSession, path: str, batch: DataFrame, key: str, order: str, run: str, partition: str | None = "site"
 ) -> None:
     """Append a batch's new keys to the Parquet table at ``path``.
 
@@ -70,7 +70,8 @@ def append_new(
     """
     known = read_table(spark, path)
     fresh = to_insert(known, batch, key, order) if known is not None else first_by(batch, [key], [F.col(order)])
-    fresh.withColumn("run", F.lit(run)).write.mode("append").partitionBy(partition, "run").parquet(path)
+    folders = [partition, "run"] if partition else ["run"]
+    fresh.withColumn("run", F.lit(run)).write.mode("append").partitionBy(*folders).parquet(path)
 
 
 def insert_only(

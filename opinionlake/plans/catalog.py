@@ -69,10 +69,13 @@ def basic(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.basic_clean(raw_reviews(spark, sf), AS_OF)
 
 
-def each_site(build: Callable[[Profile], DataFrame], profiles=tuple(PROFILES.values())) -> DataFrame:
+def each_site(
+    reviews: DataFrame, build: Callable[[DataFrame, Profile], DataFrame], profiles=tuple(PROFILES.values())
+) -> DataFrame:
+    """``build`` over every site's cleaned rows, as one table."""
     out = None
     for p in profiles:
-        part = build(p).withColumn("site", F.lit(p.site))
+        part = build(cleaning.preprocess_site(reviews, p, AS_OF), p).withColumn("site", F.lit(p.site))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -203,14 +206,24 @@ def rating_rescaled(spark, sf):
 
 @query
 def dedupe_reviews(spark, sf):
-    rows = ranking.first_by(basic(spark, sf), ["site", "date", "rating", "content_clean"], [F.col("review_seq")])
-    return rows.select("review_seq", "site", "rating")
+    rows = basic(spark, sf).select(
+        "review_seq", "site", "date", "rating", F.sha2("content_clean", 256).alias("_text")
+    )
+    kept = ranking.first_by(rows, ["site", "date", "rating", "_text"], [F.col("review_seq")])
+    return kept.select("review_seq", "site", "rating")
+
+
+def _by_content(reviews: DataFrame) -> DataFrame:
+    """First row per site and text. Texts meet as digests, which are short."""
+    rows = reviews.where(F.col("content").isNotNull()).select(
+        "review_seq", "site", F.sha2("content", 256).alias("_text")
+    )
+    return ranking.first_by(rows, ["site", "_text"], [F.col("review_seq")]).drop("_text")
 
 
 @query
 def dedupe_content(spark, sf):
-    rows = raw_reviews(spark, sf).where(F.col("content").isNotNull())
-    return ranking.first_by(rows, ["site", "content"], [F.col("review_seq")]).select("review_seq", "site")
+    return _by_content(raw_reviews(spark, sf))
 
 
 def _signed(rows: DataFrame) -> DataFrame:
@@ -225,11 +238,7 @@ def dedupe_signature(spark, sf):
 
 @query
 def collect_capped(spark, sf):
-    rows = raw_reviews(spark, sf).where(F.col("content").isNotNull()).select(
-        "review_seq", "site", F.sha2("content", 256).alias("_key")
-    )
-    kept = ranking.first_by(rows, ["site", "_key"], [F.col("review_seq")]).drop("_key")
-    capped = ranking.head_per(kept, ["site"], ["review_seq"], max(COLLECT_TARGETS.values()))
+    capped = ranking.head_per(_by_content(raw_reviews(spark, sf)), ["site"], ["review_seq"], max(COLLECT_TARGETS.values()))
     return capped.where(F.col("position") <= cleaning.per_site({s: F.lit(n) for s, n in COLLECT_TARGETS.items()}))
 
 
@@ -320,32 +329,32 @@ def tfidf_yes24(spark, sf):
 
 @query
 def term_stats(spark, sf):
-    return each_site(lambda p: tfidf.real_terms(tfidf.term_stats(one_site(spark, sf, p), p)))
+    return each_site(raw_reviews(spark, sf), lambda df, p: tfidf.real_terms(tfidf.term_stats(df, p)))
 
 
 @query
 def vocab_cap(spark, sf):
-    rows = each_site(lambda p: tfidf.real_terms(tfidf.fit(one_site(spark, sf, p), p)))
+    rows = each_site(raw_reviews(spark, sf), lambda df, p: tfidf.real_terms(tfidf.fit(df, p)))
     return rows.select("site", "term", "df", "ctf", r6("idf"))
 
 
 @query
 def tfidf_doc_stats(spark, sf):
-    def sums(p):
-        return tfidf.tfidf_rows(one_site(spark, sf, p), p).withColumns(tfidf.row_sums()).drop("terms")
+    def sums(df, p):
+        return tfidf.tfidf_rows(df, p).withColumns(tfidf.row_sums()).drop("terms")
 
-    return each_site(sums, (KYOBO, YES24)).select("review_seq", "site", r6("tfidf_sum"), "tfidf_nonzero_cnt")
+    return each_site(raw_reviews(spark, sf), sums, (KYOBO, YES24)).select("review_seq", "site", r6("tfidf_sum"), "tfidf_nonzero_cnt")
 
 
 @query
 def top_terms(spark, sf):
-    rows = each_site(lambda p: tfidf.top_terms(tfidf.tfidf_rows(one_site(spark, sf, p), p)))
+    rows = each_site(raw_reviews(spark, sf), lambda df, p: tfidf.top_terms(tfidf.tfidf_rows(df, p)))
     return rows.select("site", "term", r6("mean_tfidf"))
 
 
 @query
 def features_full(spark, sf):
-    rows = each_site(lambda p: pipeline.featurize(one_site(spark, sf, p), p).drop("terms"))
+    rows = each_site(raw_reviews(spark, sf), lambda df, p: pipeline.featurize(df, p).drop("terms"))
     return rows.select(
         "review_seq", "site", "rating", F.col("date").cast("date").alias("date"), "content_len", "word_len",
         "year", "month", "weekday", "weekday_name", "is_weekend", "year_month", r6("tfidf_sum"), "tfidf_nonzero_cnt",
@@ -354,7 +363,7 @@ def features_full(spark, sf):
 
 @query
 def sanitized_terms(spark, sf):
-    rows = each_site(lambda p: pipeline.term_names(tfidf.fit(one_site(spark, sf, p), p)))
+    rows = each_site(raw_reviews(spark, sf), lambda df, p: pipeline.term_names(tfidf.fit(df, p)))
     return rows.select("site", "term", "name")
 
 
@@ -406,12 +415,13 @@ def incremental_new(spark, sf):
 def incremental_run(spark, sf):
     store = pipeline.seed(raw_reviews(spark, sf))
 
-    def run(p):
+    out = None
+    for p in PROFILES.values():
         raw = store.where(F.col("site") == p.site)
         done = keyed.with_processed_id(cleaning.preprocess(_seen(raw), p, AS_OF)).select("raw_id", "processed_id")
-        return pipeline.run_stats(raw, done, pipeline.incremental(raw, done, p, AS_OF), p.site)
-
-    return each_site(run)
+        part = pipeline.run_stats(raw, done, pipeline.incremental(raw, done, p, AS_OF), p.site)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query

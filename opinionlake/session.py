@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -24,19 +25,19 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "opinio
     return spark
 
 
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="opinionlake-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
     Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a
-    temporary folder is made and kept for the session.
+    temporary folder is made and kept for the process.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not named:
-        named = tempfile.mkdtemp(prefix="opinionlake-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or _own_dir()).rstrip("/")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:

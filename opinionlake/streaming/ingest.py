@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from opinionlake.operators.keyed import append_new, read_table
 from opinionlake.session import run_dir
+from opinionlake.sources.samples import SCHEMAS
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
     """Stream over one table of a folder, event time as TIMESTAMP."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    stream = spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -23,7 +23,7 @@ def stream_ingest(
     keys: list[str],
     event_time: str = "ts",
     delay: str = "1 day",
-    partition: str = "event_day",
+    partition: str | None = None,
 ) -> None:
     """Append each new key once to the table at ``target``; runs until the
     available input is read.
