@@ -101,16 +101,15 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def token_freq(df: DataFrame, group: str, text: str, pattern: str = "[가-힣]{2,}", per: int = 10000) -> DataFrame:
     """Token counts per group and their rate per ``per`` tokens.
 
-    Counts are combined before the shuffle on (group, token). Group totals
-    join back without a hint: Spark broadcasts them only if they turn out
-    small and otherwise splits skewed groups.
+    Counts are combined before the shuffle on (group, token), and the totals
+    read the same exchange. They join back without a hint: Spark broadcasts
+    them only if they turn out small and otherwise splits skewed groups.
     """
     listed = df.select(group, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("_t"))
-    counts = listed.select(group, F.explode_outer("_t").alias("token")).groupBy(group, "token").agg(
-        F.count("token").alias("n")
-    )
+    tokens = listed.select(group, F.explode_outer("_t").alias("token")).where(F.col("token").isNotNull())
+    counts = tokens.groupBy(group, "token").agg(F.count("*").alias("n"))
     totals = counts.groupBy(group).agg(F.sum("n").alias("total"))
-    return counts.where(F.col("token").isNotNull()).join(totals, group).select(
+    return counts.join(totals, group).select(
         group, "token", "n", (F.col("n") * F.lit(float(per)) / F.col("total")).alias("rate")
     )
 
