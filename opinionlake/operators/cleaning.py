@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from opinionlake.operators.ranking import first_by
 from opinionlake.profiles import PROFILES, SITES, Profile
 
 RAW_COLUMNS = ("rating", "date", "content")
+ALL: tuple[Profile, ...] = tuple(PROFILES.values())
+MOST = 2**31 - 1
 
 
 def require_columns(df: DataFrame, columns: tuple[str, ...] = RAW_COLUMNS) -> DataFrame:
@@ -30,12 +33,12 @@ def drop_missing(df: DataFrame, columns: tuple[str, ...] = RAW_COLUMNS) -> DataF
     return df.dropna(subset=list(columns))
 
 
-def per_site(values: dict[str, Column], site: str = "site") -> Column:
-    """One value per registered site; NULL elsewhere."""
+def per_site(values: dict[str, Column], site: str = "site", default: Column | None = None) -> Column:
+    """One value per site; ``default`` elsewhere, NULL if not given."""
     out: Column | None = None
     for name, value in values.items():
         out = F.when(F.col(site) == name, value) if out is None else out.when(F.col(site) == name, value)
-    return out
+    return out if default is None else out.otherwise(default)
 
 
 def cutoff(as_of: dt.datetime, profile: Profile) -> Column:
@@ -70,11 +73,10 @@ def approx_quantile(column: Column, p: float, accuracy: int = 10000) -> Column:
     return F.percentile_approx(column, p, accuracy)
 
 
-def cap_quantile(df: DataFrame, column: str, p: float) -> DataFrame:
-    """Rows up to the exact quantile, inclusive. The bound is a one-row
-    scalar subquery: a partial aggregate over lengths, no text is shuffled."""
-    bound = df.select(quantile(F.col(column), p).alias("bound"))
-    return df.where(F.col(column) <= bound.scalar())
+def quantile_bound(df: DataFrame, column: str, p: float) -> Column:
+    """The exact quantile as a one-row scalar subquery: a partial aggregate
+    over lengths, no text is shuffled."""
+    return df.select(quantile(F.col(column), p).alias("bound")).scalar()
 
 
 def site_quantiles(df: DataFrame, column: str, p: float) -> DataFrame:
@@ -91,62 +93,74 @@ def clip_quantile(df: DataFrame, column: str, p: float, out: str) -> DataFrame:
 
 
 def keep_quantile(df: DataFrame, column: str, p: float) -> DataFrame:
-    """Per-site form of ``cap_quantile``; same bound on the broadcast."""
+    """Rows up to their site's quantile, inclusive; same bound on the broadcast."""
     bounds = F.broadcast(site_quantiles(df, column, p))
     return df.join(bounds, "site").where(F.col(column) <= F.col("bound")).drop("bound")
 
 
-def preprocess(df: DataFrame, profile: Profile, as_of: dt.datetime, order: str = "review_seq") -> DataFrame:
-    """Whole cleaning pipeline of one profile.
-
-    Cheap typed filters come before the text work. Only a profile with
-    duplicate keys shuffles, and only one with a length quantile reads twice.
-    """
-    inside = rating_between(F.col("rating"), profile) & not_future(F.col("date"), as_of, profile)
-    rows = drop_missing(typed(df)).where(inside)
-    rows = rows.withColumn("content_clean", once(clean_text(F.col("content"), profile)))
+def basic_clean(df: DataFrame, as_of: dt.datetime, profiles: Sequence[Profile] = ALL) -> DataFrame:
+    """Row-wise rules of the given sites in one pass: types, range, date,
+    text and minimum length, without dedupe, quantile cap or trims. Cheap
+    typed filters come before the text work."""
+    inside = per_site({
+        p.site: rating_between(F.col("rating"), p) & not_future(F.col("date"), as_of, p) for p in profiles
+    })
+    rows = drop_missing(typed(df.where(F.col("site").isin(*[p.site for p in profiles])))).where(inside)
+    rows = rows.withColumn("content_clean", once(cleaned_by_site(F.col("content"), profiles)))
     text = F.col("content_clean")
     rows = rows.withColumns({"content_len": char_len(text), "word_len": word_len(text)})
-    rows = rows.where(F.col("content_len") >= max(profile.min_chars, 1))
-    if profile.dedupe:
-        rows = first_by(rows, list(profile.dedupe), [F.col(order)])
-    if profile.length_quantile is not None:
-        rows = cap_quantile(rows, "content_len", profile.length_quantile)
-    if profile.max_chars is not None:
-        rows = rows.where(F.col("content_len") <= profile.max_chars)
-    if profile.min_words:
-        rows = rows.where(F.col("word_len") >= profile.min_words)
-    return rows
+    return rows.where(per_site({p.site: F.col("content_len") >= max(p.min_chars, 1) for p in profiles}))
 
 
-def preprocess_site(reviews: DataFrame, profile: Profile, as_of: dt.datetime) -> DataFrame:
-    """One site's rows of a store partitioned by ``site``, cleaned."""
-    return preprocess(reviews.where(F.col("site") == profile.site), profile, as_of)
+def preprocess(
+    df: DataFrame, profiles: Profile | Sequence[Profile], as_of: dt.datetime, order: str = "review_seq"
+) -> DataFrame:
+    """Whole cleaning pipeline, for one site or several at once.
 
-
-def preprocess_all(reviews: DataFrame, as_of: dt.datetime, profiles: tuple[Profile, ...] = tuple(PROFILES.values())) -> DataFrame:
-    """All sites under their own rules, as one table."""
+    Sites without duplicate keys pass without a shuffle; only the others are
+    grouped. A length quantile reads its own site once more, for lengths.
+    Rows without a ``site`` column are taken as the one profile's.
+    """
+    profiles = (profiles,) if isinstance(profiles, Profile) else tuple(profiles)
+    if "site" not in df.columns:
+        df = df.withColumn("site", F.lit(profiles[0].site))
+    rows = basic_clean(df, as_of, profiles)
+    groups: dict[tuple[str, ...], list[Profile]] = {}
+    for p in profiles:
+        groups.setdefault(p.dedupe, []).append(p)
     out: DataFrame | None = None
-    for profile in profiles:
-        part = preprocess_site(reviews, profile, as_of)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    for keys, members in groups.items():
+        part = rows.where(F.col("site").isin(*[p.site for p in members])) if len(groups) > 1 else rows
+        if keys:
+            part = first_by(part, ["site", *keys], [F.col(order)])
+        part = length_rules(part, members)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def cleaned_by_site(text: Column) -> Column:
+def length_rules(df: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
+    """Upper quantile first, then the word and character window, by site."""
+    length = F.col("content_len")
+    capped, trimmed = {}, {}
+    for p in profiles:
+        if p.length_quantile is not None:
+            capped[p.site] = length <= quantile_bound(df.where(F.col("site") == p.site), "content_len", p.length_quantile)
+        if p.max_chars is not None or p.min_words:
+            trimmed[p.site] = (length <= (p.max_chars or MOST)) & (F.col("word_len") >= p.min_words)
+    for rule in (capped, trimmed):
+        if rule:
+            df = df.where(per_site(rule, default=F.lit(True)))
+    return df
+
+
+def preprocess_all(reviews: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """All registered sites under their own rules, as one table."""
+    return preprocess(reviews, ALL, as_of)
+
+
+def cleaned_by_site(text: Column, profiles: Sequence[Profile] = ALL) -> Column:
     """Each row's text under its own site's character rule."""
-    return per_site({s: clean_text(text, p) for s, p in PROFILES.items()})
-
-
-def basic_clean(df: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Row-wise rules of all sites in one pass: types, range, date, text and
-    minimum length, without dedupe, quantile cap or trims."""
-    rows = drop_missing(typed(df))
-    rows = rows.where(per_site({s: rating_between(F.col("rating"), p) for s, p in PROFILES.items()}))
-    rows = rows.where(per_site({s: not_future(F.col("date"), as_of, p) for s, p in PROFILES.items()}))
-    rows = rows.withColumn("content_clean", once(cleaned_by_site(F.col("content"))))
-    rows = rows.withColumn("content_len", char_len(F.col("content_clean")))
-    return rows.where(per_site({s: F.col("content_len") >= max(p.min_chars, 1) for s, p in PROFILES.items()}))
+    return per_site({p.site: clean_text(text, p) for p in profiles})
 
 
 def filter_report(df: DataFrame, as_of: dt.datetime) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+SLICES = 64
 
 
 def first_by(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
@@ -23,15 +23,16 @@ def first_by(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column
 def head_per(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, rank: str = "position"
 ) -> DataFrame:
-    """First ``n`` rows per key in ascending order, with their rank.
+    """First ``n`` rows per key in ascending total order, with their rank.
 
-    Two rounds: within hash slices of each key, then over the at most
-    ``n * SALTS`` rows per key that remain.
+    Two rounds: within slices of the input's partitions, then over the at
+    most ``n * SLICES`` rows per key that remain. The outcome is the same
+    however the rows are sliced.
     """
     slices = Window.partitionBy(*keys, "_slice").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return (
-        df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+        df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
         .withColumn(rank, F.row_number().over(slices))
         .where(F.col(rank) <= n)
         .drop("_slice")

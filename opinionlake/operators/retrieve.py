@@ -135,6 +135,7 @@ def nearest_terms(
     n_corpus: int | None = None,
 ) -> DataFrame:
     """Lexical retrieval: TF-IDF fitted on the corpus, product as score."""
+    # One model for the whole corpus, whatever its documents' sites.
     docs = T.partition_rows(corpus.select(doc_id, text_col), doc_id)
     asked = T.partition_rows(questions.select(query_id, text_col), query_id)
     vocab = T.fit(docs, profile, text_col)

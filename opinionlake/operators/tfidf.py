@@ -1,18 +1,23 @@
-"""TF-IDF as long tables.
+"""TF-IDF as long tables, for one site or all sites in one job.
 
 Plan: the cleaned text is partitioned once by row id. Both passes read that
-one exchange. The first counts terms, combined before its shuffle on the
-term; the kept vocabulary (at most ``max_features`` rows, by its own limit)
-is broadcast into the second, which drops other terms before it counts per
-row. Counts per row, norms and output rows need no further shuffle.
+one exchange. The first counts terms per site, combined before its shuffle
+on (site, term); the kept vocabulary (at most ``max_features`` rows per
+profile) is broadcast into the second, which drops other terms before it
+counts per row. Counts per row, norms and output rows need no further
+shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinionlake.functions.text import tokens, with_bigrams
+from opinionlake.operators.cleaning import per_site
+from opinionlake.operators.ranking import head_per
 from opinionlake.profiles import Profile
 
 # Marks "one row": its document frequency is the number of fitted rows, so
@@ -21,15 +26,30 @@ from opinionlake.profiles import Profile
 # the inner form would add a filter that tokenises once more below the shuffle.
 ROW = ""
 
+Profiles = Profile | Sequence[Profile]
+
+
+def several(profiles: Profiles) -> tuple[Profile, ...]:
+    return (profiles,) if isinstance(profiles, Profile) else tuple(profiles)
+
+
+def sited(df: DataFrame, profiles: Profiles) -> DataFrame:
+    """Rows with a ``site``: their own, or the one profile's."""
+    return df if "site" in df.columns else df.withColumn("site", F.lit(several(profiles)[0].site))
+
 
-def listed_terms(rows: DataFrame, profile: Profile, keep: list[str], text_col: str = "content_clean") -> DataFrame:
-    """(keep..., _all): the ROW mark, tokens and, by profile, bigrams.
+def listed_terms(rows: DataFrame, profiles: Profiles, keep: list[str], text_col: str = "content_clean") -> DataFrame:
+    """(keep..., site, _all): the ROW mark, tokens and, by profile, bigrams.
 
     Tokens are a column of their own first, so bigrams do not split again.
     """
-    words = rows.select(*keep, tokens(F.col(text_col), profile).alias("_words"))
-    every = with_bigrams(F.col("_words")) if profile.bigrams else F.col("_words")
-    return words.select(*keep, F.concat(F.array(F.lit(ROW)), every).alias("_all"))
+    profiles = several(profiles)
+    words = rows.select(*keep, "site", per_site({p.site: tokens(F.col(text_col), p) for p in profiles}).alias("_words"))
+    paired = [p.site for p in profiles if p.bigrams]
+    every = F.col("_words")
+    if paired:
+        every = F.when(F.col("site").isin(*paired), with_bigrams(every)).otherwise(every)
+    return words.select(*keep, "site", F.concat(F.array(F.lit(ROW)), every).alias("_all"))
 
 
 def partition_rows(df: DataFrame, id_col: str) -> DataFrame:
@@ -39,44 +59,48 @@ def partition_rows(df: DataFrame, id_col: str) -> DataFrame:
     text, so it is not left to be coalesced by text size.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, id_col)
+    # Joins on the id would add this filter to one reader of the exchange and
+    # so part the two; ids are never NULL.
+    return df.where(F.col(id_col).isNotNull()).repartition(partitions, id_col)
 
 
-def term_stats(rows: DataFrame, profile: Profile, text_col: str = "content_clean") -> DataFrame:
-    """(term, df, ctf): rows holding a term and its count over all rows.
+def term_stats(rows: DataFrame, profiles: Profiles, text_col: str = "content_clean") -> DataFrame:
+    """(site, term, df, ctf): rows holding a term and its count over all rows.
 
     Each row lists its distinct terms, then all of them; positions tell the
     two apart, so one grouping on the term gives both counts.
     """
-    listed = listed_terms(rows, profile, [], text_col).withColumn("_distinct", F.array_distinct("_all"))
+    listed = listed_terms(sited(rows, profiles), profiles, [], text_col).withColumn("_distinct", F.array_distinct("_all"))
     placed = listed.select(
+        "site",
         F.size("_distinct").alias("_n"),
         F.posexplode_outer(F.concat("_distinct", "_all")).alias("_at", "term"),
     )
-    return placed.groupBy("term").agg(
+    return placed.groupBy("site", "term").agg(
         F.count_if(F.col("_at") < F.col("_n")).alias("df"),
         F.count_if(F.col("_at") >= F.col("_n")).alias("ctf"),
     )
 
 
-def vocabulary(stats: DataFrame, profile: Profile) -> DataFrame:
-    """Kept terms with idf: the ``max_features`` most frequent after
+def vocabulary(stats: DataFrame, profiles: Profiles) -> DataFrame:
+    """Kept terms per site with idf: the ``max_features`` most frequent after
     ``min_df``, ties by term. Holds the ROW mark with idf 0 as well, at slot
     0; terms take slots 1, 2, ... in order."""
+    profiles = several(profiles)
     is_row = F.col("term") == ROW
-    kept = (
-        stats.where(is_row | (F.col("df") >= profile.min_df))
-        .orderBy(is_row.desc(), F.col("ctf").desc(), F.col("term"))
-        .limit(profile.max_features + 1)
+    ordered = stats.where(is_row | per_site({p.site: F.col("df") >= p.min_df for p in profiles})).withColumns(
+        {"_row": is_row, "_less": -F.col("ctf")}
     )
-    # At most max_features + 1 rows reach this window.
-    n = F.max(F.when(is_row, F.col("df"))).over(Window.partitionBy())
+    kept = head_per(ordered, ["site", "_row"], ["_less", "term"], max(p.max_features for p in profiles))
+    kept = kept.where(per_site({p.site: F.col("position") <= p.max_features for p in profiles}))
+    # At most max_features + 1 rows per site reach these windows.
+    site = Window.partitionBy("site")
+    n = F.max(F.when(is_row, F.col("df"))).over(site)
     idf = F.log((n + 1) / (F.col("df") + 1)) + 1
-    slot = F.row_number().over(Window.orderBy(F.col("term"))) - 1
-    return (
-        kept.withColumn("n_rows", n)
-        .withColumn("idf", F.when(is_row, 0.0).otherwise(idf))
-        .withColumn("slot", slot)
+    return kept.select(
+        "site", "term", "df", "ctf",
+        F.when(is_row, 0.0).otherwise(idf).alias("idf"),
+        (F.row_number().over(site.orderBy("term")) - 1).alias("slot"),
     )
 
 
@@ -84,31 +108,32 @@ def real_terms(df: DataFrame) -> DataFrame:
     return df.where(F.col("term") != ROW)
 
 
-def fit(df: DataFrame, profile: Profile, text_col: str = "content_clean") -> DataFrame:
+def fit(df: DataFrame, profiles: Profiles, text_col: str = "content_clean") -> DataFrame:
     """Vocabulary of a table of cleaned rows."""
-    return vocabulary(term_stats(df, profile, text_col), profile)
+    return vocabulary(term_stats(df, profiles, text_col), profiles)
 
 
-def weigh(rows: DataFrame, vocab: DataFrame, profile: Profile, id_col: str, text_col: str = "content_clean") -> DataFrame:
+def weigh(rows: DataFrame, vocab: DataFrame, profiles: Profiles, id_col: str, text_col: str = "content_clean") -> DataFrame:
     """One row per input row: its kept terms with unit-norm weights.
 
     Rows without a kept term have an empty list. Expects rows partitioned by
-    id; the broadcast is bounded by ``max_features``.
+    id; the broadcast is bounded by ``max_features`` per profile.
     """
-    lookup = F.broadcast(vocab.select("term", "slot", "idf"))
+    lookup = F.broadcast(vocab.select("site", "term", "slot", "idf"))
     hits = (
-        listed_terms(rows, profile, [id_col], text_col)
-        .select(id_col, F.explode_outer("_all").alias("term"))
-        .join(lookup, "term")
-        .groupBy(id_col, "term")
+        listed_terms(sited(rows, profiles), profiles, [id_col], text_col)
+        .select(id_col, "site", F.explode_outer("_all").alias("term"))
+        .join(lookup, ["site", "term"])
+        .groupBy(id_col, "site", "term")
         .agg(F.first("slot").alias("slot"), (F.count("*") * F.first("idf")).alias("w"))
     )
-    rows_of = hits.groupBy(id_col).agg(
+    rows_of = hits.groupBy(id_col, "site").agg(
         F.collect_list(F.when(F.col("term") != ROW, F.struct("term", "slot", "w"))).alias("_hits"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
     )
     return rows_of.select(
         id_col,
+        "site",
         F.transform(
             "_hits",
             lambda h: F.struct(
@@ -118,18 +143,18 @@ def weigh(rows: DataFrame, vocab: DataFrame, profile: Profile, id_col: str, text
     )
 
 
-def tfidf_rows(df: DataFrame, profile: Profile, id_col: str = "review_seq", text_col: str = "content_clean") -> DataFrame:
-    """(id, terms array<struct<term, slot, tfidf>>), one row per input row.
+def tfidf_rows(df: DataFrame, profiles: Profiles, id_col: str = "review_seq", text_col: str = "content_clean") -> DataFrame:
+    """(id, site, terms array<struct<term, slot, tfidf>>), one row per input row.
 
     An empty vocabulary gives empty lists, never an error.
     """
-    rows = partition_rows(df.select(id_col, text_col), id_col)
-    return weigh(rows, fit(rows, profile, text_col), profile, id_col, text_col)
+    rows = partition_rows(sited(df, profiles).select(id_col, "site", text_col), id_col)
+    return weigh(rows, fit(rows, profiles, text_col), profiles, id_col, text_col)
 
 
-def tfidf(df: DataFrame, profile: Profile, id_col: str = "review_seq", text_col: str = "content_clean") -> DataFrame:
-    """Long form (id, term, tfidf)."""
-    return tfidf_rows(df, profile, id_col, text_col).select(id_col, F.inline("terms")).drop("slot")
+def tfidf(df: DataFrame, profiles: Profiles, id_col: str = "review_seq", text_col: str = "content_clean") -> DataFrame:
+    """Long form (id, site, term, tfidf)."""
+    return tfidf_rows(df, profiles, id_col, text_col).select(id_col, "site", F.inline("terms")).drop("slot")
 
 
 def row_sums(terms_col: str = "terms") -> dict[str, Column]:
@@ -141,18 +166,22 @@ def row_sums(terms_col: str = "terms") -> dict[str, Column]:
 
 
 def term_means(rows: DataFrame) -> DataFrame:
-    """Mean weight per term over all rows, zeros included.
+    """(site, term, mean_tfidf) over all rows of a site, zeros included.
 
     Takes ``tfidf_rows`` output. Each row adds one ROW mark of weight 1, so
-    the row count comes with the sums; at most ``max_features`` + 1 rows
-    reach the window.
+    the row count comes with the sums; at most ``max_features`` + 1 rows per
+    site reach the window.
     """
     mark = F.array(F.struct(F.lit(ROW).alias("term"), F.lit(0).alias("slot"), F.lit(1.0).alias("tfidf")))
-    sums = rows.select(F.inline(F.concat(mark, "terms"))).groupBy("term").agg(F.sum("tfidf").alias("total"))
-    n = F.max(F.when(F.col("term") == ROW, F.col("total"))).over(Window.partitionBy())
-    return real_terms(sums.withColumn("_n", n)).select("term", (F.col("total") / F.col("_n")).alias("mean_tfidf"))
+    long = rows.select("site", F.inline_outer(F.concat(mark, "terms")))
+    sums = long.groupBy("site", "term").agg(F.sum("tfidf").alias("total"))
+    n = F.max(F.when(F.col("term") == ROW, F.col("total"))).over(Window.partitionBy("site"))
+    means = real_terms(sums.withColumn("_n", n))
+    return means.select("site", "term", (F.col("total") / F.col("_n")).alias("mean_tfidf"))
 
 
 def top_terms(rows: DataFrame, n: int = 20) -> DataFrame:
-    """The ``n`` terms with the highest mean weight, ties by term."""
-    return term_means(rows).orderBy(F.round("mean_tfidf", 6).desc(), "term").limit(n)
+    """The ``n`` terms per site with the highest mean weight, ties by term."""
+    best = Window.partitionBy("site").orderBy(F.round("mean_tfidf", 6).desc(), "term")
+    ranked = term_means(rows).withColumn("_rank", F.row_number().over(best))
+    return ranked.where(F.col("_rank") <= n).drop("_rank")

@@ -29,6 +29,7 @@ from opinionlake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+ALL = cleaning.ALL
 
 AS_OF = dt.datetime(2026, 1, 1)
 # State before the run in the incremental queries: reviews dated earlier.
@@ -62,24 +63,13 @@ def processed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def one_site(spark: SparkSession, sf: str, profile: Profile) -> DataFrame:
-    return cleaning.preprocess_site(raw_reviews(spark, sf), profile, AS_OF)
+    return cleaning.preprocess(raw_reviews(spark, sf), profile, AS_OF)
 
 
 def basic(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.basic_clean(raw_reviews(spark, sf), AS_OF)
 
 
-def each_site(
-    reviews: DataFrame, build: Callable[[DataFrame, Profile], DataFrame], profiles=tuple(PROFILES.values())
-) -> DataFrame:
-    """``build`` over every site's cleaned rows, as one table."""
-    out = None
-    for p in profiles:
-        part = build(cleaning.preprocess_site(reviews, p, AS_OF), p).withColumn("site", F.lit(p.site))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 # --- reading and cleaning -----------------------------------------------------
 
 
@@ -329,32 +319,31 @@ def tfidf_yes24(spark, sf):
 
 @query
 def term_stats(spark, sf):
-    return each_site(raw_reviews(spark, sf), lambda df, p: tfidf.real_terms(tfidf.term_stats(df, p)))
+    return tfidf.real_terms(tfidf.term_stats(processed(spark, sf), ALL))
 
 
 @query
 def vocab_cap(spark, sf):
-    rows = each_site(raw_reviews(spark, sf), lambda df, p: tfidf.real_terms(tfidf.fit(df, p)))
+    rows = tfidf.real_terms(tfidf.fit(processed(spark, sf), ALL))
     return rows.select("site", "term", "df", "ctf", r6("idf"))
 
 
 @query
 def tfidf_doc_stats(spark, sf):
-    def sums(df, p):
-        return tfidf.tfidf_rows(df, p).withColumns(tfidf.row_sums()).drop("terms")
-
-    return each_site(raw_reviews(spark, sf), sums, (KYOBO, YES24)).select("review_seq", "site", r6("tfidf_sum"), "tfidf_nonzero_cnt")
+    rows = cleaning.preprocess(raw_reviews(spark, sf), (KYOBO, YES24), AS_OF)
+    sums = tfidf.tfidf_rows(rows, (KYOBO, YES24)).withColumns(tfidf.row_sums())
+    return sums.select("review_seq", "site", r6("tfidf_sum"), "tfidf_nonzero_cnt")
 
 
 @query
 def top_terms(spark, sf):
-    rows = each_site(raw_reviews(spark, sf), lambda df, p: tfidf.top_terms(tfidf.tfidf_rows(df, p)))
+    rows = tfidf.top_terms(tfidf.tfidf_rows(processed(spark, sf), ALL))
     return rows.select("site", "term", r6("mean_tfidf"))
 
 
 @query
 def features_full(spark, sf):
-    rows = each_site(raw_reviews(spark, sf), lambda df, p: pipeline.featurize(df, p).drop("terms"))
+    rows = pipeline.featurize(processed(spark, sf), ALL)
     return rows.select(
         "review_seq", "site", "rating", F.col("date").cast("date").alias("date"), "content_len", "word_len",
         "year", "month", "weekday", "weekday_name", "is_weekend", "year_month", r6("tfidf_sum"), "tfidf_nonzero_cnt",
@@ -363,8 +352,7 @@ def features_full(spark, sf):
 
 @query
 def sanitized_terms(spark, sf):
-    rows = each_site(raw_reviews(spark, sf), lambda df, p: pipeline.term_names(tfidf.fit(df, p)))
-    return rows.select("site", "term", "name")
+    return pipeline.term_names(tfidf.fit(processed(spark, sf), ALL))
 
 
 @query

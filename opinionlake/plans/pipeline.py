@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opinionlake.functions.values import date_parts, safe_key
 from opinionlake.operators import tfidf as T
-from opinionlake.operators.cleaning import preprocess, preprocess_site
+from opinionlake.operators.cleaning import ALL, preprocess, preprocess_all
 from opinionlake.operators.keyed import (
     append_new,
     distinct_keys,
@@ -34,29 +34,28 @@ def attach(df: DataFrame, features: DataFrame, key: str) -> DataFrame:
     return df.join(features, key, "left")
 
 
-def featurize(df: DataFrame, profile: Profile, id_col: str = "review_seq") -> DataFrame:
+def featurize(df: DataFrame, profiles: T.Profiles, id_col: str = "review_seq") -> DataFrame:
     """Cleaned rows with date parts, TF-IDF terms and their sums. Rows
     without a kept term, and an empty vocabulary, give zeros."""
-    weights = T.tfidf_rows(df, profile, id_col).withColumns(T.row_sums())
+    weights = T.tfidf_rows(df, profiles, id_col).drop("site").withColumns(T.row_sums())
     return attach(with_dates(df), weights, id_col)
 
 
 def term_names(vocab: DataFrame) -> DataFrame:
-    """(term, name): field-safe unique names of a vocabulary, taken in term
-    order. At most ``max_features`` terms make the one list."""
-    listed = T.real_terms(vocab).agg(F.array_sort(F.collect_list("term")).alias("_k"))
-    safe = F.transform("_k", safe_key)
-    named = unique_names(F.col("_k"), safe)
-    return listed.select(F.explode(named).alias("_n")).select(F.col("_n.key").alias("term"), "_n.name")
+    """(site, term, name): field-safe unique names of each site's vocabulary,
+    taken in term order. A list holds at most ``max_features`` terms."""
+    listed = T.real_terms(vocab).groupBy("site").agg(F.array_sort(F.collect_list("term")).alias("_k"))
+    named = unique_names(F.col("_k"), F.transform("_k", safe_key))
+    return listed.select("site", F.explode(named).alias("_n")).select("site", F.col("_n.key").alias("term"), "_n.name")
 
 
-def tfidf_maps(df: DataFrame, profile: Profile, id_col: str = "review_seq") -> DataFrame:
+def tfidf_maps(df: DataFrame, profiles: T.Profiles, id_col: str = "review_seq") -> DataFrame:
     """(id, tfidf map<name, weight>) for every row with a kept term."""
-    rows = T.partition_rows(df.select(id_col, "content_clean"), id_col)
-    vocab = T.fit(rows, profile)
-    names = F.broadcast(term_names(vocab))  # at most max_features rows
-    long = T.weigh(rows, vocab, profile, id_col).select(id_col, F.inline("terms"))
-    return long.join(names, "term").groupBy(id_col).agg(
+    rows = T.partition_rows(T.sited(df, profiles).select(id_col, "site", "content_clean"), id_col)
+    vocab = T.fit(rows, profiles)
+    names = F.broadcast(term_names(vocab))  # at most max_features rows per profile
+    long = T.weigh(rows, vocab, profiles, id_col).select(id_col, "site", F.inline_outer("terms"))
+    return long.join(names, ["site", "term"]).groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("name", "tfidf"))).alias("tfidf")
     )
 
@@ -111,14 +110,11 @@ def run_incremental(
 
 
 def run_all(reviews: DataFrame, out_path: str, as_of: dt.datetime) -> DataFrame:
-    """Clean and featurise all sites, one table partitioned by site."""
+    """Clean and featurise all sites in one job, one table by site."""
     spark = reviews.sparkSession
-    out: DataFrame | None = None
-    for site, profile in PROFILES.items():
-        staged = run_dir(spark, f"clean-{site}")
-        save(preprocess_site(reviews, profile, as_of).drop("site"), staged)
-        rows = spark.read.parquet(staged).withColumn("site", F.lit(site))
-        part = featurize(rows, profile)
-        out = part if out is None else out.unionByName(part)
-    save(out, out_path)
+    staged = run_dir(spark, "clean-all")
+    clean = preprocess_all(reviews, as_of)
+    save(clean, staged)
+    rows = spark.read.schema(clean.schema).parquet(staged)
+    save(featurize(rows, ALL), out_path)
     return spark.read.parquet(out_path)

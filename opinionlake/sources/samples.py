@@ -62,19 +62,16 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(doc % 23 == 0, "2999-01-01")
         .otherwise(F.col("day").cast("string"))
     )
-    copies = F.when(doc % 31 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+
+    def row(copy: int):
+        return F.struct((doc * 2 + copy).alias("review_seq"), rating.alias("rating"), date.alias("date"))
+
+    copies = F.when(doc % 31 == 0, F.array(row(0), row(1))).otherwise(F.array(row(0)))
     return (
         docs.join(stars, "doc_id")
         .join(days, "doc_id")
-        .select(
-            "doc_id",
-            site.alias("site"),
-            rating.alias("rating"),
-            date.alias("date"),
-            F.when(doc % 29 != 0, F.col("text")).alias("content"),
-            F.explode(copies).alias("copy"),
-        )
-        .select((doc * 2 + F.col("copy")).alias("review_seq"), "site", "rating", "date", "content")
+        .select(site.alias("site"), F.when(doc % 29 != 0, F.col("text")).alias("content"), F.inline_outer(copies))
+        .select("review_seq", "site", "rating", "date", "content")
     )
 
 

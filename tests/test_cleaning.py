@@ -90,17 +90,17 @@ def test_cleaning_keeps_each_shops_characters(spark, profile, text, expected):
 
 def test_length_rules(spark):
     rows = rows_of(spark, [(s, "5", "2024-01-01", t) for s in ("aladin", "yes24") for t in ("!!!!", "abcd", "abcde")])
-    assert [r.content_clean for r in C.preprocess_site(rows, ALADIN, AS_OF).collect()] == ["abcde"]
+    assert [r.content_clean for r in C.preprocess(rows, ALADIN, AS_OF).collect()] == ["abcde"]
     texts = ["한단어", "두 단어", "가 " * 1500 + "나", "가 " * 1499 + "나"]
     rows = rows_of(spark, [("kyobo", "5", "2024-01-01", t) for t in texts])
-    got = sorted(r.content_len for r in C.preprocess_site(rows, KYOBO, AS_OF).collect())
+    got = sorted(r.content_len for r in C.preprocess(rows, KYOBO, AS_OF).collect())
     assert got == [4, 2999]
 
 
 def test_quantile_edge_is_inclusive(spark):
     rows = rows_of(spark, [("yes24", "5", "2024-01-01", "x" * n) for n in range(5, 105)])
     # 99th of 5..104 lies at 103.01: only the longest goes.
-    got = C.preprocess_site(rows, YES24, AS_OF).agg(F.max("content_len"), F.count("*")).first()
+    got = C.preprocess(rows, YES24, AS_OF).agg(F.max("content_len"), F.count("*")).first()
     assert tuple(got) == (103, 99)
 
 
@@ -109,18 +109,18 @@ def test_dedupe_keeps_first_of_equal_cleaned_text(spark):
         ("kyobo", "9", "2024-01-01", "좋은 책!"), ("kyobo", "9.0", "2024-01-01", "좋은   책"),
         ("kyobo", "9", "2024-01-02", "좋은 책!"), ("kyobo", "8", "2024-01-01", "좋은 책!"),
     ])
-    assert sorted(r.review_seq for r in C.preprocess_site(rows, KYOBO, AS_OF).collect()) == [0, 2, 3]
+    assert sorted(r.review_seq for r in C.preprocess(rows, KYOBO, AS_OF).collect()) == [0, 2, 3]
 
 
 def test_row_order_does_not_matter(spark):
     rows = rows_of(spark, [("kyobo", "9", "2024-01-01", f"같은 책 {i % 3}") for i in range(30)])
-    a = C.preprocess_site(rows, KYOBO, AS_OF).collect()
-    b = C.preprocess_site(rows.orderBy(F.desc("review_seq")), KYOBO, AS_OF).collect()
+    a = C.preprocess(rows, KYOBO, AS_OF).collect()
+    b = C.preprocess(rows.orderBy(F.desc("review_seq")), KYOBO, AS_OF).collect()
     assert sorted(a) == sorted(b) and len(a) == 3
 
 
 def test_hot_copies_reach_the_reducer_limited(spark):
-    plan = C.preprocess_site(rows_of(spark, []), KYOBO, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    plan = C.preprocess(rows_of(spark, []), KYOBO, AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert "row_number(), 1, Partial" in plan
 
 
