@@ -401,15 +401,10 @@ def incremental_new(spark, sf):
 
 @query
 def incremental_run(spark, sf):
-    store = pipeline.seed(raw_reviews(spark, sf))
-
-    out = None
-    for p in PROFILES.values():
-        raw = store.where(F.col("site") == p.site)
-        done = keyed.with_processed_id(cleaning.preprocess(_seen(raw), p, AS_OF)).select("raw_id", "processed_id")
-        part = pipeline.run_stats(raw, done, pipeline.incremental(raw, done, p, AS_OF), p.site)
-        out = part if out is None else out.unionByName(part)
-    return out
+    raw = pipeline.seed(raw_reviews(spark, sf))
+    before = cleaning.preprocess_all(_seen(raw), AS_OF)
+    done = keyed.with_processed_id(before).select("raw_id", "processed_id")
+    return pipeline.run_stats(raw, done, pipeline.incremental(raw, done, ALL, AS_OF))
 
 
 @query

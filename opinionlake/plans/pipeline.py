@@ -65,22 +65,23 @@ def seed(df: DataFrame) -> DataFrame:
     return first_by(with_raw_id(df), ["raw_id"], [F.col("review_seq")])
 
 
-def incremental(raw: DataFrame, processed: DataFrame, profile: Profile, as_of: dt.datetime) -> DataFrame:
+def incremental(raw: DataFrame, processed: DataFrame, profiles: T.Profiles, as_of: dt.datetime) -> DataFrame:
     """Cleaned rows of raw rows not processed before, with both keys."""
-    return with_processed_id(preprocess(new_only(raw, processed, "raw_id"), profile, as_of))
-
-
-def run_stats(raw: DataFrame, processed: DataFrame, rows: DataFrame, site: str) -> DataFrame:
-    """One row of counts for an incremental run."""
-    todo = new_only(raw, processed, "raw_id").agg(F.count("*").alias("n"))
-    fresh = new_only(distinct_keys(rows, "processed_id"), processed, "processed_id").agg(F.count("*").alias("n"))
-    counts = raw.agg(F.count("*").alias("raw_count")).select(
-        F.lit(site).alias("site"),
-        "raw_count",
-        todo.scalar().alias("to_process_count"),
-        rows.agg(F.count("*").alias("n")).scalar().alias("processed_rows"),
-        fresh.scalar().alias("inserted_new"),
+    return with_processed_id(preprocess(new_only(raw, processed, "raw_id"), profiles, as_of))
+
+
+def run_stats(raw: DataFrame, processed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Counts of an incremental run, one row per site of ``raw``."""
+    done = distinct_keys(processed, "raw_id").withColumn("known", F.lit(True))
+    todo = raw.select("site", "raw_id").join(done, "raw_id", "left").groupBy("site").agg(
+        F.count("*").alias("raw_count"), F.count_if(F.col("known").isNull()).alias("to_process_count")
+    )
+    seen = distinct_keys(processed, "processed_id").withColumn("known", F.lit(True))
+    keys = rows.groupBy("site", "processed_id").agg(F.count("*").alias("n"))
+    made = keys.join(seen, "processed_id", "left").groupBy("site").agg(
+        F.sum("n").alias("processed_rows"), F.count_if(F.col("known").isNull()).alias("inserted_new")
     )
+    counts = todo.join(made, "site", "left").fillna(0)
     return counts.withColumn("matched_existing", F.col("processed_rows") - F.col("inserted_new"))
 
 
@@ -103,7 +104,7 @@ def run_incremental(
     save(incremental(raw, processed, profile, as_of).drop("site"), staged)
     rows = spark.read.parquet(staged).withColumn("site", F.lit(site))
     stats_path = run_dir(spark, f"stats-{site}")
-    run_stats(raw, processed, rows, site).write.parquet(stats_path)
+    run_stats(raw, processed, rows).write.parquet(stats_path)
     documents = attach(featurize(rows, profile).drop("terms"), tfidf_maps(rows, profile), "review_seq")
     append_new(spark, out_path, documents, "processed_id", "review_seq", run)
     return spark.read.parquet(stats_path)

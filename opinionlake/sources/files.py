@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,44 +12,39 @@ from opinionlake.profiles import SITES
 SUBJECT = "map<string, struct<title string, author string, summary string, keywords array<string>>>"
 
 
-def _csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.options(
-        header=True, multiLine=True, escape='"', encoding="UTF-8", inferSchema=False
-    ).csv(path)
+def _csv(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    reader = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8", inferSchema=False)
+    return (reader.option("pathGlobFilter", name) if name else reader).csv(path)
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+def read_reviews(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """Review CSV as text columns in any order; missing tokens become NULL.
+    ``name`` picks files of a folder by pattern.
 
     A quoted text may span lines, which keeps a file in one task: hand over
     many files, not one large one.
     """
-    df = require_columns(_csv(spark, path))
+    df = require_columns(_csv(spark, path, name))
     return null_tokens(df.select("rating", "date", "content"))
 
 
 def read_all(spark: SparkSession, folder: str, sites: tuple[str, ...] = SITES) -> DataFrame:
     """All ``reviews_<site>.csv`` of a folder with their site; files of
-    unknown sites are skipped. Column order may differ between files."""
+    unknown sites are skipped. Column order may differ between sites."""
     out: DataFrame | None = None
     for site in sites:
-        found = _site_files(spark, folder, site)
-        if not found:
+        try:
+            part = read_reviews(spark, folder, f"reviews_{site}.csv").withColumn("site", F.lit(site))
+        except AnalysisException as missing:
+            if missing.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
             continue
-        part = read_reviews(spark, found).withColumn("site", F.lit(site))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError(f"no review files in {folder}")
     return out
 
 
-def _site_files(spark: SparkSession, folder: str, site: str) -> list[str]:
-    """Paths of one site's files: a glob of the file system, no data read."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/reviews_{site}.csv")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    return [str(f.getPath().toString()) for f in found or []]
-
-
 def load_raw(spark: SparkSession, path: str, site: str) -> DataFrame:
     """One site of the keyed raw store: one partition, needed columns only."""
     return spark.read.parquet(path).where(F.col("site") == site).select(
