@@ -82,8 +82,8 @@ def tokens(text: Column, profile: Profile) -> Column:
     # Cleaned text without marks holds word characters and blanks only, so
     # its word runs are its blank-separated parts; splitting is cheaper.
     by_blank = profile.tokens == "blank" or not profile.marks
-    split = blank_tokens(folded) if by_blank else word_tokens(folded)
-    return drop_stopwords(split, profile.stopwords)
+    split = profile.tokenizer or (blank_tokens if by_blank else word_tokens)
+    return drop_stopwords(split(folded), profile.stopwords)
 
 
 def with_bigrams(words: Column) -> Column:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from pyspark.sql import Column
 
 # --- Fixed values: they decide results and are stated as they are. -----------
 # Text read as missing when a CSV is loaded.
@@ -38,6 +43,7 @@ class Profile:
 
     Text keeps the characters of ``KEPT_RANGES`` and ``marks``; all others,
     whitespace included, become blanks and runs of blanks become one.
+    ``tokenizer`` replaces the token rule: cleaned text to an array of tokens.
     """
 
     site: str
@@ -52,6 +58,7 @@ class Profile:
     length_quantile: float | None = None
     dedupe: tuple[str, ...] = ()
     tokens: str = "blank"  # 'blank' | 'word'
+    tokenizer: Callable[[Column], Column] | None = None
     lowercase: bool = True
     stopwords: tuple[str, ...] = ()
     bigrams: bool = True

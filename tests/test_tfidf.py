@@ -63,6 +63,28 @@ def test_stopword_with_punctuation_stays(spark):
     assert got == ["책.", "너무.", "좋아요!"]
 
 
+def test_own_tokenizer(spark):
+    commas = dataclasses.replace(KYOBO, tokenizer=lambda c: F.split(c, ","), min_df=1)
+    got = {r.term for r in T.tfidf(frame(spark, ["A b,c", "c"]), commas).collect()}
+    assert got == {"a b", "c"}
+
+
+def test_word_rule_on_text_with_marks(spark):
+    marked = dataclasses.replace(KYOBO, marks=".!")
+    got = frame(spark, ["Good. book! a b2"]).select(TX.tokens(F.col("content_clean"), marked)).first()[0]
+    assert got == ["good", "book", "b2"]
+
+
+def test_sites_are_fitted_apart(spark):
+    both = frame(spark, TEXTS).withColumn("site", F.lit("aladin")).unionByName(
+        frame(spark, TEXTS).withColumn("site", F.lit("yes24")).withColumn("review_seq", F.col("review_seq") + 100)
+    )
+    got = {(r.site, r.review_seq, r.term): round(r.tfidf, 9) for r in T.tfidf(both, (ALADIN, YES24)).collect()}
+    expected = {("aladin", i, t): w for (i, t), w in by_hand(TEXTS, ALADIN).items()}
+    expected |= {("yes24", i + 100, t): w for (i, t), w in by_hand(TEXTS, YES24).items()}
+    assert got == expected
+
+
 def test_rows_without_terms_keep_zeros(spark):
     rows = T.tfidf_rows(frame(spark, TEXTS), KYOBO).withColumns(T.row_sums()).collect()
     got = {r.review_seq: (r.tfidf_sum, r.tfidf_nonzero_cnt) for r in rows}
