@@ -23,6 +23,7 @@ from opinionlake.profiles import (
     YES24,
     Profile,
 )
+from opinionlake.session import run_dir
 from opinionlake.sources import index, pages
 from opinionlake.sources.samples import raw_reviews, spread, table, user_changes, users
 from opinionlake.streaming import ingest
@@ -492,12 +493,18 @@ def lexical_topk(spark, sf):
 
 @query
 def rag_context(spark, sf):
-    corpus = index.load_corpus(processed(spark, sf), cap=None).withColumnRenamed("page_content", "content")
-    text = corpus.withColumn("content_clean", TX.clean_text(F.col("content"), KYOBO))
+    # The corpus is written once and read by the model, the search and the
+    # context lines, as a service would load its index.
+    corpus, meta = index.build_or_load_index(
+        spark,
+        run_dir(spark, "corpus"),
+        lambda: index.load_corpus(processed(spark, sf), cap=None),
+        "reviews",
+    )
+    text = corpus.select("doc_id", TX.clean_text(F.col("page_content"), KYOBO).alias("content_clean"))
     asked = _questions(spark, sf)
-    most = table(spark, sf, "documents").count()
-    hits = retrieve.nearest_terms(asked, text, KYOBO, "query_id", "doc_id", n_corpus=most)
-    named = corpus.withColumnRenamed("source_file", "source")
+    hits = retrieve.nearest_terms(asked, text, KYOBO, "query_id", "doc_id", n_corpus=meta.first().doc_count)
+    named = corpus.withColumnsRenamed({"source_file": "source", "page_content": "content"})
     return chat.context(asked, hits.join(named, "doc_id"))
 
 
