@@ -21,6 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> tuple[dict, dict]:
     """All queries and their SQL; imports every operator module."""
-    from opinionlake.llm import chat_format, decontaminate, langid, licenses, quality  # noqa: F401
+    from opinionlake.llm import chat_format, decontaminate, langid, licenses, quality, substring_dedup  # noqa: F401
 
     return QUERIES, ORACLES
