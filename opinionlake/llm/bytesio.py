@@ -8,7 +8,7 @@ into several blocks at separators; callers add up or join the pieces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -47,27 +47,32 @@ def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def _cut(data: np.ndarray, lo: int, hi: int, is_cut: np.ndarray | None) -> int:
+def _cut(data: np.ndarray, lo: int, hi: int, may_cut: Callable[[np.ndarray], np.ndarray] | None) -> int:
     """The last place in (lo, hi] before which a text may be cut, or the next one after hi."""
-    if is_cut is None:
+    if may_cut is None:
         return hi
-    back = np.flatnonzero(is_cut[data[lo + 1 : hi + 1]])
+    back = np.flatnonzero(may_cut(data[lo : hi + 1])[1:])
     if len(back):
         return lo + 1 + int(back[-1])
     at = hi + 1
     while at < len(data):
-        ahead = np.flatnonzero(is_cut[data[at : at + BLOCK]])
+        # The bytes before a place may count, so some of them are shown too.
+        ahead = np.flatnonzero(may_cut(data[at - 4 : at + BLOCK])[4:])
         if len(ahead):
             return at + int(ahead[0])
         at += BLOCK
     return len(data)
 
 
-def blocks(col, is_cut: np.ndarray | None = None, limit: int = BLOCK) -> Iterator[Block]:
+def at_white(data: np.ndarray) -> np.ndarray:
+    return WHITE[data]
+
+
+def blocks(col, may_cut: Callable[[np.ndarray], np.ndarray] | None = None, limit: int = BLOCK) -> Iterator[Block]:
     """The column in blocks of about ``limit`` bytes.
 
-    A document longer than the limit is cut before bytes for which the table
-    ``is_cut`` (256 booleans) holds; without a table, exactly at multiples of
+    A document longer than the limit is cut where ``may_cut`` (given bytes,
+    which may be cut before) allows it; without one, exactly at multiples of
     the limit. Every input row appears, an empty one as an empty segment.
     """
     data, at = column_bytes(col)
@@ -77,7 +82,7 @@ def blocks(col, is_cut: np.ndarray | None = None, limit: int = BLOCK) -> Iterato
         if at[i + 1] - at[i] > limit:
             lo, end = int(at[i]), int(at[i + 1])
             while lo < end:
-                hi = end if end - lo <= limit else min(end, _cut(data[:end], lo, lo + limit, is_cut))
+                hi = end if end - lo <= limit else min(end, _cut(data[:end], lo, lo + limit, may_cut))
                 yield Block(data[lo:hi], np.array([0]), np.array([hi - lo]), np.array([i]))
                 lo = hi
             i += 1

@@ -184,7 +184,7 @@ def leaks(col, index: Index) -> list[tuple[int, int, int, int, int]]:
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     overlap = 2 * max(len(t) for t in index.texts)
     tail: tuple[int, np.ndarray, np.ndarray, int] | None = None
-    for block in B.blocks(col, B.WHITE):
+    for block in B.blocks(col, B.at_white):
         parts, places, rows = [], [], []
         low = _REDUCE[block.data]
         keep = low != 0x20

@@ -96,7 +96,7 @@ def _bags(s: Settings):
         for batch in batches:
             for i in range(batch.num_rows):
                 total: dict[int, int] = {}
-                for block in B.blocks(batch.column("text").slice(i, 1), B.WHITE):
+                for block in B.blocks(batch.column("text").slice(i, 1), B.at_white):
                     ids, counts = np.unique(features(block, s)[0], return_counts=True)
                     for b, c in zip(ids.tolist(), counts.tolist(), strict=True):
                         total[b] = total.get(b, 0) + c
@@ -181,7 +181,7 @@ def scores(col, model: Model) -> np.ndarray:
     """Score of each text of an Arrow column: the softmax output for class 1."""
     total = np.zeros(len(col))
     count = np.zeros(len(col))
-    for block in B.blocks(col, B.WHITE):
+    for block in B.blocks(col, B.at_white):
         bucket, segment = features(block, model.settings)
         k = len(block.rows)
         total[block.rows] += np.bincount(segment, weights=model.weights[bucket], minlength=k)

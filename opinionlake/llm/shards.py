@@ -70,7 +70,7 @@ def words(col, lower: bool = False) -> Words:
         data = B.LOWER[data]
     starts, ends, hashes, doc = [], [], [], []
     offset = 0
-    for block in B.blocks(col, B.WHITE):
+    for block in B.blocks(col, B.at_white):
         held = block._replace(data=B.LOWER[block.data]) if lower else block
         s, e, segment = B.word_bounds(held, B.WHITE)
         hashes.append(B.range_hash(B.prefix_sums(held.data), s, e))
