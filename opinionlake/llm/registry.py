@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> tuple[dict, dict]:
     """All queries and their SQL; imports every operator module."""
-    from opinionlake.llm import chat_format, decontaminate, langid, licenses, packing, quality, substring_dedup, token_output  # noqa: F401
+    from opinionlake.llm import (  # noqa: F401
+        ann,
+        chat_format,
+        decontaminate,
+        langid,
+        licenses,
+        packing,
+        quality,
+        substring_dedup,
+        token_output,
+    )
 
     return QUERIES, ORACLES
