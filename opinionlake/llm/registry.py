@@ -25,6 +25,7 @@ def load() -> tuple[dict, dict]:
         ann,
         chat_format,
         decontaminate,
+        jaccard_join,
         langid,
         licenses,
         packing,
