@@ -189,13 +189,16 @@ def leaks(col, index: Index) -> list[tuple[int, int, int, int, int]]:
         low = _REDUCE[block.data]
         keep = low != 0x20
         keep[1:] |= low[:-1] != 0x20
+        row0 = int(block.rows[0])
+        single = len(block.rows) == 1
+        goes_on = single and tail is not None and tail[0] == row0
+        if goes_on and len(tail[1]) and tail[1][-1] != 0x20:
+            keep[:1] = True
         at = np.flatnonzero(keep)
         of = np.repeat(np.arange(len(block.rows)), block.ends - block.starts)[at]
         place = at - block.starts[of]
-        row0 = int(block.rows[0])
-        single = len(block.rows) == 1
         base = 0
-        if single and tail is not None and tail[0] == row0:
+        if goes_on:
             base = tail[3]
             parts, places, rows = [tail[1]], [tail[2]], [np.zeros(len(tail[1]), np.int64)]
         parts.append(low[at])
