@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opinionlake.functions.values import let
+
 # Id spellings found in review cards, most reliable first.
 CARD_ID_PATTERNS = (
     r"fn_ToggleCommentReviewPaper\('(\d+)'\)",
@@ -41,10 +43,29 @@ def extract_id(text: Column, patterns: Sequence[str] = CARD_ID_PATTERNS) -> Colu
     return first_match(text, [(p, 1) for p in patterns])
 
 
+def round_tenths(x: Column) -> Column:
+    """To one decimal, by the exact value of the double; halves to even.
+
+    Built-in rounding works on the shortest decimal text, by which 8.35 is a
+    half; the double is a little less. The product 20 x is taken exactly, as a
+    rounded product and its error, and compared with the odd number between
+    the two candidates.
+    """
+    tens = F.floor(x * 10)
+    # Splitting x into two halves makes both products exact.
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    product = x * 20
+    error = (high * 20 - product) + (x - high) * 20
+    above = (product - (tens * 2 + 1)) + error
+    up = (above > 0) | ((above == 0) & (tens % 2 == 1))
+    return (tens + F.when(up, 1).otherwise(0)) / F.lit(10.0)
+
+
 def rating_from_width(text: Column) -> Column:
     """Star bar width in percent to a 10-point rating; 0.0 when absent."""
     percent = F.regexp_extract(text, STAR_WIDTH, 1).try_cast("double")
-    return F.coalesce(F.bround(percent / 10, 1), F.lit(0.0))
+    return F.coalesce(round_tenths(percent / 10), F.lit(0.0))
 
 
 def rating_from_suffix(text: Column) -> Column:
@@ -53,9 +74,10 @@ def rating_from_suffix(text: Column) -> Column:
     return F.coalesce(F.floor(found / 2), F.lit(5)).cast("string")
 
 
-def rating_from_count(text: Column, mark: str = STAR_ON, word: str = RATING_WORD) -> Column:
-    """Number of lit star marks, else the stated rating, else NULL."""
-    lit = F.regexp_count(F.lower(text), F.lit(mark))
+def rating_from_count(text: Column, mark: str = STAR_ON, word: str = RATING_WORD, stars: Column | None = None) -> Column:
+    """Number of lit star marks in the star block (the whole text if none is
+    given), else the rating stated in the text, else NULL."""
+    lit = F.regexp_count(F.lower(text if stars is None else stars), F.lit(mark))
     return F.when(lit > 0, lit.cast("string")).otherwise(first_match(text, [(word, 1)]))
 
 
@@ -68,3 +90,71 @@ def url_param(url: Column, name: str, default: str | None = None) -> Column:
     """Query parameter; malformed URLs give the default."""
     found = F.nullif(F.try_parse_url(url, F.lit("QUERY"), F.lit(name)), F.lit(""))
     return F.coalesce(found, F.lit(default)) if default is not None else found
+
+
+# Named characters of markup; the ampersand comes last.
+NAMED_CHARACTERS = {
+    "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "hellip": "…", "middot": "·", "bull": "•",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "ndash": "–", "mdash": "—", "copy": "©", "reg": "®",
+    "trade": "™", "times": "×", "laquo": "«", "raquo": "»", "amp": "&",
+}
+
+
+# A reference by number, decimal or hexadecimal.
+NUMBERED = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point as it stands in a reference."""
+    digits = F.when(code.rlike("^[xX]"), F.substring(code, 2, 6)).otherwise(F.conv(code, 10, 16))
+    known = F.conv(digits, 16, 10).cast("long") <= 0x10FFFF
+    return F.when(known, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
+def _numbered(text: Column) -> Column:
+    chars = F.transform(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1)), _character)
+    joined = F.zip_with(F.split(text, NUMBERED, -1), chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
+    return F.when(text.contains("&#"), F.array_join(joined, "")).otherwise(text)
+
+
+def _named(text: Column) -> Column:
+    out = text
+    for name, shown in NAMED_CHARACTERS.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(shown))
+    return F.when(text.contains("&"), out).otherwise(text)
+
+
+def decode_entities(text: Column) -> Column:
+    """Character references as characters: by number, then by name."""
+    return let(let(text, _numbered), _named)
+
+
+def until_close(html: Column, tag: str) -> Column:
+    """What comes before the closing tag of an element whose opening tag stands
+    just before ``html``; elements of the same name inside it are passed over.
+    Everything, if it is never closed."""
+    step = lambda p: (
+        F.when(p.rlike(f"(?i)^</{tag}[\\s>]"), -1)
+        .when(p.rlike(f"(?i)^<{tag}(\\s[^>]*)?/>"), 0)
+        .when(p.rlike(f"(?i)^<{tag}[\\s>]"), 1)
+        .otherwise(0)
+    )
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+
+    def inside(pieces: Column) -> Column:
+        walked = F.aggregate(
+            F.transform(pieces, step),
+            start,
+            lambda s, d: F.struct(
+                F.when(s["depth"] == 0, 0).otherwise(s["depth"] + d).alias("depth"),
+                F.when((s["depth"] == 0) | (s["depth"] + d == 0), s["n"]).otherwise(s["n"] + 1).alias("n"),
+            ),
+        )
+        return F.array_join(F.slice(pieces, 1, walked["n"]), "")
+
+    return let(F.split(html, f"(?i)(?=</?{tag}[\\s/>])", -1), inside)
+
+
+def inner(html: Column, opening: str, tag: str) -> Column:
+    """Markup inside the first element whose opening tag matches, else empty."""
+    return until_close(F.regexp_extract(html, f"(?s){opening}[^>]*>(.*)$", 1), tag)

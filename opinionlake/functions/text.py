@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opinionlake.functions.values import strip
 from opinionlake.profiles import KEPT_RANGES, Profile
 
 NBSP = "\u00a0"
@@ -51,8 +52,15 @@ def word_len(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(blanks + 1).cast("int")
 
 
+def fill_lengths(df, *texts: str, chars: str = "content_len", words: str = "word_len"):
+    """Lengths a table lacks, as columns or as values, from its first text."""
+    text = first_text(*[F.col(t) for t in texts])
+    made = {chars: char_len(text), words: word_len(text)}
+    return df.withColumns({n: F.coalesce(F.col(n), v) if n in df.columns else v for n, v in made.items()})
+
+
 def fix_nbsp(text: Column) -> Column:
-    return F.trim(F.replace(text, F.lit(NBSP), F.lit(" ")))
+    return strip(F.replace(text, F.lit(NBSP), F.lit(" ")))
 
 
 def strip_tail(text: Column, marker: str = r"\+\s*더보기") -> Column:

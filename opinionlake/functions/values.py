@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinionlake.profiles import DATE_FORMATS, NA_TOKENS, WEEKDAY_NAMES
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+BLANK_ENDS = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}$"
 
 
@@ -23,8 +25,18 @@ def to_number(value: Column) -> Column:
     return F.when(value.rlike(NUMBER), value.try_cast("double"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
+
+
+def strip(value: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(value, BLANK_ENDS, "")
+
+
 def to_moment(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    text = F.trim(value)
+    text = strip(value)
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
@@ -95,11 +107,38 @@ def iso_text(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def plain_value(value: Column, kind: T.DataType) -> Column:
+    """A value of any type in its plain form: NaN as NULL, moments as ISO
+    text, keys of maps as field names; lists, maps and records throughout.
+
+    Keys that become equal keep the last value, as plain fields would.
+    """
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value), value)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return iso_text(value.cast("timestamp"))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: plain_value(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.map_entries(value)
+        names = F.transform(entries, lambda e: safe_key(e["key"].cast("string")))
+        # Of equal names the last entry stays.
+        last = F.filter(
+            F.transform(entries, lambda e, i: F.struct(F.get(names, i).alias("key"), plain_value(e["value"], kind.valueType).alias("value"), i.alias("i"))),
+            lambda e: ~F.array_contains(F.slice(names, e["i"] + 2, F.greatest(F.size(names), F.lit(1))), e["key"]),
+        )
+        return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[plain_value(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), inner)
+    return value
+
+
 def valid_email(value: Column) -> Column:
     return F.coalesce(value.rlike(EMAIL), F.lit(False))
 
 
 def normalize_label(label: Column, allowed: Sequence[str], default: str | None) -> Column:
-    """Trimmed, lowercased label; anything outside ``allowed`` is ``default``."""
-    plain = F.lower(F.trim(label))
+    """Stripped, lowercased label; anything outside ``allowed`` is ``default``."""
+    plain = F.lower(strip(label))
     return F.when(plain.isin(*allowed), plain).otherwise(F.lit(default))

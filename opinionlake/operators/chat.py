@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from opinionlake.functions.values import normalize_label
 from opinionlake.profiles import (
     DEFAULT_ROUTE,
+    HIT_FIELDS,
+    HIT_MISSING,
+    HIT_UNKNOWN_SOURCE,
     NO_HITS_MESSAGE,
     ROUTE_LABELS,
     SITES,
     SUBJECT_FIELD_DEFAULT,
+    SUBJECT_LABELS,
     SUBJECT_MISSING_MESSAGE,
 )
 
@@ -34,12 +38,14 @@ def route_counts(df: DataFrame, label: str) -> DataFrame:
 def subject_text(key: Column, title: Column, author: Column, summary: Column, keywords: Column) -> Column:
     """Description of one subject; absent fields have a stated default."""
     known = F.lit(SUBJECT_FIELD_DEFAULT)
+    label = {name: F.lit(f"{shown}: ") for name, shown in SUBJECT_LABELS.items()}
+    line = F.lit("\n")
     head = F.concat(
-        F.lit("제목: "), F.coalesce(title, key),
-        F.lit("\n저자: "), F.coalesce(author, known),
-        F.lit("\n요약: "), F.coalesce(summary, known),
-    )
-    tail = F.concat(F.lit("\n키워드: "), join_list(keywords))
+        label["title"], F.coalesce(title, key), line,
+        label["author"], F.coalesce(author, known), line,
+        label["summary"], F.coalesce(summary, known),
+    )
+    tail = F.concat(line, label["keywords"], join_list(keywords))
     return F.concat(head, F.coalesce(tail, F.lit("")))
 
 
@@ -59,12 +65,13 @@ def lookup_subject(wanted: DataFrame, subjects: DataFrame, key: str = "key") ->
 
 
 def hit_line(rank: Column, source: Column, rating: Column, date: Column, content: Column) -> Column:
+    first, second = (F.lit(f", {name}=") for name in HIT_FIELDS)
+    missing = F.lit(HIT_MISSING)
     return F.concat(
-        F.lit("["), rank.cast("string"), F.lit("] ("), F.coalesce(source, F.lit("unknown")),
-        F.lit(", rating="), F.coalesce(rating.cast("string"), F.lit("NA")),
-        F.lit(", date="), F.coalesce(date.cast("string"), F.lit("NA")),
+        F.lit("["), rank.cast("string"), F.lit("] ("), F.coalesce(source, F.lit(HIT_UNKNOWN_SOURCE)),
+        first, F.coalesce(rating.cast("string"), missing), second, F.coalesce(date.cast("string"), missing),
         F.lit(") "), content,
-    )
+    )
 
 
 def context(questions: DataFrame, hits: DataFrame, key: str = "query_id") -> DataFrame:

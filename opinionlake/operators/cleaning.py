@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from opinionlake.functions.text import char_len, clean_text, once, word_len
 from opinionlake.functions.values import na_to_null, to_moment, to_number
 from opinionlake.operators.ranking import first_by
 from opinionlake.profiles import PROFILES, SITES, Profile
+from opinionlake.session import run_dir
 
 RAW_COLUMNS = ("rating", "date", "content")
 ALL: tuple[Profile, ...] = tuple(PROFILES.values())
@@ -112,19 +114,41 @@ def basic_clean(df: DataFrame, as_of: dt.datetime, profiles: Sequence[Profile] =
     return rows.where(per_site({p.site: F.col("content_len") >= max(p.min_chars, 1) for p in profiles}))
 
 
+def staged(rows: DataFrame, work: str | None = None) -> DataFrame:
+    """Rows written to the shared folder by site and read back, so that what
+    follows does not compute them again and reads the columns it needs."""
+    folder = f"{work}/{uuid.uuid4().hex}" if work else run_dir(rows.sparkSession, "staged")
+    rows.write.partitionBy("site").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def preprocess(
-    df: DataFrame, profiles: Profile | Sequence[Profile], as_of: dt.datetime, order: str = "review_seq"
+    df: DataFrame,
+    profiles: Profile | Sequence[Profile],
+    as_of: dt.datetime,
+    order: str = "review_seq",
+    work: str | None = None,
 ) -> DataFrame:
     """Whole cleaning pipeline, for one site or several at once.
 
-    Sites without duplicate keys pass without a shuffle; only the others are
-    grouped. A length quantile reads its own site once more, for lengths.
-    Rows without a ``site`` column are taken as the one profile's.
+    The input is read and cleaned in one pass. Where a later rule looks at a
+    site's rows again (a length quantile, or groups of sites with different
+    duplicate keys), the cleaned rows are staged first, by site, in ``work``
+    or a folder of their own. Rows without a ``site`` column are taken as the
+    one profile's.
     """
     profiles = (profiles,) if isinstance(profiles, Profile) else tuple(profiles)
     if "site" not in df.columns:
         df = df.withColumn("site", F.lit(profiles[0].site))
     rows = basic_clean(df, as_of, profiles)
+    if len({p.dedupe for p in profiles}) > 1 or any(p.length_quantile is not None for p in profiles):
+        rows = staged(rows, work)
+    return length_rules(keep_first(rows, profiles, order), profiles)
+
+
+def keep_first(rows: DataFrame, profiles: Sequence[Profile], order: str) -> DataFrame:
+    """First copy per duplicate key of its site; sites without keys pass
+    without a shuffle. Texts meet as digests."""
     groups: dict[tuple[str, ...], list[Profile]] = {}
     for p in profiles:
         groups.setdefault(p.dedupe, []).append(p)
@@ -132,14 +156,15 @@ def preprocess(
     for keys, members in groups.items():
         part = rows.where(F.col("site").isin(*[p.site for p in members])) if len(groups) > 1 else rows
         if keys:
-            part = first_by(part, ["site", *keys], [F.col(order)])
-        part = length_rules(part, members)
+            short = [F.sha2(k, 256) if k == "content_clean" else F.col(k) for k in keys]
+            part = first_by(part, ["site", *short], [F.col(order)])
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def length_rules(df: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
-    """Upper quantile first, then the word and character window, by site."""
+def length_flags(df: DataFrame, profiles: Sequence[Profile]) -> tuple[Column, Column]:
+    """(within the upper quantile, within the word and character window), by
+    site. The quantile is taken over ``df``."""
     length = F.col("content_len")
     capped, trimmed = {}, {}
     for p in profiles:
@@ -147,10 +172,14 @@ def length_rules(df: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
             capped[p.site] = length <= quantile_bound(df.where(F.col("site") == p.site), "content_len", p.length_quantile)
         if p.max_chars is not None or p.min_words:
             trimmed[p.site] = (length <= (p.max_chars or MOST)) & (F.col("word_len") >= p.min_words)
-    for rule in (capped, trimmed):
-        if rule:
-            df = df.where(per_site(rule, default=F.lit(True)))
-    return df
+    yes = F.lit(True)
+    return (per_site(capped, default=yes) if capped else yes), (per_site(trimmed, default=yes) if trimmed else yes)
+
+
+def length_rules(df: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
+    """Upper quantile first, then the word and character window, by site."""
+    capped, trimmed = length_flags(df, profiles)
+    return df.where(capped & trimmed)
 
 
 def preprocess_all(reviews: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -163,32 +192,40 @@ def cleaned_by_site(text: Column, profiles: Sequence[Profile] = ALL) -> Column:
     return per_site({p.site: clean_text(text, p) for p in profiles})
 
 
-def filter_report(df: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Rows left after each filter step per site, in one pass."""
+def filter_report(df: DataFrame, as_of: dt.datetime, order: str = "review_seq") -> DataFrame:
+    """Rows left after each step of cleaning per site; the last count is what
+    ``preprocess`` keeps. The input is read once: the steps look at a staged
+    table of flags, lengths and digests."""
     whole = F.lit(True)
     for c in RAW_COLUMNS:
-        whole = whole & F.col(f"raw_{c}").isNotNull()
-    steps = {"rows_before": F.lit(True)}
-    steps["rows_complete"] = whole
-    steps["rows_typed"] = steps["rows_complete"] & F.col("rating").isNotNull() & F.col("date").isNotNull()
-    steps["rows_in_range"] = steps["rows_typed"] & per_site(
-        {s: rating_between(F.col("rating"), p) for s, p in PROFILES.items()}
-    )
-    steps["rows_not_future"] = steps["rows_in_range"] & per_site(
-        {s: not_future(F.col("date"), as_of, p) for s, p in PROFILES.items()}
-    )
-    steps["rows_long_enough"] = steps["rows_not_future"] & per_site(
-        {s: F.col("content_len") >= max(p.min_chars, 1) for s, p in PROFILES.items()}
-    )
-    raw = null_tokens(require_columns(df))
-    staged = raw.select(
-        "site",
-        *[F.col(c).alias(f"raw_{c}") for c in RAW_COLUMNS],
-        to_number(F.col("rating")).alias("rating"),
-        to_moment(F.col("date")).alias("date"),
-        F.length(cleaned_by_site(F.col("content"))).alias("content_len"),
-    )
-    counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in steps.items()]
-    return staged.groupBy("site").agg(*counts).withColumn(
-        "rows_removed", F.col("rows_before") - F.col("rows_long_enough")
+        whole = whole & F.col(c).isNotNull()
+    steps = {"rows_before": F.lit(True), "rows_complete": whole}
+    steps["rows_typed"] = whole & F.col("_rating").isNotNull() & F.col("_date").isNotNull()
+    inside = {s: rating_between(F.col("_rating"), p) for s, p in PROFILES.items()}
+    steps["rows_in_range"] = steps["rows_typed"] & per_site(inside)
+    past = {s: not_future(F.col("_date"), as_of, p) for s, p in PROFILES.items()}
+    steps["rows_not_future"] = steps["rows_in_range"] & per_site(past)
+    enough = {s: F.col("content_len") >= max(p.min_chars, 1) for s, p in PROFILES.items()}
+    steps["rows_long_enough"] = steps["rows_not_future"] & per_site(enough)
+    text = F.col("_text")
+    known = null_tokens(require_columns(df)).where(F.col("site").isin(*SITES))
+    rows = (
+        known.withColumns({"_rating": to_number(F.col("rating")), "_date": to_moment(F.col("date"))})
+        .withColumn("_text", once(cleaned_by_site(F.col("content"))))
+        .withColumns({"content_len": char_len(text), "word_len": word_len(text)})
+        .select(
+            "site", order, F.col("_rating").alias("rating"), F.col("_date").alias("date"),
+            F.sha2("_text", 256).alias("content_clean"), "content_len", "word_len",
+            *[F.coalesce(flag, F.lit(False)).alias(name) for name, flag in steps.items()],
+        )
+    )
+    rows = staged(rows)
+    counts = rows.groupBy("site").agg(*[F.count_if(name).alias(name) for name in steps])
+    unique = keep_first(rows.where("rows_long_enough"), ALL, order)
+    capped, trimmed = length_flags(unique, ALL)
+    left = unique.groupBy("site").agg(
+        F.count("*").alias("rows_unique"),
+        F.count_if(capped).alias("rows_under_quantile"),
+        F.count_if(capped & trimmed).alias("rows_kept"),
     )
+    return counts.join(left, "site", "left").fillna(0).withColumn("rows_removed", F.col("rows_before") - F.col("rows_kept"))

@@ -62,14 +62,26 @@ def merge_stats(target: DataFrame, batch: DataFrame, key: str, by: Sequence[str]
 
 
 def append_new(
-    spark: SparkSession, path: str, batch: DataFrame, key: str, order: str, run: str, partition: str | None = "site"
+    spark: SparkSession,
+    path: str,
+    batch: DataFrame,
+    key: str,
+    order: str,
+    run: str,
+    partition: str | None = "site",
+    values: Sequence | None = None,
 ) -> None:
     """Append a batch's new keys to the Parquet table at ``path``.
 
     One writer per table. Rows land in the ``run`` partition; a rerun after
-    a crash finds what was written before and adds only the rest.
+    a crash finds what was written before and adds only the rest. ``values``
+    are the values of ``partition`` the batch holds, where they are known (a
+    key belongs to one of them): only these partitions are read.
     """
     known = read_table(spark, path)
+    if known is not None and partition and values is not None:
+        given = F.col(partition).isin(*[v for v in values if v is not None])
+        known = known.where(given | F.col(partition).isNull() if None in values else given)
     fresh = to_insert(known, batch, key, order) if known is not None else first_by(batch, [key], [F.col(order)])
     folders = [partition, "run"] if partition else ["run"]
     fresh.withColumn("run", F.lit(run)).write.mode("append").partitionBy(*folders).parquet(path)
@@ -80,7 +92,7 @@ def insert_only(
 ) -> dict[str, int]:
     """``append_new`` with its counts. They come from the written files, not
     from task-side counters, which retries would inflate."""
-    append_new(spark, path, batch, key, order, run, partition)
+    append_new(spark, path, batch, key, order, run, partition=partition)
     inserted = spark.read.parquet(path).where(F.col("run") == run).count()
     total = batch.count()
     return {"total": total, "inserted": inserted, "matched": total - inserted}

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
-
 
 def first_by(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
     """First row per key in a total order.
@@ -25,14 +23,17 @@ def head_per(
 ) -> DataFrame:
     """First ``n`` rows per key in ascending total order, with their rank.
 
-    Two rounds: within slices of the input's partitions, then over the at
-    most ``n * SLICES`` rows per key that remain. The outcome is the same
-    however the rows are sliced.
+    Two rounds, for any ``n``: rows are dealt into as many slices as the
+    session has shuffle partitions, so that a key that holds everything is
+    ranked by all of them, and each slice keeps ``n`` rows per key; then these
+    at most ``n`` * slices rows are ranked. The outcome does not depend on how
+    rows are dealt.
     """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = Window.partitionBy(*keys, "_slice").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return (
-        df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
+        df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(parts)))
         .withColumn(rank, F.row_number().over(slices))
         .where(F.col(rank) <= n)
         .drop("_slice")

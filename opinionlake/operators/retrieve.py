@@ -1,112 +1,68 @@
 """Exact nearest neighbours for a table of questions.
 
 Every question must meet every vector, and the result keeps k per question.
-Both tables are cut into blocks by a hash of their unique id, and each pair
-of blocks is one group: a matrix product in a task that returns at most k
-hits per question. No pair of rows is ever written, blocks have a byte bound
-whatever the data holds, and equal vectors or copied texts do not gather.
+The questions are a stated set, taken in blocks of bounded bytes; a block goes
+to all tasks, and the corpus streams past it where it is read: it is neither
+shuffled nor copied. A task keeps k hits per question of the block, whatever
+it has read, so no pair of rows is ever written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinionlake.operators import tfidf as T
-from opinionlake.profiles import NEIGHBOURS, Profile
+from opinionlake.functions.text import word_tokens
+from opinionlake.profiles import NEIGHBOURS
+from opinionlake.session import run_dir
 
 BLOCK_BYTES = 32 << 20
 DIGITS = 6
+# Corpus rows that are scored at once.
+ROWS = 256
 
 
-def block_top_k(k: int, dim: int, metric: str, digits: int = DIGITS) -> Callable:
-    """Task function: questions and corpus block -> k best hits per question.
+class Best:
+    """The k best hits per question so far. Scores are rounded before ranking
+    and ties go to the smaller id, so the order of rows does not matter."""
 
-    Scores are rounded before ranking and ties go to the smaller id, so the
-    result does not depend on how the blocks are cut.
-    """
+    def __init__(self, ids: np.ndarray, k: int) -> None:
+        self.ids, self.k = ids, k
+        self.cost = np.full((len(ids), 0), np.inf)
+        self.doc = np.zeros((len(ids), 0), np.int64)
 
-    def dense(part: pd.DataFrame) -> np.ndarray:
-        if "slots" not in part:
-            return np.stack(part["vec"].to_numpy()).astype(np.float64)
-        out = np.zeros((len(part), dim))
-        sizes = part["slots"].map(len).to_numpy()
-        if sizes.sum():
-            rows = np.repeat(np.arange(len(part)), sizes)
-            out[rows, np.concatenate(part["slots"].to_numpy())] = np.concatenate(part["weights"].to_numpy())
-        return out
-
-    def run(questions: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
-        found = {"query_id": [], "doc_id": [], "score": []}
-        if len(questions) and len(corpus):
-            corpus = corpus.sort_values("doc_id")
-            ids, m = corpus["doc_id"].to_numpy(), dense(corpus)
-            asked, all_q = questions["query_id"].to_numpy(), dense(questions)
-            squares = (m * m).sum(axis=1)
-            step = max(1, (8 << 20) // (8 * len(ids)))
-            for start in range(0, len(asked), step):
-                q = all_q[start : start + step]
-                products = q @ m.T
-                if metric == "l2":
-                    cost = np.maximum((q * q).sum(axis=1)[:, None] + squares - 2 * products, 0.0)
-                else:
-                    cost = -products
-                cost = np.floor(cost * 10**digits + 0.5) / 10**digits
-                keep = min(k, len(ids))
-                limits = np.partition(cost, keep - 1, axis=1)[:, keep - 1]
-                for i, limit in enumerate(limits):
-                    near = np.flatnonzero(cost[i] <= limit)
-                    if metric == "dot":
-                        near = near[cost[i][near] < 0]
-                    best = near[np.argsort(cost[i][near], kind="stable")][:keep]
-                    found["query_id"].append(np.full(len(best), asked[start + i]))
-                    found["doc_id"].append(ids[best])
-                    found["score"].append(cost[i][best] if metric == "l2" else -cost[i][best])
-        parts = {n: np.concatenate(v) if v else np.array([], dtype=t) for (n, v), t in zip(found.items(), ("i8", "i8", "f8"))}
-        return pd.DataFrame(parts)
-
-    return run
-
-
-def blocks_for(rows: int, dim: int, least: int = 1) -> int:
-    per_block = max(1, BLOCK_BYTES // (8 * dim))
-    return max(1, ceil(rows / per_block), min(least, ceil(rows / 256)))
-
-
-def nearest(
-    questions: DataFrame,
-    corpus: DataFrame,
-    dim: int,
-    k: int = NEIGHBOURS,
-    metric: str = "l2",
-    n_questions: int | None = None,
-    n_corpus: int | None = None,
-) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k nearest, exactly.
+    def add(self, cost: np.ndarray, doc: np.ndarray) -> None:
+        """Costs (questions by rows), infinite where a row is no hit."""
+        cost = np.hstack([self.cost, cost.round(DIGITS)])
+        doc = np.hstack([self.doc, np.broadcast_to(doc, (len(self.ids), len(doc)))])
+        if cost.shape[1] > self.k:
+            order = np.lexsort((doc, cost))[:, : self.k]
+            cost, doc = np.take_along_axis(cost, order, 1), np.take_along_axis(doc, order, 1)
+        self.cost, self.doc = cost, doc
 
-    ``questions`` has query_id, ``corpus`` has doc_id, both 64-bit; vectors
-    are ``vec`` arrays, or ``slots`` and ``weights`` for sparse ones. Metric
-    'l2' is the squared distance, lower first; 'dot' the product, higher
-    first, positive only. Row counts size the blocks and are taken here when
-    not given.
-    """
-    cores = questions.sparkSession.sparkContext.defaultParallelism
-    a = blocks_for(n_questions if n_questions is not None else questions.count(), dim)
-    b = blocks_for(n_corpus if n_corpus is not None else corpus.count(), dim, cores)
-    left = questions.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(a)).cast("int")).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
-    )
-    right = corpus.withColumn("_c", F.pmod(F.xxhash64("doc_id"), F.lit(b)).cast("int")).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(a - 1)))
-    )
-    hits = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(
-        block_top_k(k, dim, metric), "query_id long, doc_id long, score double"
-    )
+    def rows(self, sign: float) -> pd.DataFrame:
+        found = np.isfinite(self.cost)
+        asked = np.broadcast_to(self.ids[:, None], self.doc.shape)
+        return pd.DataFrame({"query_id": asked[found], "doc_id": self.doc[found], "score": sign * self.cost[found]})
+
+
+def question_blocks(questions: DataFrame, row_bytes: int) -> Iterator[pd.DataFrame]:
+    """The questions in blocks of about BLOCK_BYTES, by a hash of their id."""
+    n = questions.count()
+    parts = max(1, ceil(n * row_bytes / BLOCK_BYTES))
+    for part in range(parts if n else 0):
+        block = questions.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toPandas()
+        if len(block):
+            yield block
+
+
+def ranked(hits: DataFrame, k: int, metric: str) -> DataFrame:
     best = F.col("score") if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy("query_id").orderBy(best, "doc_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
@@ -114,38 +70,125 @@ def nearest(
     )
 
 
-def sparse(rows: DataFrame, id_col: str, name: str) -> DataFrame:
-    """``tfidf_rows`` output as slots and weights; rows without terms go."""
-    return rows.where(F.size("terms") > 0).select(
-        F.col(id_col).cast("long").alias(name),
-        F.transform("terms", lambda t: t["slot"]).alias("slots"),
-        F.transform("terms", lambda t: t["tfidf"]).alias("weights"),
+def streamed(corpus: DataFrame, blocks: list, score: Callable, k: int, metric: str, id_type: str) -> DataFrame:
+    """``score(block, rows)`` gives the costs of a batch of corpus rows."""
+    spark = corpus.sparkSession
+    hits = f"query_id {id_type}, doc_id long, score double"
+    sign = 1.0 if metric == "l2" else -1.0
+
+    def part(block) -> DataFrame:
+        held = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = Best(held.value["ids"], k)
+            for batch in batches:
+                for i in range(0, len(batch), ROWS):
+                    rows = batch.iloc[i : i + ROWS]
+                    best.add(score(held.value, rows), rows["doc_id"].to_numpy())
+            yield best.rows(sign)
+
+        return corpus.mapInPandas(run, hits)
+
+    if not blocks:
+        return spark.createDataFrame([], f"query_id {id_type}, rank int, doc_id long, score double")
+    return ranked(reduce(DataFrame.unionByName, [part(b) for b in blocks]), k, metric)
+
+
+def _dense_cost(metric: str) -> Callable:
+    def cost(block: dict, rows: pd.DataFrame) -> np.ndarray:
+        m = np.stack(rows["vec"].to_numpy()).astype(np.float64)
+        dot = block["m"] @ m.T
+        if metric == "l2":
+            return np.maximum(block["squares"][:, None] + (m * m).sum(axis=1) - 2 * dot, 0)
+        return np.where(dot.round(DIGITS) > 0, -dot, np.inf)
+
+    return cost
+
+
+def nearest(questions: DataFrame, corpus: DataFrame, dim: int, k: int = NEIGHBOURS, metric: str = "l2") -> DataFrame:
+    """(query_id, rank, doc_id, score): the k nearest, exactly.
+
+    ``questions`` has query_id (any type), ``corpus`` has doc_id (64-bit), and
+    both ``vec`` arrays. Metric 'l2' is the squared distance, lower first; 'dot'
+    the product, higher first, positive only.
+    """
+    blocks = []
+    for block in question_blocks(questions.select("query_id", "vec"), 8 * dim):
+        m = np.stack(block["vec"].to_numpy()).astype(np.float64)
+        blocks.append({"ids": block["query_id"].to_numpy(), "m": m, "squares": (m * m).sum(axis=1)})
+    return streamed(corpus.select("doc_id", "vec"), blocks, _dense_cost(metric), k, metric, dict(questions.dtypes)["query_id"])
+
+
+# --- by words -----------------------------------------------------------------
+
+
+def words_of(text: Column) -> Column:
+    """Lower-case words of two or more letters and digits of any script."""
+    return word_tokens(F.lower(text))
+
+
+def postings(rows: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, term, tf) of every row with a word."""
+    return rows.select(key, F.explode(words_of(F.col(text_col))).alias("term")).groupBy(key, "term").agg(
+        F.count("*").alias("tf")
+    )
+
+
+def _weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """(key, terms, weights): unit-norm TF-IDF of the terms that ``idf`` has."""
+    weighed = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    listed = weighed.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("term", "w"))).alias("_t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n")
+    )
+    return listed.select(
+        key, F.col("_t.term").alias("terms"), F.transform("_t.w", lambda w: w / F.col("_n")).alias("weights")
     )
 
 
+def _sparse_cost(block: dict, rows: pd.DataFrame) -> np.ndarray:
+    """Products of a few documents with all questions of a block, over the block's terms."""
+    out = np.full((len(block["ids"]), len(rows)), np.inf)
+    slot = block["slot"]
+    for i, (terms, weights) in enumerate(zip(rows["terms"], rows["weights"], strict=True)):
+        found = [(s, w) for s, w in zip(map(slot.get, terms), weights, strict=True) if s is not None]
+        if found:
+            at, w = zip(*found, strict=True)
+            dot = np.asarray(w) @ block["m"][list(at)]
+            out[:, i] = np.where(dot.round(DIGITS) > 0, -dot, np.inf)
+    return out
+
+
 def nearest_terms(
-    questions: DataFrame,
-    corpus: DataFrame,
-    profile: Profile,
-    query_id: str,
-    doc_id: str,
-    k: int = NEIGHBOURS,
-    text_col: str = "content_clean",
-    n_questions: int | None = None,
-    n_corpus: int | None = None,
+    questions: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k: int = NEIGHBOURS, text_col: str = "text"
 ) -> DataFrame:
-    """Lexical retrieval: TF-IDF fitted on the corpus, product as score."""
-    # One model for the whole corpus, whatever its documents' sites.
-    docs = T.partition_rows(corpus.select(doc_id, text_col), doc_id)
-    asked = T.partition_rows(questions.select(query_id, text_col), query_id)
-    vocab = T.fit(docs, profile, text_col)
-    return nearest(
-        sparse(T.weigh(asked, vocab, profile, query_id, text_col), query_id, "query_id"),
-        sparse(T.weigh(docs, vocab, profile, doc_id, text_col), doc_id, "doc_id"),
-        profile.max_features + 1, k, "dot",
-        n_questions if n_questions is not None else questions.count(),
-        n_corpus if n_corpus is not None else corpus.count(),
+    """Lexical retrieval: TF-IDF over all words of the corpus, product as score.
+
+    No vocabulary limit: rare words find what holds them. Documents are sparse
+    lists of their own terms, written once to the shared folder; a block of
+    questions holds a matrix of its own terms only.
+    """
+    spark = corpus.sparkSession
+    folder = run_dir(spark, "terms")
+    counts = postings(corpus, doc_id, text_col)
+    n = corpus.count()
+    idf = counts.groupBy("term").agg(F.count("*").alias("df")).select(
+        "term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf")
     )
+    idf.write.parquet(f"{folder}/idf")
+    idf = spark.read.schema("term string, idf double").parquet(f"{folder}/idf")
+    _weights(counts, idf, doc_id).withColumnRenamed(doc_id, "doc_id").write.parquet(f"{folder}/documents")
+    documents = spark.read.schema("doc_id long, terms array<string>, weights array<double>").parquet(f"{folder}/documents")
+    asked = _weights(postings(questions, query_id, text_col), idf, query_id).withColumnRenamed(query_id, "query_id")
+    blocks = []
+    # A question brings few terms, but a block's matrix has all its terms for all its questions.
+    for block in question_blocks(asked, 1 << 16):
+        terms = sorted({t for x in block["terms"] for t in x})
+        slot = {t: i for i, t in enumerate(terms)}
+        m = np.zeros((len(terms), len(block)))
+        for i, (names, weights) in enumerate(zip(block["terms"], block["weights"], strict=True)):
+            m[[slot[t] for t in names], i] = weights
+        blocks.append({"ids": block["query_id"].to_numpy(), "slot": slot, "m": m})
+    return streamed(documents, blocks, _sparse_cost, k, "dot", dict(asked.dtypes)["query_id"])
 
 
 def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,13 @@ from opinionlake.profiles import (
     CORPUS_CAP,
     KYOBO,
     PROFILES,
+    SITES,
     YES24,
     Profile,
 )
 from opinionlake.session import run_dir
-from opinionlake.sources import index, pages
-from opinionlake.sources.samples import raw_reviews, spread, table, user_changes, users
+from opinionlake.sources import files, index, pages
+from opinionlake.sources.samples import card_pages, raw_reviews, table, user_changes, users
 from opinionlake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +39,8 @@ AS_OF = dt.datetime(2026, 1, 1)
 SEEN_BEFORE = "1998-01-01"
 # Stopwords for the given texts, which hold no Hangul.
 LATIN_STOPWORDS = ("the", "of", "and", "to", "in", "der", "die", "la", "de", "et")
-TURN_BITS = 1 << 20
+# Caps of the capped queries, small enough to bite in small tables.
+CAPS = {site: n // 10 for site, n in COLLECT_TARGETS.items()}
 
 
 def wide(df: DataFrame) -> DataFrame:
@@ -187,6 +190,30 @@ def stopword_filter(spark, sf):
     )
 
 
+@query
+def length_backfill(spark, sf):
+    # Every fourth row lost its length; the words were never there.
+    rows = basic(spark, sf).drop("word_len").withColumn("content_len", F.when(F.col("review_seq") % 4 != 0, F.col("content_len")))
+    return TX.fill_lengths(rows, "content_clean", "content").select("review_seq", "site", "content_len", "word_len")
+
+
+@query
+def plain_values(spark, sf):
+    event, value = F.col("event_id"), F.col("value")
+    number = F.when(event % 3 == 0, F.lit(float("nan"))).otherwise(value)
+    record = F.struct(
+        F.array(number, value).alias("numbers"),
+        F.create_map(F.lit("a.b"), number, F.lit("a b"), value).alias("fields"),
+        F.struct(F.col("ts").cast("timestamp").alias("at")).alias("when"),
+    )
+    rows = table(spark, sf, "events").select("event_id", record.alias("r"))
+    plain = rows.select("event_id", V.plain_value(F.col("r"), rows.schema["r"].dataType).alias("r"))
+    return plain.select(
+        "event_id", F.col("r.numbers")[0].alias("number"), F.array_join(F.map_keys("r.fields"), ",").alias("names"),
+        F.col("r.fields")["a_b"].alias("field"), F.col("r.when.at").alias("at"),
+    )
+
+
 @query
 def rating_rescaled(spark, sf):
     return compare.rescale(processed(spark, sf)).select("review_seq", "site", "rating", "rating_5")
@@ -229,8 +256,8 @@ def dedupe_signature(spark, sf):
 
 @query
 def collect_capped(spark, sf):
-    capped = ranking.head_per(_by_content(raw_reviews(spark, sf)), ["site"], ["review_seq"], max(COLLECT_TARGETS.values()))
-    return capped.where(F.col("position") <= cleaning.per_site({s: F.lit(n) for s, n in COLLECT_TARGETS.items()}))
+    capped = ranking.head_per(_by_content(raw_reviews(spark, sf)), ["site"], ["review_seq"], max(CAPS.values()))
+    return capped.where(F.col("position") <= cleaning.per_site({s: F.lit(n) for s, n in CAPS.items()}))
 
 
 @query
@@ -242,7 +269,7 @@ def priority_fill(spark, sf):
 
 @query
 def corpus_capped(spark, sf):
-    return index.load_corpus(processed(spark, sf), CORPUS_CAP)
+    return index.load_corpus(processed(spark, sf), CORPUS_CAP // 10)
 
 
 # --- comparison ---------------------------------------------------------------
@@ -291,7 +318,8 @@ def length_density(spark, sf):
 
 @query
 def token_freq_10k(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text").repartition(parts, "doc_id")
     rates = compare.token_freq(docs, "source", "text", r"\p{L}{2,}")
     return rates.withColumn("rate", F.round("rate", 6))
 
@@ -400,12 +428,45 @@ def incremental_new(spark, sf):
     return keyed.new_only(rows, _seen(rows), "raw_id").select("review_seq", "site", "raw_id")
 
 
+def _two_runs(spark, sf) -> tuple[str, DataFrame]:
+    """The raw store arrives in two parts with an incremental run after each:
+    (folder, counts of the second run)."""
+    base = run_dir(spark, "store")
+    raw = pipeline.seed(raw_reviews(spark, sf))
+    early = F.coalesce(V.to_moment(F.col("date")) < F.lit(SEEN_BEFORE).cast("timestamp"), F.lit(False))
+    for run, part in (("first", raw.where(early)), ("second", raw.where(~early))):
+        files.save(part, f"{base}/raw", mode="append")
+        counts = pipeline.run_incremental(spark, f"{base}/raw", f"{base}/out", SITES, AS_OF, run)
+    return base, counts
+
+
 @query
 def incremental_run(spark, sf):
-    raw = pipeline.seed(raw_reviews(spark, sf))
-    before = cleaning.preprocess_all(_seen(raw), AS_OF)
-    done = keyed.with_processed_id(before).select("raw_id", "processed_id")
-    return pipeline.run_stats(raw, done, pipeline.incremental(raw, done, ALL, AS_OF))
+    return _two_runs(spark, sf)[1]
+
+
+@query
+def incremental_documents(spark, sf):
+    base, _ = _two_runs(spark, sf)
+    shown = F.transform(F.map_entries("tfidf"), lambda e: F.format_string("%s=%.6f", e["key"], e["value"]))
+    return spark.read.parquet(f"{base}/out/documents").select(
+        "site", "run", "review_seq", "raw_id", "processed_id", "content_len", "year_month",
+        r6("tfidf_sum"), "tfidf_nonzero_cnt", F.array_join(F.array_sort(shown), ";").alias("weights"),
+    )
+
+
+@query
+def incremental_ledger(spark, sf):
+    base, _ = _two_runs(spark, sf)
+    return spark.read.parquet(f"{base}/out/ledger").select("site", "run", "raw_id", "outcome")
+
+
+@query
+def incremental_rerun(spark, sf):
+    base, _ = _two_runs(spark, sf)
+    again = pipeline.run_incremental(spark, f"{base}/raw", f"{base}/out", SITES, AS_OF, "third")
+    documents = spark.read.parquet(f"{base}/out/documents").groupBy("site").agg(F.count("*").alias("documents"))
+    return again.join(documents, "site").select("site", "raw_count", "to_process_count", "inserted_new", "documents")
 
 
 @query
@@ -468,10 +529,13 @@ def user_valid_email(spark, sf):
 
 
 def _questions(spark, sf) -> DataFrame:
-    turns = table(spark, sf, "conversations").where("role = 'user'")
+    """What users ask, and of every conversation with a system turn a question
+    of one unknown word."""
+    turns = table(spark, sf, "conversations").where("role in ('user', 'system')")
+    unknown = F.concat(F.lit("zzqqx"), F.col("conv_id").cast("string"))
     return turns.select(
-        (F.col("conv_id") * TURN_BITS + F.col("turn")).alias("query_id"),
-        TX.clean_text(F.col("text"), KYOBO).alias("content_clean"),
+        F.concat_ws(":", "conv_id", "turn").alias("query_id"),
+        F.when(F.col("role") == "user", F.col("text")).otherwise(unknown).alias("text"),
     )
 
 
@@ -485,25 +549,52 @@ def vector_topk(spark, sf):
 
 @query
 def lexical_topk(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    corpus = docs.select("doc_id", TX.clean_text(F.col("text"), KYOBO).alias("content_clean"))
-    rows = table(spark, sf, "documents").count()
-    return retrieve.nearest_terms(_questions(spark, sf), corpus, KYOBO, "query_id", "doc_id", n_corpus=rows)
+    return retrieve.nearest_terms(_questions(spark, sf), table(spark, sf, "documents"), "query_id", "doc_id")
+
+
+def _marks(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding model."""
+    return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+def _index(spark, sf, times: int) -> tuple[DataFrame, DataFrame]:
+    base = run_dir(spark, "index")
+    corpus = index.load_corpus(processed(spark, sf))
+    for n in range(times):
+        # Only the first call may build; a later one would take a single row.
+        rows = corpus if n == 0 else corpus.limit(1)
+        vectors, meta = index.build_or_load_index(
+            spark, base, lambda rows=rows: retrieve.embed(rows, "page_content", _marks), f"reviews {n}"
+        )
+    return vectors, meta
+
+
+@query
+def index_build(spark, sf):
+    vectors, _ = _index(spark, sf, 1)
+    e = F.col("embedding")
+    return vectors.select("doc_id", "source_file", "rating", "date", e[0].cast("double").alias("chars"), e[1].cast("double").alias("marks"))
+
+
+@query
+def index_reuse(spark, sf):
+    vectors, meta = _index(spark, sf, 2)
+    built = meta.select("doc_count").scalar()
+    return vectors.groupBy("source_file").agg(F.count("*").alias("n")).withColumns(
+        {"doc_count": built, "built_from": meta.select("built_from").scalar()}
+    )
 
 
 @query
 def rag_context(spark, sf):
     # The corpus is written once and read by the model, the search and the
     # context lines, as a service would load its index.
-    corpus, meta = index.build_or_load_index(
-        spark,
-        run_dir(spark, "corpus"),
-        lambda: index.load_corpus(processed(spark, sf), cap=None),
-        "reviews",
+    corpus, _ = index.build_or_load_index(
+        spark, run_dir(spark, "corpus"), lambda: index.load_corpus(processed(spark, sf)), "reviews"
     )
-    text = corpus.select("doc_id", TX.clean_text(F.col("page_content"), KYOBO).alias("content_clean"))
     asked = _questions(spark, sf)
-    hits = retrieve.nearest_terms(asked, text, KYOBO, "query_id", "doc_id", n_corpus=meta.first().doc_count)
+    texts = corpus.select("doc_id", F.col("page_content").alias("text"))
+    hits = retrieve.nearest_terms(asked, texts, "query_id", "doc_id")
     named = corpus.withColumnsRenamed({"source_file": "source", "page_content": "content"})
     return chat.context(asked, hits.join(named, "doc_id"))
 
@@ -517,13 +608,15 @@ def conversation_history(spark, sf):
 def route_labels(spark, sf):
     # Roles stand in for router output, with blanks and case to normalise.
     role = F.col("role")
-    label = F.when(role == "user", " RAG_Review ").when(role == "system", "Subject_Info ").otherwise(role)
+    label = F.when(role == "user", "\u00a0RAG_Review\n").when(role == "system", "Subject_Info\t ").otherwise(role)
     return chat.route_counts(table(spark, sf, "conversations").withColumn("label", label), "label")
 
 
 @query
 def site_names(spark, sf):
-    named = raw_reviews(spark, sf).withColumn("asked", F.concat(F.lit(" "), F.upper("site"), F.lit("  ")))
+    seq = F.col("review_seq")
+    asked = F.when(seq % 7 == 0, F.concat("site", F.lit("x"))).when(seq % 11 != 0, F.concat(F.lit(" \t"), F.upper("site"), F.lit("\n")))
+    named = raw_reviews(spark, sf).withColumn("asked", asked)
     return named.select(chat.normalize_site(F.col("asked")).alias("site")).groupBy("site").agg(F.count("*").alias("n"))
 
 
@@ -573,26 +666,34 @@ def url_params(spark, sf):
 
 @query
 def extract_number_date(spark, sf):
-    url, html = F.col("url"), F.col("html")
-    return table(spark, sf, "pages").select(
-        "page_id",
-        X.extract_id(url, (r"[?&]page=(\d+)", r"[?&]id=(\d+)", r"/(\d+)")).alias("number"),
-        X.extract_date(html).alias("date"),
-        X.rating_from_width(html).alias("rating"),
+    html = F.col("html")
+    return card_pages(spark, sf).select(
+        "page_id", X.extract_id(html).alias("number"), X.extract_date(html).alias("date"), X.rating_from_width(html).alias("rating")
     )
 
 
 @query
 def pattern_count(spark, sf):
     html = F.col("html")
-    return table(spark, sf, "pages").select(
-        "page_id",
-        X.rating_from_count(html, "<li>").alias("items"),
-        X.rating_from_count(html).alias("rating"),
-        X.rating_from_suffix(html).alias("suffix_rating"),
+    return card_pages(spark, sf).select(
+        "page_id", X.rating_from_count(html).alias("rating"), X.rating_from_suffix(html).alias("suffix_rating")
     )
 
 
+@query
+def page_reviews(spark, sf):
+    cards = card_pages(spark, sf)
+    found = [pages.extract_reviews(cards.where(F.col("site") == s), rules) for s, rules in pages.PAGE_RULES.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def page_collect(spark, sf):
+    rules = pages.PAGE_RULES["aladin"]
+    rows = pages.extract_reviews(card_pages(spark, sf).where("site = 'aladin'"), rules)
+    return pages.collect(rows, rules, CAPS["aladin"]).select("page_id", "review_id", "position")
+
+
 # --- streams ------------------------------------------------------------------
 
 
@@ -611,3 +712,8 @@ def stream_monthly(spark, sf):
 @query
 def stream_dedupe_daily(spark, sf):
     return ingest.dedupe_daily(spark, sf)
+
+
+@query
+def stream_late_keys(spark, sf):
+    return ingest.late_keys(spark, sf)

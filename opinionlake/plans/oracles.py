@@ -6,18 +6,21 @@ filling, plain cross joins for neighbours. They only need to be right.
 
 from __future__ import annotations
 
-from opinionlake.plans.catalog import LATIN_STOPWORDS, SEEN_BEFORE, TURN_BITS
+from opinionlake.plans.catalog import CAPS, LATIN_STOPWORDS, SEEN_BEFORE
 from opinionlake.profiles import (
     COLLECT_TARGETS,
     CORPUS_CAP,
+    HIT_FIELDS,
     NA_TOKENS,
     NO_HITS_MESSAGE,
     STOPWORDS,
     SUBJECT_FIELD_DEFAULT,
+    SUBJECT_LABELS,
     SUBJECT_MISSING_MESSAGE,
 )
 
 AS_OF = "DATE '2026-01-01'"
+# The shops' kept characters, rating ranges, least lengths and term models, as in the profiles.
 KEEP = {
     "aladin": r"""[^0-9A-Za-z가-힣\s.,!?:;\-()\[\]"''/]""",
     "kyobo": r"[^0-9A-Za-z가-힣\s]",
@@ -103,7 +106,7 @@ def processed_from(source: str, prefix: str = "") -> str:
 
 PROCESSED = f"{BASIC},{processed_from('basic')}"
 
-MODEL = {  # lowercase, stopwords, bigrams, min_df, max_features
+MODEL = {  # fixed values: lowercase, stopwords, bigrams, min_df, max_features
     "aladin": (False, (), True, 1, 200),
     "kyobo": (True, (), False, 2, 1000),
     "yes24": (True, STOPWORDS, True, 2, 1000),
@@ -225,13 +228,6 @@ def basic_of(source: str, name: str) -> str:
   WHERE {LONG_ENOUGH})"""
 
 
-INCREMENTAL = f"""{KEYED},
-store AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY raw_id ORDER BY review_seq) = 1),
-store_seen AS (SELECT * FROM store WHERE try_cast(date AS DATE) < DATE '{SEEN_BEFORE}'),{basic_of('store_seen', 'old_basic')},{processed_from('old_basic', 'old_')},
-todo AS (SELECT * FROM store WHERE raw_id NOT IN (SELECT raw_id FROM old_processed)),{basic_of('todo', 'new_basic')},{processed_from('new_basic', 'new_')},
-known AS (SELECT DISTINCT {PROCESSED_ID} AS id FROM old_processed),
-made AS (SELECT site, {PROCESSED_ID} AS id FROM new_processed)"""
-
 USERS = """
 users AS (
   SELECT 'user' || CAST(c_custkey AS VARCHAR) || '@example.com' AS email,
@@ -255,18 +251,31 @@ SELECT seq, email, CASE WHEN email IN (SELECT email FROM users) THEN '{present}'
 FROM changes WHERE op = '{op}'""")
 
 
-QUESTIONS = f"""
+QUESTIONS = """
 questions AS (
-  SELECT conv_id * {TURN_BITS} + turn AS query_id, {cleaned('text', 'kyobo')} AS content_clean
-  FROM conversations WHERE role = 'user')"""
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS query_id,
+         CASE role WHEN 'user' THEN text ELSE 'zzqqx' || CAST(conv_id AS VARCHAR) END AS asked
+  FROM conversations WHERE role IN ('user', 'system'))"""
+
+
+def word_counts(source: str, key: str, text: str, name: str) -> str:
+    return f"""
+{name} AS (
+  SELECT {key}, term, count(*) AS tf
+  FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM {source})
+  GROUP BY ALL)"""
 
 
-def lexical(source: str, key: str) -> str:
-    """CTE hits(query_id, rank, doc_id, score) over ``source`` with the word model."""
-    return f"""{model('kyobo', source, key)},{counts('questions', 'kyobo', 'asked_tf', 'query_id')},{weights('asked_tf', 'kyobo_vocab', 'asked_w', 'query_id')},
+def lexical(source: str, key: str, text: str) -> str:
+    """CTE hits(query_id, rank, doc_id, score): all words of ``source``, no vocabulary limit."""
+    return f"""{word_counts(source, key, text, 'held')},
+idf AS (
+  SELECT term, ln((1.0 + (SELECT count(*) FROM {source})) / (1.0 + count(*))) + 1 AS idf FROM held GROUP BY term),
+{weights('held', 'idf', 'held_w', key)},{word_counts('questions', 'query_id', 'asked', 'asked_tf')},
+{weights('asked_tf', 'idf', 'asked_w', 'query_id')},
 scored AS (
   SELECT query_id, {key} AS doc_id, round(sum(a.tfidf * d.tfidf), 6) AS score
-  FROM asked_w a JOIN kyobo_w d USING (term) GROUP BY ALL),
+  FROM asked_w a JOIN held_w d USING (term) GROUP BY ALL),
 hits AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
   FROM scored WHERE score > 0 QUALIFY rank <= 4)"""
@@ -297,6 +306,45 @@ def first_of(*found: str) -> str:
     return "coalesce(" + ", ".join(f"nullif({f}, '')" for f in found) + ")"
 
 
+CARDS = """
+cards AS (
+  SELECT doc_id AS page_id, CASE doc_id % 3 WHEN 0 THEN 'aladin' WHEN 1 THEN 'kyobo' ELSE 'yes24' END AS site, text,
+         CASE WHEN doc_id % 19 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day,
+         CAST(printf('%.1f', (CAST(floor(value * 10) AS BIGINT) % 1001) / 10.0 / 10) AS DOUBLE) AS ten
+  FROM documents JOIN events ON doc_id = event_id JOIN orders ON doc_id = o_orderkey),
+reviews AS (
+  SELECT page_id, site, day AS date,
+         CASE site WHEN 'kyobo' THEN CAST(ten AS VARCHAR) WHEN 'yes24' THEN CAST(page_id % 11 // 2 AS VARCHAR)
+              ELSE CASE WHEN page_id % 6 > 0 THEN CAST(page_id % 6 AS VARCHAR) WHEN page_id % 4 = 0 THEN '3' ELSE '' END END AS rating,
+         trim(regexp_replace(CASE site WHEN 'aladin' THEN 'A & B''s in tail ' ELSE 'A & B in tail ' END || text, '[\\s\\x0b\\p{Z}]+', ' ', 'g')) AS content
+  FROM cards WHERE site <> 'kyobo' OR day <> '')"""
+
+
+def run_documents(source: str, run: str) -> str:
+    """Documents that a run makes of raw rows, with weights fitted on them alone."""
+    each = all_sites(f"""
+SELECT p.site, '{run}' AS run, p.review_seq, p.raw_id, {PROCESSED_ID} AS processed_id, p.content_len,
+       strftime(p.date, '%Y-%m') AS year_month, round(coalesce(w.tfidf_sum, 0.0), 6) AS tfidf_sum,
+       coalesce(w.n, 0) AS tfidf_nonzero_cnt, w.weights
+FROM $site p LEFT JOIN (
+  SELECT review_seq, sum(tfidf) AS tfidf_sum, count(*) AS n,
+         array_to_string(list_sort(list(name || '=' || printf('%.6f', tfidf))), ';') AS weights
+  FROM $site_w JOIN $site_named USING (term) GROUP BY review_seq) w USING (review_seq)""")
+    named = ",".join(NAMED.replace("$site", s) for s in SITES)
+    return f"WITH {basic_of(source, 'basic')},{processed_from('basic')},{MODELS},{named}\n{each}"
+
+
+TWO_RUNS = f"""{KEYED},
+store AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY raw_id ORDER BY review_seq) = 1),
+early AS (SELECT * FROM store WHERE coalesce(try_cast(date AS DATE) < DATE '{SEEN_BEFORE}', FALSE)),
+late AS (SELECT * FROM store WHERE raw_id NOT IN (SELECT raw_id FROM early)),
+made AS (
+  SELECT *, 0 AS nth FROM ({run_documents('early', 'first')})
+  UNION ALL SELECT *, 1 AS nth FROM ({run_documents('late', 'second')})),
+documents_out AS (
+  SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY processed_id ORDER BY nth, review_seq) = 1)"""
+
+
 ORACLES: dict[str, str] = {
     "na_tokens": on(NULLED, "SELECT review_seq, site, rating, date, content FROM nulled"),
     **{
@@ -320,21 +368,32 @@ FROM (SELECT *, quantile_cont(content_len, 0.99) OVER (PARTITION BY site) AS p F
     "len_p99_clip": on(BASIC, """
 SELECT review_seq, site, content_len, round(least(CAST(content_len AS DOUBLE), p), 6) AS clipped_len
 FROM (SELECT *, quantile_cont(content_len, 0.99) OVER (PARTITION BY site) AS p FROM basic)"""),
-    "filter_report": on(f"""{TYPED},
+    "filter_report": on(f"""{PROCESSED},
 steps AS (
-  SELECT site, rating_text IS NOT NULL AND date_text IS NOT NULL AND content IS NOT NULL AS complete,
-         rating, date, length({BY_SITE}) AS content_len FROM typed),
+  SELECT site, rating_text IS NOT NULL AND date_text IS NOT NULL AND content IS NOT NULL AS complete, rating, date FROM typed),
 flags AS (
   SELECT site, complete, complete AND rating IS NOT NULL AND date IS NOT NULL AS typed_ok,
          complete AND date IS NOT NULL AND coalesce({IN_RANGE}, FALSE) AS ranged,
-         complete AND coalesce({IN_RANGE}, FALSE) AND coalesce(date <= {AS_OF}, FALSE) AS past,
-         complete AND coalesce({IN_RANGE}, FALSE) AND coalesce(date <= {AS_OF}, FALSE)
-           AND coalesce({LONG_ENOUGH}, FALSE) AS kept
-  FROM steps)""", """
-SELECT site, count(*) AS rows_before, CAST(count_if(complete) AS BIGINT) AS rows_complete, CAST(count_if(typed_ok) AS BIGINT) AS rows_typed,
-       CAST(count_if(ranged) AS BIGINT) AS rows_in_range, CAST(count_if(past) AS BIGINT) AS rows_not_future, CAST(count_if(kept) AS BIGINT) AS rows_long_enough,
-       count(*) - CAST(count_if(kept) AS BIGINT) AS rows_removed
-FROM flags GROUP BY site"""),
+         complete AND coalesce({IN_RANGE}, FALSE) AND coalesce(date <= {AS_OF}, FALSE) AS past
+  FROM steps),
+counted AS (
+  SELECT site, count(*) AS rows_before, count_if(complete) AS rows_complete, count_if(typed_ok) AS rows_typed,
+         count_if(ranged) AS rows_in_range, count_if(past) AS rows_not_future FROM flags GROUP BY site),
+uniq AS (
+  SELECT * FROM basic WHERE site <> 'kyobo' UNION ALL
+  SELECT * FROM basic WHERE site = 'kyobo'
+  QUALIFY row_number() OVER (PARTITION BY date, rating, content_clean ORDER BY review_seq) = 1),
+under AS (
+  SELECT site FROM uniq WHERE site <> 'yes24' OR content_len <=
+    (SELECT quantile_cont(content_len, 0.99) FROM uniq WHERE site = 'yes24'))""", """
+SELECT c.site, rows_before, CAST(rows_complete AS BIGINT) AS rows_complete, CAST(rows_typed AS BIGINT) AS rows_typed,
+       CAST(rows_in_range AS BIGINT) AS rows_in_range, CAST(rows_not_future AS BIGINT) AS rows_not_future,
+       (SELECT count(*) FROM basic b WHERE b.site = c.site) AS rows_long_enough,
+       (SELECT count(*) FROM uniq u WHERE u.site = c.site) AS rows_unique,
+       (SELECT count(*) FROM under u WHERE u.site = c.site) AS rows_under_quantile,
+       (SELECT count(*) FROM processed p WHERE p.site = c.site) AS rows_kept,
+       rows_before - (SELECT count(*) FROM processed p WHERE p.site = c.site) AS rows_removed
+FROM counted c"""),
     "iso_and_null": on(RAW, """
 SELECT review_seq, try_cast(rating AS DOUBLE) AS rating,
        strftime(try_cast(date AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') AS date_iso
@@ -350,6 +409,11 @@ SELECT review_seq, site, content_len, CAST(len(string_split(content_clean, ' '))
 SELECT review_seq, CAST(len(k) AS BIGINT) AS n_tokens, array_to_string(k, ' ') AS tokens
 FROM (SELECT review_seq, list_filter(string_split(lower(content_clean), ' '),
         lambda x: length(x) >= 2 AND x NOT IN ({quoted(LATIN_STOPWORDS)})) AS k FROM basic)"""),
+    "length_backfill": on(BASIC, f"SELECT review_seq, site, content_len, CAST({WORDS} AS BIGINT) AS word_len FROM basic"),
+    "plain_values": """
+SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS number, 'a_b' AS names, value AS field,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at
+FROM events""",
     "rating_rescaled": on(PROCESSED, """
 SELECT review_seq, site, rating, CASE WHEN site = 'kyobo' THEN rating / 2 ELSE rating END AS rating_5
 FROM processed"""),
@@ -364,7 +428,7 @@ SELECT min(review_seq) AS review_seq, site, signature FROM signed GROUP BY site,
 SELECT review_seq, site, position FROM (
   SELECT review_seq, site, row_number() OVER (PARTITION BY site ORDER BY review_seq) AS position FROM (
     SELECT min(review_seq) AS review_seq, site FROM raw_reviews WHERE content IS NOT NULL GROUP BY site, content))
-WHERE position <= CASE site {' '.join(f"WHEN '{s}' THEN {n}" for s, n in COLLECT_TARGETS.items())} END"""),
+WHERE position <= CASE site {' '.join(f"WHEN '{s}' THEN {n}" for s, n in CAPS.items())} END"""),
     "priority_fill": on(SIGNED, f"""
 SELECT review_seq, site, signature, priority FROM (
   SELECT *, CASE site WHEN 'kyobo' THEN CAST(0 AS BIGINT) ELSE 1 END AS priority FROM signed WHERE site IN ('kyobo', 'yes24'))
@@ -373,7 +437,7 @@ ORDER BY priority, review_seq LIMIT {COLLECT_TARGETS['kyobo']}"""),
     "corpus_capped": on(f"{PROCESSED},{CORPUS}", f"""
 SELECT doc_id, page_content, source_file, rating, date FROM (
   SELECT * FROM corpus WHERE page_content IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY site ORDER BY doc_id) <= {CORPUS_CAP})
+  QUALIFY row_number() OVER (PARTITION BY site ORDER BY doc_id) <= {CORPUS_CAP // 10})
 WHERE page_content <> ''"""),
     "site_summary": on(PROCESSED, """
 SELECT site, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date,
@@ -453,14 +517,23 @@ SELECT review_seq, site, raw_id, rating, date, content FROM keyed
 QUALIFY row_number() OVER (PARTITION BY raw_id ORDER BY review_seq) = 1"""),
     "incremental_new": on(KEYED, """
 SELECT review_seq, site, raw_id FROM keyed WHERE raw_id NOT IN (SELECT raw_id FROM seen)"""),
-    "incremental_run": on(INCREMENTAL, all_sites("""
-SELECT '$site' AS site, (SELECT count(*) FROM store WHERE site = '$site') AS raw_count,
-       (SELECT count(*) FROM todo WHERE site = '$site') AS to_process_count,
-       (SELECT count(*) FROM made WHERE site = '$site') AS processed_rows,
-       (SELECT count(DISTINCT id) FROM made WHERE site = '$site' AND id NOT IN (SELECT id FROM known)) AS inserted_new,
-       (SELECT count(*) FROM made WHERE site = '$site') -
-       (SELECT count(DISTINCT id) FROM made WHERE site = '$site' AND id NOT IN (SELECT id FROM known)) AS matched_existing
-""")),
+    "incremental_run": on(TWO_RUNS, """
+SELECT site, (SELECT count(*) FROM store x WHERE x.site = s.site) AS raw_count,
+       (SELECT count(*) FROM late x WHERE x.site = s.site) AS to_process_count,
+       (SELECT count(*) FROM made x WHERE x.site = s.site AND nth = 1) AS processed_rows,
+       (SELECT count(*) FROM documents_out x WHERE x.site = s.site AND nth = 1) AS inserted_new,
+       (SELECT count(*) FROM made x WHERE x.site = s.site AND nth = 1) -
+       (SELECT count(*) FROM documents_out x WHERE x.site = s.site AND nth = 1) AS matched_existing
+FROM (SELECT DISTINCT site FROM store) s"""),
+    "incremental_documents": on(TWO_RUNS, "SELECT * EXCLUDE (nth) FROM documents_out"),
+    "incremental_ledger": on(TWO_RUNS, """
+SELECT site, CASE WHEN raw_id IN (SELECT raw_id FROM early) THEN 'first' ELSE 'second' END AS run, raw_id,
+       CASE WHEN raw_id IN (SELECT raw_id FROM made) THEN 'kept' ELSE 'rejected' END AS outcome
+FROM store"""),
+    "incremental_rerun": on(TWO_RUNS, """
+SELECT site, count(*) AS raw_count, CAST(0 AS BIGINT) AS to_process_count, CAST(0 AS BIGINT) AS inserted_new,
+       (SELECT count(*) FROM documents_out d WHERE d.site = s.site) AS documents
+FROM store s GROUP BY site"""),
     "user_get": on(USERS, """
 SELECT email, password, username, username IS NOT NULL AS found
 FROM (SELECT DISTINCT email FROM changes WHERE op = 'login') LEFT JOIN users USING (email)"""),
@@ -495,21 +568,26 @@ WITH d AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank, doc_id, score
 FROM d QUALIFY rank <= 4""",
     "lexical_topk": on(
-        f"""{QUESTIONS},
-docs AS (SELECT doc_id, {cleaned('text', 'kyobo')} AS content_clean FROM documents),{lexical('docs', 'doc_id')}""",
-        "SELECT query_id, rank, doc_id, score FROM hits",
+        f"{QUESTIONS},{lexical('documents', 'doc_id', 'text')}", "SELECT query_id, rank, doc_id, score FROM hits"
     ),
     "rag_context": on(
         f"""{PROCESSED},{CORPUS},{QUESTIONS},
-docs AS (SELECT doc_id, {cleaned('page_content', 'kyobo')} AS content_clean FROM corpus WHERE page_content <> ''),{lexical('docs', 'doc_id').replace('kyobo_', 'doc_')},
+docs AS (SELECT * FROM corpus WHERE page_content <> ''),{lexical('docs', 'doc_id', 'page_content')},
 lines AS (
-  SELECT query_id, count(*) AS n, string_agg('[' || rank || '] (' || source_file || ', rating=' || rating ||
-           ', date=' || date || ') ' || page_content, chr(10) ORDER BY rank) AS context
+  SELECT query_id, count(*) AS n, string_agg('[' || rank || '] (' || source_file || ', {HIT_FIELDS[0]}=' || rating ||
+           ', {HIT_FIELDS[1]}=' || date || ') ' || page_content, chr(10) ORDER BY rank) AS context
   FROM hits JOIN corpus USING (doc_id) GROUP BY query_id)""",
         f"""
 SELECT query_id, coalesce(n, 0) AS n_hits, coalesce(context, '{NO_HITS_MESSAGE}') AS context
 FROM questions LEFT JOIN lines USING (query_id)""",
     ),
+    "index_build": on(f"{PROCESSED},{CORPUS}", """
+SELECT doc_id, source_file, rating, date, CAST(length(page_content) AS DOUBLE) AS chars,
+       CAST(length(page_content) - length(replace(page_content, 'e', '')) AS DOUBLE) AS marks
+FROM corpus WHERE page_content <> ''"""),
+    "index_reuse": on(f"{PROCESSED},{CORPUS}", """
+SELECT source_file, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS doc_count, 'reviews 0' AS built_from
+FROM corpus WHERE page_content <> '' GROUP BY source_file"""),
     "conversation_history": """
 SELECT conv_id, turn, role, role || ': ' || text AS line,
        row_number() OVER w AS position,
@@ -519,13 +597,15 @@ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
 SELECT CASE role WHEN 'user' THEN 'rag_review' WHEN 'system' THEN 'subject_info' ELSE 'chat' END AS route,
        count(*) AS n
 FROM conversations GROUP BY 1""",
-    "site_names": on(RAW, "SELECT site, count(*) AS n FROM raw_reviews GROUP BY site"),
+    "site_names": on(RAW, """
+SELECT CASE WHEN review_seq % 7 <> 0 AND review_seq % 11 <> 0 THEN site END AS site, count(*) AS n
+FROM raw_reviews GROUP BY 1"""),
     "subject_lookup": f"""
 SELECT c_custkey, key, CASE WHEN n_nationkey IS NULL THEN '{SUBJECT_MISSING_MESSAGE}' ELSE
-  '제목: ' || n_name || chr(10) ||
-  '저자: ' || CASE WHEN n_regionkey = 0 THEN '{SUBJECT_FIELD_DEFAULT}' ELSE 'region ' || n_regionkey END || chr(10) ||
-  '요약: ' || CASE WHEN n_regionkey = 1 THEN '{SUBJECT_FIELD_DEFAULT}' ELSE 'about ' || n_name END ||
-  CASE WHEN n_regionkey = 2 THEN '' ELSE chr(10) || '키워드: ' || n_name || ', r' || n_regionkey END END AS response
+  '{SUBJECT_LABELS["title"]}: ' || n_name || chr(10) ||
+  '{SUBJECT_LABELS["author"]}: ' || CASE WHEN n_regionkey = 0 THEN '{SUBJECT_FIELD_DEFAULT}' ELSE 'region ' || n_regionkey END || chr(10) ||
+  '{SUBJECT_LABELS["summary"]}: ' || CASE WHEN n_regionkey = 1 THEN '{SUBJECT_FIELD_DEFAULT}' ELSE 'about ' || n_name END ||
+  CASE WHEN n_regionkey = 2 THEN '' ELSE chr(10) || '{SUBJECT_LABELS["keywords"]}: ' || n_name || ', r' || n_regionkey END END AS response
 FROM (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'none' ELSE CAST(c_nationkey AS VARCHAR) END AS key FROM customer)
 LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = key""",
     "index_meta": "SELECT count(*) AS doc_count, 'embeddings' AS built_from FROM embeddings",
@@ -537,21 +617,22 @@ SELECT page_id, coalesce({first_of("regexp_extract(url, '[?&]page=([^&#]*)', 1)"
        {first_of("regexp_extract(url, '[?&]ref=([^&#]*)', 1)")} AS ref,
        coalesce({first_of("regexp_extract(url, '/([0-9]+)', 1)")}, '0') AS number
 FROM pages""",
-    "extract_number_date": f"""
-SELECT page_id, {first_of("regexp_extract(url, '[?&]page=([0-9]+)', 1)", "regexp_extract(url, '[?&]id=([0-9]+)', 1)", "regexp_extract(url, '/([0-9]+)', 1)")} AS number,
-       replace({first_of("regexp_extract(html, '[0-9]{4}-[0-9]{2}-[0-9]{2}')", "regexp_extract(html, '[0-9]{4}[.][0-9]{2}[.][0-9]{2}')")}, '.', '-') AS date,
-       coalesce(round_even(try_cast(nullif(regexp_extract(html, 'width:\\s*([0-9.]+)%', 1), '') AS DOUBLE) / 10, 1), 0.0) AS rating
-FROM pages""",
-    "pattern_count": """
-SELECT page_id,
-       CASE WHEN n_li > 0 THEN CAST(n_li AS VARCHAR) ELSE word END AS items,
-       CASE WHEN n_on > 0 THEN CAST(n_on AS VARCHAR) ELSE word END AS rating,
-       coalesce(CAST(suffix // 2 AS VARCHAR), '5') AS suffix_rating
-FROM (SELECT page_id, len(regexp_extract_all(lower(html), '<li>')) AS n_li,
-             len(regexp_extract_all(lower(html), 'icon_star_on')) AS n_on,
-             nullif(regexp_extract(html, '별점\\s*([1-5])', 1), '') AS word,
-             try_cast(nullif(regexp_extract(html, 'total_rating_([0-9]+)', 1), '') AS BIGINT) AS suffix
-      FROM pages)""",
+    "extract_number_date": on(CARDS, """
+SELECT page_id, CASE site WHEN 'aladin' THEN CAST(page_id AS VARCHAR) END AS number,
+       CASE WHEN site <> 'kyobo' AND day <> '' THEN day ELSE '1999-09-09' END AS date,
+       CASE site WHEN 'kyobo' THEN ten ELSE 0.0 END AS rating
+FROM cards"""),
+    "pattern_count": on(CARDS, """
+SELECT page_id, CASE WHEN site <> 'aladin' THEN NULL WHEN lit > 0 THEN CAST(lit AS VARCHAR) WHEN page_id % 4 = 0 THEN '3' END AS rating,
+       CASE site WHEN 'yes24' THEN CAST(page_id % 11 // 2 AS VARCHAR) ELSE '5' END AS suffix_rating
+FROM (SELECT *, page_id % 6 + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS lit FROM cards)"""),
+    "page_reviews": on(CARDS, """
+SELECT page_id, CAST(1 AS BIGINT) AS card_no, site, rating, date, content,
+       CASE site WHEN 'aladin' THEN CAST(page_id AS VARCHAR) ELSE md5(date || '|' || rating || '|' || content) END AS review_id
+FROM reviews"""),
+    "page_collect": on(CARDS, f"""
+SELECT page_id, CAST(page_id AS VARCHAR) AS review_id, row_number() OVER (ORDER BY page_id) AS position
+FROM reviews WHERE site = 'aladin' QUALIFY position <= {CAPS['aladin']}"""),
     "stream_daily": """
 SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1""",
     "stream_monthly": """
@@ -559,4 +640,8 @@ SELECT CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n, round(avg(
 FROM events GROUP BY 1""",
     "stream_dedupe_daily": """
 SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS event_day FROM events""",
+    "stream_late_keys": """
+SELECT user_id, event_type, event_day,
+       CAST(min(CASE WHEN day(event_day) >= 21 THEN 0 WHEN day(event_day) >= 11 THEN 1 ELSE 2 END) AS BIGINT) AS delivery
+FROM (SELECT user_id, event_type, CAST(ts AS DATE) AS event_day FROM events) GROUP BY ALL""",
 }

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionlake.functions.values import date_parts, safe_key
 from opinionlake.operators import tfidf as T
-from opinionlake.operators.cleaning import ALL, preprocess, preprocess_all
+from opinionlake.operators.cleaning import ALL, preprocess
 from opinionlake.operators.keyed import (
     append_new,
     distinct_keys,
@@ -20,8 +21,8 @@ from opinionlake.operators.keyed import (
     with_raw_id,
 )
 from opinionlake.operators.ranking import first_by
-from opinionlake.profiles import PROFILES, Profile
-from opinionlake.session import run_dir
+from opinionlake.profiles import PROFILES
+from opinionlake.session import remove_dir, run_dir
 from opinionlake.sources.files import load_raw, save
 
 
@@ -41,6 +42,19 @@ def featurize(df: DataFrame, profiles: T.Profiles, id_col: str = "review_seq") -
     return attach(with_dates(df), weights, id_col)
 
 
+def fitted_features(df: DataFrame, profiles: T.Profiles, work: str, id_col: str = "review_seq") -> DataFrame:
+    """``featurize`` plus the map of field-safe names, from one fit: the kept
+    vocabulary (at most ``max_features`` rows per profile) is written to
+    ``work``, and weights and names both read it."""
+    rows = T.partition_rows(T.sited(df, profiles).select(id_col, "site", "content_clean"), id_col)
+    fitted = T.fit(rows, profiles)
+    fitted.write.parquet(f"{work}/vocabulary")
+    vocab = df.sparkSession.read.schema(fitted.schema).parquet(f"{work}/vocabulary")
+    weights = T.weigh(rows, vocab, profiles, id_col).withColumns(T.row_sums())
+    names = name_maps(weights.select(id_col, "site", F.inline("terms")), vocab, id_col)
+    return attach(attach(with_dates(df), weights.drop("site", "terms"), id_col), names, id_col)
+
+
 def term_names(vocab: DataFrame) -> DataFrame:
     """(site, term, name): field-safe unique names of each site's vocabulary,
     taken in term order. A list holds at most ``max_features`` terms."""
@@ -49,73 +63,96 @@ def term_names(vocab: DataFrame) -> DataFrame:
     return listed.select("site", F.explode(named).alias("_n")).select("site", F.col("_n.key").alias("term"), "_n.name")
 
 
-def tfidf_maps(df: DataFrame, profiles: T.Profiles, id_col: str = "review_seq") -> DataFrame:
-    """(id, tfidf map<name, weight>) for every row with a kept term."""
-    rows = T.partition_rows(T.sited(df, profiles).select(id_col, "site", "content_clean"), id_col)
-    vocab = T.fit(rows, profiles)
+def name_maps(long: DataFrame, vocab: DataFrame, id_col: str = "review_seq") -> DataFrame:
+    """(id, tfidf map<name, weight>) from long weights (id, site, term, tfidf)."""
     names = F.broadcast(term_names(vocab))  # at most max_features rows per profile
-    long = T.weigh(rows, vocab, profiles, id_col).select(id_col, "site", F.inline_outer("terms"))
     return long.join(names, ["site", "term"]).groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("name", "tfidf"))).alias("tfidf")
     )
 
 
+def tfidf_maps(df: DataFrame, profiles: T.Profiles, id_col: str = "review_seq") -> DataFrame:
+    """(id, tfidf map<name, weight>) for every row with a kept term."""
+    rows = T.partition_rows(T.sited(df, profiles).select(id_col, "site", "content_clean"), id_col)
+    vocab = T.fit(rows, profiles)
+    return name_maps(T.weigh(rows, vocab, profiles, id_col).select(id_col, "site", F.inline("terms")), vocab, id_col)
+
+
 def seed(df: DataFrame) -> DataFrame:
     """Raw store rows: text columns, content key, first copy per key."""
     return first_by(with_raw_id(df), ["raw_id"], [F.col("review_seq")])
 
 
-def incremental(raw: DataFrame, processed: DataFrame, profiles: T.Profiles, as_of: dt.datetime) -> DataFrame:
-    """Cleaned rows of raw rows not processed before, with both keys."""
-    return with_processed_id(preprocess(new_only(raw, processed, "raw_id"), profiles, as_of))
+def incremental(raw: DataFrame, seen: DataFrame, profiles: T.Profiles, as_of: dt.datetime, work: str | None = None) -> DataFrame:
+    """Cleaned rows of raw rows not seen before, with both keys."""
+    return with_processed_id(preprocess(new_only(raw, seen, "raw_id"), profiles, as_of, work=work))
 
 
-def run_stats(raw: DataFrame, processed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Counts of an incremental run, one row per site of ``raw``."""
-    done = distinct_keys(processed, "raw_id").withColumn("known", F.lit(True))
+def run_stats(raw: DataFrame, seen: DataFrame, processed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Counts of an incremental run, one row per site of ``raw``: ``seen`` has
+    the raw ids of earlier runs, ``processed`` the ids of written documents."""
+    done = distinct_keys(seen, "raw_id").withColumn("known", F.lit(True))
     todo = raw.select("site", "raw_id").join(done, "raw_id", "left").groupBy("site").agg(
         F.count("*").alias("raw_count"), F.count_if(F.col("known").isNull()).alias("to_process_count")
     )
-    seen = distinct_keys(processed, "processed_id").withColumn("known", F.lit(True))
+    written = distinct_keys(processed, "processed_id").withColumn("known", F.lit(True))
     keys = rows.groupBy("site", "processed_id").agg(F.count("*").alias("n"))
-    made = keys.join(seen, "processed_id", "left").groupBy("site").agg(
+    made = keys.join(written, "processed_id", "left").groupBy("site").agg(
         F.sum("n").alias("processed_rows"), F.count_if(F.col("known").isNull()).alias("inserted_new")
     )
     counts = todo.join(made, "site", "left").fillna(0)
     return counts.withColumn("matched_existing", F.col("processed_rows") - F.col("inserted_new"))
 
 
+def _known(spark: SparkSession, path: str, key: str, sites: Sequence[str]) -> DataFrame:
+    """Keys of a table partitioned by site, read from the given sites only."""
+    table = read_table(spark, path)
+    if table is None:
+        return spark.createDataFrame([], f"{key} string")
+    return table.where(F.col("site").isin(*sites)).select(key)
+
+
 def run_incremental(
-    spark: SparkSession, raw_path: str, out_path: str, site: str, as_of: dt.datetime, run: str
+    spark: SparkSession, raw_path: str, out_path: str, sites: str | Sequence[str], as_of: dt.datetime, run: str
 ) -> DataFrame:
-    """Process one site's new raw rows and append the new documents.
-
-    The cleaned rows are written to the shared folder first: features,
-    counts and the output all read that table, and a lost executor costs
-    tasks of one step and not the whole lineage.
+    """Process the sites' raw rows that no earlier run has seen, and append
+    their documents.
+
+    Two tables below ``out_path``, by site and run: ``documents``, and
+    ``ledger`` with every raw id a run has seen and whether cleaning kept it.
+    Rejected rows are so never taken up again. The ledger is written last: a
+    run that broke off is done again as a whole, and inserts only what it had
+    not written. Cleaned rows and the vocabulary are written to the shared
+    folder first and removed at the end.
     """
-    profile = PROFILES[site]
-    raw = load_raw(spark, raw_path, site)
-    processed = read_table(spark, out_path)
-    if processed is None:
-        processed = raw.select("raw_id", F.lit(None).cast("string").alias("processed_id")).limit(0)
-    processed = processed.select("raw_id", "processed_id")
-    staged = run_dir(spark, f"clean-{site}")
-    save(incremental(raw, processed, profile, as_of).drop("site"), staged)
-    rows = spark.read.parquet(staged).withColumn("site", F.lit(site))
-    stats_path = run_dir(spark, f"stats-{site}")
-    run_stats(raw, processed, rows).write.parquet(stats_path)
-    documents = attach(featurize(rows, profile).drop("terms"), tfidf_maps(rows, profile), "review_seq")
-    append_new(spark, out_path, documents, "processed_id", "review_seq", run)
-    return spark.read.parquet(stats_path)
+    sites = (sites,) if isinstance(sites, str) else tuple(sites)
+    profiles = [PROFILES[s] for s in sites]
+    raw = load_raw(spark, raw_path, sites)
+    seen = _known(spark, f"{out_path}/ledger", "raw_id", sites)
+    processed = _known(spark, f"{out_path}/documents", "processed_id", sites)
+    work = run_dir(spark, "incremental")
+    clean = incremental(raw, seen, profiles, as_of, work)
+    save(clean, f"{work}/clean")
+    rows = spark.read.schema(clean.schema).parquet(f"{work}/clean")
+    stats = run_stats(raw, seen, processed, rows)
+    counts = spark.createDataFrame(stats.collect(), stats.schema)  # one row per site
+    documents = fitted_features(rows, profiles, work)
+    append_new(spark, f"{out_path}/documents", documents, "processed_id", "review_seq", run, values=sites)
+    kept = rows.select("raw_id", F.lit("kept").alias("outcome"))
+    new_only(raw, seen, "raw_id").select("site", "raw_id").join(kept, "raw_id", "left").select(
+        "site", F.lit(run).alias("run"), "raw_id", F.coalesce("outcome", F.lit("rejected")).alias("outcome")
+    ).write.mode("append").partitionBy("site", "run").parquet(f"{out_path}/ledger")
+    remove_dir(spark, work)
+    return counts
 
 
 def run_all(reviews: DataFrame, out_path: str, as_of: dt.datetime) -> DataFrame:
     """Clean and featurise all sites in one job, one table by site."""
     spark = reviews.sparkSession
-    staged = run_dir(spark, "clean-all")
-    clean = preprocess_all(reviews, as_of)
-    save(clean, staged)
-    rows = spark.read.schema(clean.schema).parquet(staged)
+    work = run_dir(spark, "all-sites")
+    clean = preprocess(reviews, ALL, as_of, work=work)
+    save(clean, f"{work}/clean")
+    rows = spark.read.schema(clean.schema).parquet(f"{work}/clean")
     save(featurize(rows, ALL), out_path)
+    remove_dir(spark, work)
     return spark.read.parquet(out_path)

@@ -24,7 +24,7 @@ WEEKDAY_NAMES = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 ROUTE_LABELS = ("chat", "subject_info", "rag_review")
 DEFAULT_ROUTE = "chat"
 # Accepted date spellings, tried in this order.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy.MM.dd", "yyyy/MM/dd")
 # Rows collected per shop, and rows per shop in the retrieval corpus.
 COLLECT_TARGETS = {"aladin": 550, "kyobo": 600, "yes24": 550}
 CORPUS_CAP = 500
@@ -34,6 +34,11 @@ NO_HITS_MESSAGE = (
 )
 SUBJECT_MISSING_MESSAGE = "어떤 대상의 정보를 원하시는지 알려주세요."
 SUBJECT_FIELD_DEFAULT = "정보 없음"
+# Labels of a subject's lines, and of the fields of a hit line.
+SUBJECT_LABELS = {"title": "제목", "author": "저자", "summary": "요약", "keywords": "키워드"}
+HIT_FIELDS = ("rating", "date")
+HIT_UNKNOWN_SOURCE = "unknown"
+HIT_MISSING = "NA"
 # -----------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +47,10 @@ def read_all(spark: SparkSession, folder: str, sites: tuple[str, ...] = SITES) -
     return out
 
 
-def load_raw(spark: SparkSession, path: str, site: str) -> DataFrame:
-    """One site of the keyed raw store: one partition, needed columns only."""
-    return spark.read.parquet(path).where(F.col("site") == site).select(
+def load_raw(spark: SparkSession, path: str, sites: str | Sequence[str]) -> DataFrame:
+    """Sites of the keyed raw store: their partitions, needed columns only."""
+    sites = (sites,) if isinstance(sites, str) else tuple(sites)
+    return spark.read.parquet(path).where(F.col("site").isin(*sites)).select(
         "raw_id", "review_seq", "site", "rating", "date", "content"
     )
 

@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionlake.functions.text import first_text
+from opinionlake.functions.values import strip
 from opinionlake.operators.keyed import read_table
 from opinionlake.operators.ranking import head_per
-from opinionlake.profiles import CORPUS_CAP
 
 
-def load_corpus(df: DataFrame, cap: int | None = CORPUS_CAP, order: str = "review_seq") -> DataFrame:
-    """Documents for retrieval: cleaned or else raw text, the first ``cap``
-    rows with text per site, blank ones dropped after the cap."""
+def load_corpus(df: DataFrame, cap: int | None = None, order: str = "review_seq") -> DataFrame:
+    """Documents for retrieval: cleaned or else raw text; with ``cap`` the
+    first so many rows with text per site. Blank ones are dropped last."""
     docs = df.withColumn("page_content", first_text(F.col("content_clean"), F.col("content"))).where(
         F.col("page_content").isNotNull()
     )
     if cap is not None:
         docs = head_per(docs, ["site"], [order], cap).drop("position")
-    return docs.withColumn("page_content", F.trim("page_content")).where(F.col("page_content") != "").select(
+    return docs.withColumn("page_content", strip(F.col("page_content"))).where(F.col("page_content") != "").select(
         F.col(order).alias("doc_id"),
         "page_content",
         F.concat(F.lit("preprocessed_reviews_"), F.col("site"), F.lit(".csv")).alias("source_file"),

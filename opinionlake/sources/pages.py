@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinionlake.functions import extract as X
-from opinionlake.functions.text import fix_nbsp, strip_tail
-from opinionlake.functions.values import signature
+from opinionlake.functions.text import fix_nbsp, once, strip_tail
+from opinionlake.functions.values import let, signature, strip
 from opinionlake.operators.ranking import first_by, head_per
-from opinionlake.profiles import COLLECT_TARGETS
 
 
 def page_blocks(pages: DataFrame, pattern: str = r"(?s)<p>(.*?)</p>") -> DataFrame:
@@ -24,14 +23,14 @@ def page_blocks(pages: DataFrame, pattern: str = r"(?s)<p>(.*?)</p>") -> DataFra
 
 
 def plain_text(html: Column) -> Column:
-    """Text of a piece of markup, blanks normalised."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"[\s\p{Z}]+", " "))
+    """Text of a piece of markup: no tags, characters for their references, blanks normalised."""
+    text = X.decode_entities(F.regexp_replace(html, r"(?s)<[^>]*>", " "))
+    return strip(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
 
 
 def element_text(block: Column, opening: str, closing: str) -> Column:
     """Text of the first element whose opening tag matches, else NULL."""
-    inner = F.regexp_extract(block, f"(?s){opening}[^>]*>(.*?){closing}", 1)
-    return F.nullif(plain_text(inner), F.lit(""))
+    return let(plain_text(X.inner(block, opening, closing.strip("</>"))), lambda t: F.nullif(t, F.lit("")))
 
 
 @dataclass(frozen=True)
@@ -65,8 +64,10 @@ PAGE_RULES = {
     "aladin": PageRules(
         site="aladin",
         card=r'<div[^>]*class="hundred_list[^"]*"[^>]*>',
-        rating=lambda c: F.coalesce(X.rating_from_count(c), F.lit("")),
-        date=lambda c: F.coalesce(X.first_match(c, [(X.DASHED_DATE, 0)]), F.lit("")),
+        rating=lambda c: F.coalesce(
+            X.rating_from_count(plain_text(c), stars=X.inner(c, r'<div[^>]*class="[^"]*HL_star', "div")), F.lit("")
+        ),
+        date=lambda c: F.coalesce(X.first_match(plain_text(c), [(X.DASHED_DATE, 0)]), F.lit("")),
         content=lambda c: F.coalesce(fix_nbsp(_hundred_or_long(c)), F.lit("")),
         review_id=X.extract_id,
         keys=("review_id",),
@@ -87,7 +88,7 @@ PAGE_RULES = {
     "yes24": PageRules(
         site="yes24",
         card=r'<div[^>]*class="reviewInfoGrp[^"]*"[^>]*>',
-        rating=X.rating_from_suffix,
+        rating=lambda c: X.rating_from_suffix(F.regexp_extract(c, r'(?s)class="[^"]*review_rating.*', 0)),
         date=lambda c: F.coalesce(element_text(c, r'<em[^>]*class="txt_date"', "</em>"), F.lit("")),
         content=lambda c: F.coalesce(
             element_text(c, r'class="reviewInfoBot origin".*?class="review_cont"', "</div>"), F.lit("")
@@ -101,21 +102,17 @@ PAGE_RULES = {
 def extract_reviews(pages: DataFrame, rules: PageRules) -> DataFrame:
     """(page_id, card_no, review_id, site, rating, date, content) as text.
 
-    A card runs from its opening tag to the next one. Rows a shop's rules
-    need a date or content for, and lack it, are dropped.
+    A card ends with its own closing tag, or at the next card. Rows a shop's
+    rules need a date or content for, and lack it, are dropped.
     """
     cards = pages.select("page_id", F.split("html", rules.card).alias("_c")).select(
         "page_id", F.posexplode_outer("_c").alias("card_no", "card")
-    ).where(F.col("card_no") > 0)
+    ).where(F.col("card_no") > 0).withColumn("card", once(X.until_close(F.col("card"), "div")))
     card = F.col("card")
+    fields = F.struct(rules.rating(card).alias("rating"), rules.date(card).alias("date"), rules.content(card).alias("content"))
     rows = cards.select(
-        "page_id", "card_no",
-        rules.review_id(card).alias("review_id"),
-        F.lit(rules.site).alias("site"),
-        rules.rating(card).alias("rating"),
-        rules.date(card).alias("date"),
-        rules.content(card).alias("content"),
-    )
+        "page_id", "card_no", rules.review_id(card).alias("review_id"), F.lit(rules.site).alias("site"), once(fields).alias("_f")
+    ).select("page_id", "card_no", "review_id", "site", "_f.*")
     rows = rows.withColumn(
         "review_id", F.coalesce("review_id", signature(F.col("date"), F.col("rating"), F.col("content")))
     )
@@ -125,7 +122,8 @@ def extract_reviews(pages: DataFrame, rules: PageRules) -> DataFrame:
 
 
 def collect(rows: DataFrame, rules: PageRules, target: int | None = None) -> DataFrame:
-    """First copy of each review in page order, up to the shop's target."""
+    """First copy of each review in page order, with ``target`` the first so
+    many of them; without it all, and no position."""
     order = ["page_id", "card_no"]
     kept = first_by(rows, list(rules.keys), [F.col(c) for c in order])
-    return head_per(kept, ["site"], order, COLLECT_TARGETS[rules.site] if target is None else target)
+    return kept if target is None else head_per(kept, ["site"], order, target)

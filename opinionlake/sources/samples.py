@@ -31,19 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the scan gives fewer tasks than that.
-
-    Only a small table in few row groups is shuffled; a large one has more
-    scan tasks than cores and passes through.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(review_seq, site, rating, date, content), all but the key as text."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    # Both joins are on the id. Texts are dealt by it first, so that one large row group is not one task.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(parts, "doc_id")
     stars = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("doc_id"), F.floor("value").cast("long").alias("v")
     )
@@ -105,3 +97,53 @@ def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         password.alias("password"),
         F.concat(F.lit("name"), (key % 11).cast("string")).alias("username"),
     )
+
+
+FOOTER = '<div class="footer"><div>1999-09-09 1999.09.09</div> footer &copy;</div></body></html>'
+
+
+def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, site, html): a shop page with one review card per document.
+
+    Its rating, date and text come from the given tables. Texts hold character
+    references and elements inside elements; a star outside the star block and
+    a dated footer stand on the page too, and some cards have no date.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(parts, "doc_id")
+    values = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "value")
+    days = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("day"))
+    doc = F.col("doc_id")
+    tenths = F.floor(F.col("value") * 10) % 1001
+    width = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    text = F.col("text")
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+
+    def date(pattern: str):
+        return F.when(doc % 19 == 0, "").otherwise(F.date_format("day", pattern))
+
+    star = F.lit('<img src="Icon_Star_On.png">')
+    aladin = F.concat(
+        F.lit('<div class="hundred_list x"><div class="HL_star">'), F.expr("repeat('<img src=\"Icon_Star_On.png\">', cast(doc_id % 6 as int))"),
+        F.lit('<img src="icon_star_off.png"></div>'), F.when(doc % 4 == 0, "별점 3 ").otherwise(""),
+        F.when(doc % 5 == 0, star).otherwise(F.lit("")), F.lit('<span id="spnPaper'), doc.cast("string"),
+        F.lit('">A &amp; B&#39;s <span>in</span> tail '), text, F.lit('</span><div class="left"><span>'), date("yyyy-MM-dd"),
+        F.lit("</span></div></div>"),
+    )
+    kyobo = F.concat(
+        F.lit('<div class="comment_item"><span class="filled-stars" style="width: '), width,
+        F.lit('%"></span><div class="comment_text">A &amp; B&nbsp;<div>in</div> tail '), text, F.lit("</div><i>"),
+        date("yyyy.MM.dd"), F.lit("</i></div>"),
+    )
+    yes24 = F.concat(
+        F.lit('<div class="reviewInfoGrp lnkExtend"><span class="review_rating"><span class="total_rating total_rating_'),
+        (doc % 11).cast("string"), F.lit('">x</span></span><em class="txt_date">'), date("yyyy-MM-dd"),
+        F.lit('</em><div class="reviewInfoBot crop"><div class="review_cont">short</div></div>'),
+        F.lit('<div class="reviewInfoBot origin"><div class="review_cont">A &#x26; B <div>in</div> tail '), text,
+        F.lit("</div></div></div>"),
+    )
+    site = F.when(doc % 3 == 0, "aladin").when(doc % 3 == 1, "kyobo").otherwise("yes24")
+    card = F.when(site == "aladin", aladin).when(site == "kyobo", kyobo).otherwise(yes24)
+    page = F.concat(F.lit("<html><body><div>"), F.lit("top</div>"), card, F.lit(FOOTER))
+    return docs.join(values, "doc_id").join(days, "doc_id").select(doc.alias("page_id"), site.alias("site"), page.alias("html"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionlake.operators.keyed import append_new, read_table
-from opinionlake.session import run_dir
+from opinionlake.session import remove_dir, run_dir
 from opinionlake.sources.samples import SCHEMAS
 
 
@@ -22,24 +22,30 @@ def stream_ingest(
     checkpoint: str,
     keys: list[str],
     event_time: str = "ts",
-    delay: str = "1 day",
     partition: str | None = None,
 ) -> None:
     """Append each new key once to the table at ``target``; runs until the
     available input is read.
 
-    State holds keys for the watermark delay only. Later copies, and batches
-    replayed after a failure, are caught by the anti-join with the table.
+    The table itself knows which keys came before, however late a new one is,
+    so no state is kept and no row is dropped. Copies, and batches replayed
+    after a failure, are caught by the anti-join with the table. With
+    ``partition`` (one of the keys, such as the day) a batch reads only those
+    of its partitions that the batch's own rows belong to.
     """
+    if partition is not None and partition not in keys:
+        raise ValueError("the partition must be one of the keys")
     spark = stream.sparkSession
     key = F.sha2(F.concat_ws("||", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in keys]), 256)
-    unique = stream.withColumn("key", key).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["key"])
 
     def write(batch: DataFrame, epoch: int) -> None:
-        append_new(spark, target, batch, "key", event_time, f"batch-{epoch}", partition)
+        # As many values as a batch has days.
+        values = [r[0] for r in batch.select(partition).distinct().collect()] if partition else None
+        append_new(spark, target, batch, "key", event_time, f"batch-{epoch}", partition, values)
 
     query = (
-        unique.writeStream.foreachBatch(write)
+        stream.withColumn("key", key)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -57,10 +63,13 @@ def stream_counts(stream: DataFrame, value: Column, width: str = "1 day", delay:
 
 def run_counts(counts: DataFrame, target: str, checkpoint: str) -> None:
     """Keep the table at ``target`` equal to the whole aggregate: each batch
-    writes a version of its own, so readers never see half of one."""
+    writes a version of its own, so readers never see half of one. The version
+    before stays for readers that have begun; older ones are removed."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/version={epoch}")
+        if epoch >= 2:
+            remove_dir(batch.sparkSession, f"{target}/version={epoch - 2}")
 
     query = (
         counts.writeStream.outputMode("complete")
@@ -94,13 +103,32 @@ def daily_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+DAILY_KEYS = ["user_id", "event_type", "event_day"]
+
+
+def _daily_keys(stream: DataFrame) -> DataFrame:
+    return stream.withColumn("event_day", F.to_date("ts")).select("ts", *DAILY_KEYS)
+
+
 def dedupe_daily(spark: SparkSession, folder: str) -> DataFrame:
     """First event per user, type and day through an insert-only stream."""
     base = run_dir(spark, "ingest")
-    stream = event_stream(spark, folder).withColumn("event_day", F.to_date("ts"))
     stream_ingest(
-        stream.select("ts", "user_id", "event_type", "event_day"),
-        f"{base}/table", f"{base}/checkpoint", ["user_id", "event_type", "event_day"],
+        _daily_keys(event_stream(spark, folder)), f"{base}/table", f"{base}/checkpoint", DAILY_KEYS, partition="event_day"
     )
     return spark.read.parquet(f"{base}/table").select("user_id", "event_type", F.col("event_day").cast("date"))
 
+
+def late_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over events that arrive in three deliveries, the last days
+    first, each with some rows of the one before once more."""
+    base = run_dir(spark, "late")
+    events = spark.read.schema(SCHEMAS["events"]).parquet(f"{folder}/events.parquet")
+    day = F.dayofmonth("ts")
+    for low, high in ((21, 31), (11, 23), (1, 13)):
+        events.where(day.between(low, high)).write.mode("append").parquet(f"{base}/arrived")
+        stream = spark.readStream.schema(SCHEMAS["events"]).parquet(f"{base}/arrived")
+        stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+        stream_ingest(_daily_keys(stream), f"{base}/table", f"{base}/checkpoint", DAILY_KEYS, partition="event_day")
+    rows = spark.read.parquet(f"{base}/table")
+    return rows.select("user_id", "event_type", F.col("event_day").cast("date"), F.regexp_extract("run", r"\d+", 0).cast("long").alias("delivery"))

@@ -71,18 +71,44 @@ def store(spark, tmp_path):
     return raw
 
 
-@pytest.mark.parametrize("site", ["aladin", "kyobo", "yes24"])
-def test_incremental_run_inserts_once(spark, store, tmp_path, site):
+@pytest.mark.parametrize("sites", ["aladin", ("kyobo", "yes24")])
+def test_a_rerun_inserts_nothing(spark, store, tmp_path, sites):
     out = str(tmp_path / "out")
-    first = pipeline.run_incremental(spark, store, out, site, AS_OF, "r1").first()
-    assert first.raw_count == first.to_process_count > first.processed_rows >= first.inserted_new > 0
-    table = spark.read.parquet(out)
-    assert table.count() == first.inserted_new
-    assert table.select("processed_id").distinct().count() == first.inserted_new
+    first = pipeline.run_incremental(spark, store, out, sites, AS_OF, "r1").collect()
+    for r in first:
+        assert r.raw_count == r.to_process_count > r.processed_rows >= r.inserted_new > 0
+    table = spark.read.parquet(f"{out}/documents")
+    assert table.count() == sum(r.inserted_new for r in first) == table.select("processed_id").distinct().count()
     assert {"tfidf", "tfidf_sum", "year_month", "raw_id"} <= set(table.columns)
-    second = pipeline.run_incremental(spark, store, out, site, AS_OF, "r2").first()
-    assert second.to_process_count == first.raw_count - spark.read.parquet(out).where("run = 'r1'").select("raw_id").distinct().count()
-    assert spark.read.parquet(out).where("run = 'r2'").count() == second.inserted_new
+    ledger = spark.read.parquet(f"{out}/ledger")
+    assert ledger.count() == sum(r.raw_count for r in first)
+    assert ledger.where("outcome = 'kept'").count() == sum(r.processed_rows for r in first)
+    for run in ("r2", "r3"):
+        again = pipeline.run_incremental(spark, store, out, sites, AS_OF, run).collect()
+        assert len(again) == len(first)
+        assert [(r.to_process_count, r.processed_rows, r.inserted_new) for r in again] == [(0, 0, 0)] * len(first)
+    assert spark.read.parquet(f"{out}/documents").count() == table.count()
+
+
+def test_a_broken_off_run_is_completed(spark, store, tmp_path):
+    whole, torn = str(tmp_path / "whole"), str(tmp_path / "torn")
+    pipeline.run_incremental(spark, store, whole, "yes24", AS_OF, "r1")
+    # Only some documents were written, and no ledger.
+    some = spark.read.parquet(f"{whole}/documents").where("review_seq % 3 = 0")
+    some.write.partitionBy("site", "run").parquet(f"{torn}/documents")
+    pipeline.run_incremental(spark, store, torn, "yes24", AS_OF, "r1")
+    shown = lambda path: sorted(
+        (r.processed_id, round(r.tfidf_sum, 9), r.run) for r in spark.read.parquet(f"{path}/documents").collect()
+    )
+    assert shown(torn) == shown(whole)
+
+
+def test_head_per_above_a_thousand(spark):
+    rows = spark.range(20_000).select(F.lit("all").alias("k"), (F.col("id") * 7919 % 20_011).alias("id"))
+    ids = sorted(r.id for r in rows.collect())
+    for n in (1001, 5000):
+        got = sorted((r.position, r.id) for r in R.head_per(rows, ["k"], ["id"], n).collect())
+        assert got == [(i + 1, v) for i, v in enumerate(ids[:n])]
 
 
 def test_run_all_writes_every_site(spark, tmp_path):
@@ -97,10 +123,10 @@ def test_run_all_writes_every_site(spark, tmp_path):
 @pytest.fixture()
 def users(spark):
     rows = [
-        ("test@example.com", "secure123", "testuser"),
-        ("getuser@example.com", "getpassword", "getusername"),
-        ("update@example.com", "oldpass", "olduser"),
-        ("delete@example.com", "deletepass", "deleteuser"),
+        ("ada@mail.test", "violet-9", "ada"),
+        ("ben@mail.test", "maple-4", "ben"),
+        ("cleo@mail.test", "birch-1", "cleo"),
+        ("dina@mail.test", "cedar-7", "dina"),
     ]
     return spark.createDataFrame(rows, USERS)
 
@@ -110,52 +136,52 @@ def statuses(df):
 
 
 def test_lookup(users):
-    assert tuple(K.get_by_key(users, "email", "getuser@example.com").first()) == (
-        "getuser@example.com", "getpassword", "getusername"
+    assert tuple(K.get_by_key(users, "email", "ben@mail.test").first()) == (
+        "ben@mail.test", "maple-4", "ben"
     )
-    assert K.get_by_key(users, "email", "nonexistent@example.com").count() == 0
+    assert K.get_by_key(users, "email", "nobody@mail.test").count() == 0
 
 
 def test_insert_and_update_by_upsert(spark, users):
     changes = spark.createDataFrame(
-        [(1, "update@example.com", "mid", "mid"), (2, "update@example.com", "newpass", "newuser"), (3, "n@example.com", "p", "u")],
+        [(1, "cleo@mail.test", "mid", "mid"), (2, "cleo@mail.test", "birch-2", "cleo two"), (3, "eli@mail.test", "p", "u")],
         CHANGES,
     )
     got = {r.email: (r.password, r.username) for r in K.upsert(users, changes, "email", "seq").collect()}
-    assert got["update@example.com"] == ("newpass", "newuser") and got["n@example.com"] == ("p", "u")
-    assert got["test@example.com"] == ("secure123", "testuser") and len(got) == 5
+    assert got["cleo@mail.test"] == ("birch-2", "cleo two") and got["eli@mail.test"] == ("p", "u")
+    assert got["ada@mail.test"] == ("violet-9", "ada") and len(got) == 5
 
 
 def test_delete(spark, users):
-    gone = spark.createDataFrame([(1, "delete@example.com", "", ""), (2, "nonexistent@example.com", "", "")], CHANGES)
+    gone = spark.createDataFrame([(1, "dina@mail.test", "", ""), (2, "nobody@mail.test", "", "")], CHANGES)
     left = K.delete(users, gone, "email")
-    assert K.get_by_key(left, "email", "delete@example.com").count() == 0 and left.count() == 3
+    assert K.get_by_key(left, "email", "dina@mail.test").count() == 0 and left.count() == 3
     assert statuses(K.delete_status(gone, users)) == {
-        "delete@example.com": "deleted", "nonexistent@example.com": "not_found"
+        "dina@mail.test": "deleted", "nobody@mail.test": "not_found"
     }
 
 
 def test_login(spark, users):
     tries = spark.createDataFrame(
-        [(1, "test@example.com", "secure123", ""), (2, "nonexistent@example.com", "x", ""), (3, "getuser@example.com", "wrongpassword", "")],
+        [(1, "ada@mail.test", "violet-9", ""), (2, "nobody@mail.test", "x", ""), (3, "ben@mail.test", "maple-5", "")],
         CHANGES,
     )
     assert statuses(K.login_status(tries, users)) == {
-        "test@example.com": "ok", "nonexistent@example.com": "not_found", "getuser@example.com": "invalid"
+        "ada@mail.test": "ok", "nobody@mail.test": "not_found", "ben@mail.test": "invalid"
     }
 
 
 def test_register(spark, users):
-    new = spark.createDataFrame([(1, "test@example.com", "other", "other"), (2, "new@example.com", "p", "u")], CHANGES)
-    assert statuses(K.register_status(new, users)) == {"test@example.com": "exists", "new@example.com": "created"}
+    new = spark.createDataFrame([(1, "ada@mail.test", "other", "other"), (2, "fay@mail.test", "p", "u")], CHANGES)
+    assert statuses(K.register_status(new, users)) == {"ada@mail.test": "exists", "fay@mail.test": "created"}
     after = {r.email: r.password for r in K.register(users, new).collect()}
-    assert after["test@example.com"] == "secure123" and after["new@example.com"] == "p"
+    assert after["ada@mail.test"] == "violet-9" and after["fay@mail.test"] == "p"
 
 
 def test_update_password(spark, users):
-    asks = spark.createDataFrame([(1, "update@example.com", "newpass", ""), (2, "nonexistent@example.com", "x", "")], CHANGES)
+    asks = spark.createDataFrame([(1, "cleo@mail.test", "birch-2", ""), (2, "nobody@mail.test", "x", "")], CHANGES)
     assert statuses(K.update_status(asks, users)) == {
-        "update@example.com": "updated", "nonexistent@example.com": "not_found"
+        "cleo@mail.test": "updated", "nobody@mail.test": "not_found"
     }
     after = {r.email: (r.password, r.username) for r in K.update_password(users, asks).collect()}
-    assert after["update@example.com"] == ("newpass", "olduser") and len(after) == 4
+    assert after["cleo@mail.test"] == ("birch-2", "cleo") and len(after) == 4

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from opinionlake import session
 from opinionlake.functions import extract as X
-from opinionlake.operators import compare
+from opinionlake.functions import text as TX
+from opinionlake.functions import values as V
+from opinionlake.operators import compare, keyed
 from opinionlake.sources import pages as P
 from opinionlake.streaming import ingest
 
@@ -15,12 +17,52 @@ def one(spark, value, build):
     return spark.createDataFrame([(value,)], "v string").select(build(F.col("v")).alias("r")).first()["r"]
 
 
-@pytest.mark.parametrize("text, rating", [("width: 95%", 9.5), ("width:100%", 10.0), ("width: 85.5%", 8.6), ("width: 84.5%", 8.4), ("", 0.0)])
-def test_rating_from_width_rounds_half_to_even(spark, text, rating):
-    # 8.55 and 8.45 are not exact in binary; both sides round the double.
-    assert one(spark, text, X.rating_from_width) == pytest.approx(rating, abs=0.11)
-    if text in ("width: 95%", "width:100%", ""):
-        assert one(spark, text, X.rating_from_width) == rating
+@pytest.mark.parametrize(
+    "text", ["width: 95%", "width:100%", "", "width: 86.5%", "width: 64.5%", "width: 83.5%", "width: 2.5%", "width: 7.5%", "width: 0.3%"]
+)
+def test_rating_from_width_rounds_the_double(spark, text):
+    given = text.replace("width:", "").replace("%", "").strip()
+    assert one(spark, text, X.rating_from_width) == round(float(given or 0) / 10.0, 1)
+
+
+def test_tenths_equal_python_rounding(spark):
+    df = spark.range(0, 20_010).select((F.col("id") / 20).alias("p"), X.round_tenths(F.col("id") / 20 / 10).alias("r"))
+    assert [r for r in df.collect() if r.r != round(r.p / 10, 1)] == []
+
+
+def test_character_references(spark):
+    text = "A &amp; B&nbsp;&#39;x&#x27; &lt;b&gt; &amp;lt; &hellip;&#44032;&#x1F600; &#99999999; &unknown; &#1114112;"
+    want = "A & B\u00a0'x' <b> &lt; …가😀 &#99999999; &unknown; \ufffd"
+    assert one(spark, text, X.decode_entities) == want
+
+
+def test_elements_inside_elements(spark):
+    html = '<div class="a">one <div>two <DIV x="1"/></div> three<br/><div>four</div></div> rest <div>'
+    assert one(spark, html, lambda c: P.element_text(c, 'class="a"', "</div>")) == "one two three four"
+    assert one(spark, '<p class="a">open', lambda c: P.element_text(c, 'class="a"', "</p>")) == "open"
+    assert one(spark, "none", lambda c: P.element_text(c, 'class="a"', "</p>")) is None
+
+
+@pytest.mark.parametrize("text", ["2024-01-02", "2024.01.02", "2024/01/02", "\u00a02024-01-02 \n"])
+def test_date_spellings(spark, text):
+    assert one(spark, text, V.to_moment) == dt.datetime(2024, 1, 2)
+
+
+def test_strip_takes_all_white_space(spark):
+    assert one(spark, " \t\n\u00a0\u3000a b\u2003\x1c\r\n", V.strip) == "a b"
+
+
+def test_plain_values_recurse(spark):
+    kind = "struct<l:array<map<string,double>>,s:struct<t:timestamp,n:string>>"
+    df = spark.sql("SELECT named_struct('l', array(map('a.b', double('NaN'), 'a b', 1.5D), null), 's', named_struct('t', timestamp'2024-01-02 03:04:05', 'n', null)) AS v")
+    got = df.select(V.plain_value(F.col("v"), df.schema["v"].dataType).alias("p")).first()["p"]
+    assert kind and got["l"] == [{"a_b": 1.5}, None] and got["s"]["t"] == "2024-01-02T03:04:05" and got["s"]["n"] is None
+
+
+def test_lengths_are_filled(spark):
+    df = spark.createDataFrame([("ab cd", "x", None), ("", "xyz", None), ("a", "b", 9)], "c string, t string, content_len int")
+    got = [(r.content_len, r.word_len) for r in TX.fill_lengths(df, "c", "t").collect()]
+    assert got == [(5, 2), (3, 1), (9, 1)]
 
 
 def test_ratings_dates_ids(spark):
@@ -44,12 +86,13 @@ ALADIN = """
 <span id="spnPaper11">좋은&nbsp;책</span><div class="left"><span>2024-01-02</span></div></div>
 <div class="hundred_list"><span id="spnPaper11">again</span><span>2024-01-03</span></div>
 <div class="hundred_list">별점 3 <div id="paperShort_5"><div id="divPaper5">긴  리뷰 + 더보기</div></div> 2024-02-03</div>
-<div class="hundred_list">그냥 <b>글</b></div>""".replace("&nbsp;", " ")
+<div class="hundred_list">그냥 <b>글</b></div>
+<div class="footer">2019-01-01 <img src="icon_star_on"> 끝</div>"""
 KYOBO = """
 <div class="comment_item"><span class="filled-stars" style="width: 95%"></span><div class="comment_text">최고</div><i>2024.01.02</i></div>
 <div class="comment_item"><div class="comment_text"></div><i>2024.01.05</i></div>
 <div class="comment_item"><div class="comment_text">no date</div></div>
-<div class="comment_item"><div class="comment_text">최고</div><i>2024.01.02</i></div>"""
+<div class="comment_item"><div class="comment_text">최고</div><i>2024.01.02</i></div><p>2020.01.01</p>"""
 YES24 = """
 <div class="reviewInfoGrp"><span class="review_rating"><span class="total_rating total_rating_8">x</span></span><em class="txt_date">2024-03-01</em>
 <div class="reviewInfoBot crop"><div class="review_cont">short</div></div><div class="reviewInfoBot origin"><div class="review_cont"> 전체 <br/>내용</div></div></div>
@@ -61,7 +104,7 @@ YES24 = """
 def collected(spark, site, html, target=None):
     pages = spark.createDataFrame([(1, html)], "page_id long, html string")
     rows = P.collect(P.extract_reviews(pages, P.PAGE_RULES[site]), P.PAGE_RULES[site], target)
-    return [(r.rating, r.date, r.content) for r in rows.orderBy("position").collect()]
+    return [(r.rating, r.date, r.content) for r in rows.orderBy("page_id", "card_no").collect()]
 
 
 def test_aladin_page(spark):
@@ -118,9 +161,10 @@ def test_density_integrates_to_one(spark):
 
 def test_shared_dir_follows_the_session():
     class Session:
-        def __init__(self, named):
+        def __init__(self, named, master="local[4]"):
             self.conf = {"spark.checkpoint.dir": named}
             self.sparkContext = self
+            self.master = master
 
         def getConf(self):
             return {}
@@ -128,12 +172,25 @@ def test_shared_dir_follows_the_session():
     assert session.run_dir(Session("hdfs://shared/state/"), "x").startswith("hdfs://shared/state/x-")
     own = session.shared_dir(Session(None))
     assert own == session.shared_dir(Session(None))
+    for cluster in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            session.shared_dir(Session(None, cluster))
+        assert session.shared_dir(Session("/shared", cluster)) == "/shared"
+
+
+def test_run_folders_are_removed(spark):
+    folder = session.run_dir(spark, "gone")
+    spark.range(3).write.parquet(folder)
+    assert spark.read.parquet(folder).count() == 3
+    session.remove_dir(spark, folder)
+    assert keyed.read_table(spark, folder) is None
 
 
 EVENTS = "ts timestamp, k string, v double"
 
 
-def test_stream_ingest_restart_inserts_only_new_keys(spark, tmp_path):
+@pytest.mark.parametrize("partition", [None, "k"])
+def test_stream_ingest_restart_inserts_only_new_keys(spark, tmp_path, partition):
     src, table, mark = str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c")
     start = dt.datetime(2024, 1, 1)
 
@@ -141,15 +198,22 @@ def test_stream_ingest_restart_inserts_only_new_keys(spark, tmp_path):
         spark.createDataFrame([(start + dt.timedelta(days=d), k, 1.0) for d, k in rows], EVENTS).write.mode("append").parquet(src)
 
     def run():
-        ingest.stream_ingest(spark.readStream.schema(EVENTS).parquet(src), table, mark, ["k"])
+        ingest.stream_ingest(spark.readStream.schema(EVENTS).parquet(src), table, mark, ["k"], "ts", partition)
         return sorted(r.k for r in spark.read.parquet(table).collect())
 
     arrive([(0, "a"), (0, "a"), (1, "b")])
     assert run() == ["a", "b"]
-    # Far past the watermark: only the table itself still knows "a".
     arrive([(40, "a"), (41, "c")])
     assert run() == ["a", "b", "c"]
     assert run() == ["a", "b", "c"]
+    # A new key, weeks behind the newest event.
+    arrive([(2, "d"), (40, "b")])
+    assert run() == ["a", "b", "c", "d"]
+
+
+def test_stream_partition_must_be_a_key(spark, tmp_path):
+    with pytest.raises(ValueError):
+        ingest.stream_ingest(spark.readStream.schema(EVENTS).parquet(str(tmp_path)), "t", "c", ["k"], partition="v")
 
 
 def test_stream_counts_equal_batch(spark, tmp_path):

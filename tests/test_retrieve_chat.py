@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from opinionlake.operators import chat, retrieve
 from opinionlake.plans import pipeline
-from opinionlake.profiles import KYOBO, NO_HITS_MESSAGE, SUBJECT_MISSING_MESSAGE
+from opinionlake.profiles import NO_HITS_MESSAGE, SUBJECT_MISSING_MESSAGE
 from opinionlake.sources import files, index
 
 
@@ -34,14 +34,25 @@ def test_nearest_smaller_corpus_than_k_and_empty(spark):
     assert retrieve.nearest(one, empty, 2, 4).count() == 0
 
 
-def test_lexical_finds_shared_terms_only(spark):
+def test_lexical_finds_rare_words(spark):
     corpus = spark.createDataFrame(
-        [(1, "good book story"), (2, "fast delivery box"), (3, "good delivery book"), (4, "story story book")],
-        "doc_id long, content_clean string",
+        [(1, "good book story"), (2, "fast delivery box"), (3, "good delivery book"), (4, "story story book"), (5, None), (6, "ÉCOLE 책방 x1")],
+        "doc_id long, text string",
     )
-    asked = spark.createDataFrame([(10, "delivery book"), (11, "unknown words"), (12, "")], "query_id long, content_clean string")
-    got = retrieve.nearest_terms(asked, corpus, KYOBO, "query_id", "doc_id").orderBy("query_id", "rank").collect()
-    assert {r.query_id for r in got} == {10} and got[0].doc_id == 3 and got[0].score == 1.0 or got[0].score > got[1].score
+    asked = spark.createDataFrame(
+        [("10", "delivery book"), ("11", "unknown words"), ("12", ""), ("13", "école"), ("14", "책방!"), ("15", None)], "query_id string, text string"
+    )
+    got = retrieve.nearest_terms(asked, corpus, "query_id", "doc_id").orderBy("query_id", "rank").collect()
+    assert {r.query_id for r in got} == {"10", "13", "14"}
+    assert [r.doc_id for r in got if r.query_id == "10"][0] == 3
+    assert [(r.doc_id, r["rank"]) for r in got if r.query_id in ("13", "14")] == [(6, 1), (6, 1)]
+
+
+def test_the_corpus_is_not_shuffled(spark):
+    m = np.eye(8)
+    df = retrieve.nearest(vectors(spark, "query_id", m), vectors(spark, "doc_id", m), 8)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("MapInPandas") > plan.index("Exchange")
 
 
 def test_embed_hook_and_index_reuse(spark, tmp_path):
@@ -61,7 +72,7 @@ def test_embed_hook_and_index_reuse(spark, tmp_path):
 
 def test_corpus_cap_counts_before_blank_drop(spark):
     rows = spark.createDataFrame(
-        [(1, "kyobo", None, "raw", 5.0, None), (2, "kyobo", " ", "x", 5.0, None), (3, "kyobo", None, None, 5.0, None),
+        [(1, "kyobo", None, "raw", 5.0, None), (2, "kyobo", "\n\t\u00a0", "x", 5.0, None), (3, "kyobo", None, None, 5.0, None),
          (4, "kyobo", "c", "x", 5.0, None), (5, "kyobo", "d", "x", 5.0, None)],
         "review_seq long, site string, content_clean string, content string, rating double, date timestamp",
     )
@@ -92,11 +103,11 @@ def test_subjects_from_json(spark, tmp_path):
 
 
 def test_routes_and_sites(spark):
-    df = spark.createDataFrame([(" RAG_Review\n",), ("subject_info",), ("other",), (None,)], "l string")
-    assert [r.r for r in df.select(chat.route(F.trim(F.regexp_replace("l", "\n", ""))).alias("r")).collect()] == [
+    df = spark.createDataFrame([("\u00a0RAG_Review\n",), ("subject_info",), ("other",), (None,)], "l string")
+    assert [r.r for r in df.select(chat.route(F.col("l")).alias("r")).collect()] == [
         "rag_review", "subject_info", "chat", "chat"
     ]
-    sites = spark.createDataFrame([(" Kyobo ",), ("x",)], "s string").select(chat.normalize_site(F.col("s")).alias("s"))
+    sites = spark.createDataFrame([("\tKyobo \r\n",), ("x",)], "s string").select(chat.normalize_site(F.col("s")).alias("s"))
     assert [r.s for r in sites.collect()] == ["kyobo", None]
 
 
