@@ -269,7 +269,7 @@ def priority_fill(spark, sf):
 
 @query
 def corpus_capped(spark, sf):
-    return index.load_corpus(processed(spark, sf), CORPUS_CAP // 10)
+    return index.load_corpus(processed(spark, sf), CORPUS_CAP // 20)
 
 
 # --- comparison ---------------------------------------------------------------

@@ -437,7 +437,7 @@ ORDER BY priority, review_seq LIMIT {COLLECT_TARGETS['kyobo']}"""),
     "corpus_capped": on(f"{PROCESSED},{CORPUS}", f"""
 SELECT doc_id, page_content, source_file, rating, date FROM (
   SELECT * FROM corpus WHERE page_content IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY site ORDER BY doc_id) <= {CORPUS_CAP // 10})
+  QUALIFY row_number() OVER (PARTITION BY site ORDER BY doc_id) <= {CORPUS_CAP // 20})
 WHERE page_content <> ''"""),
     "site_summary": on(PROCESSED, """
 SELECT site, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date,

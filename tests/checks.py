@@ -31,18 +31,29 @@ def canonical(rows, names):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-def differences(spark_df, con, sql: str) -> list[str]:
-    """Empty when schema, row count and all values agree."""
+def constant_columns(rows, names) -> set[str]:
+    """Columns that hold the same value in every one of several rows."""
+    if len(rows) < 2:
+        return set()
+    return {n for i, n in enumerate(names) if len({repr(plain(r[i])) for r in rows}) == 1}
+
+
+def differences(spark_df, con, sql: str, rows: list | None = None) -> list[str]:
+    """Empty when schema, row count and all values agree. ``rows`` takes what
+    Spark returned."""
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     types = {d[0]: WIDTHS.get(str(d[1]).lower(), str(d[1]).lower()) for d in result.description}
     expected = canonical(result.fetchall(), names)
-    got = canonical([tuple(r) for r in spark_df.collect()], spark_df.columns)
+    found = [tuple(r) for r in spark_df.collect()]
+    if rows is not None:
+        rows.extend(found)
+    got = canonical(found, spark_df.columns)
     problems = []
     if sorted(names) != sorted(spark_df.columns):
         problems.append(f"columns {sorted(spark_df.columns)} vs {sorted(names)}")
-    found = {f.name: f.dataType.typeName() for f in spark_df.schema}
-    wrong = {n: (found.get(n), t) for n, t in types.items() if found.get(n) != t}
+    kinds = {f.name: f.dataType.typeName() for f in spark_df.schema}
+    wrong = {n: (kinds.get(n), t) for n, t in types.items() if kinds.get(n) != t}
     if wrong:
         problems.append(f"types {wrong}")
     if len(got) != len(expected):
