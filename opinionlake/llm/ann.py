@@ -32,7 +32,6 @@ fewer than k candidates all are returned. Extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinionlake.llm.registry import query, table
-from opinionlake.session import shared_dir
+from opinionlake.session import run_dir
 
 
 @dataclass(frozen=True)
@@ -272,7 +271,7 @@ def search(rows: DataFrame, is_query, vector: str = "embedding", key: str = "vec
     """(query_id, rank, vec_id, score): for each row for which ``is_query`` (a function of the id column) holds, its
     nearest other rows."""
     spark = rows.sparkSession
-    folder = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    folder = run_dir(spark, "vectors")
     usable(rows, vector, key).write.parquet(f"{folder}/rows")
     base = spark.read.parquet(f"{folder}/rows")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

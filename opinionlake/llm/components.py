@@ -8,12 +8,10 @@ joins can be split by adaptive execution.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinionlake.session import shared_dir
+from opinionlake.session import remove_dir, run_dir
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -32,7 +30,7 @@ def _stars(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(a, b): every linked node but the smallest of its component, and that smallest node."""
     spark = links.sparkSession
-    folder = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
+    folder = run_dir(spark, "links")
     schema = links.select("a", "b").schema
     marks = (F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
     before, step = None, 0
@@ -44,3 +42,4 @@ def components(links: DataFrame) -> DataFrame:
             return now
         before, step = mark, step + 1
         _stars(now).write.parquet(f"{folder}/{step}")
+        remove_dir(spark, f"{folder}/{step - 1}")

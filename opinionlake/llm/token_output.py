@@ -31,7 +31,6 @@ give no shards. Extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -44,7 +43,7 @@ from pyspark.sql import functions as F
 
 from opinionlake.llm import tokens as K
 from opinionlake.llm.registry import query, table
-from opinionlake.session import shared_dir
+from opinionlake.session import run_dir
 
 MAGIC = b"REPAIR01"
 ALPHABET = 1 << 16
@@ -277,7 +276,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = run_dir(spark, "tokens")
     write(table(spark, sf_dir, "documents"), folder)
     return read(spark, folder).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
