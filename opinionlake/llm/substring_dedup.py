@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from opinionlake.llm import bytesio as B
 from opinionlake.llm import shards as S
-from opinionlake.llm.registry import query, table
+from opinionlake.llm.registry import ORACLES, query, table
 
 WINDOW, PHRASE = 20, 5
 REACH = WINDOW - PHRASE + 1
@@ -285,3 +285,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("dedup__n_removed").alias("n_removed"),
         F.col("dedup__sha256").alias("kept_sha256"),
     )
+
+
+ORACLES["op3_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS k FROM documents),
+places AS (SELECT doc_id, k, unnest(range(1, len(k) - 18)) AS i FROM w),
+copies AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, array_to_string(list_slice(k, i, i + 19), ' ') AS g FROM places)
+  QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM copies, (SELECT unnest(range(0, 20)) AS o)),
+words AS (SELECT doc_id, unnest(k) AS x, generate_subscripts(k, 1) AS p FROM w),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS line FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(k) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM w LEFT JOIN counted USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -3,13 +3,14 @@
 import random
 
 import brute
+import checks
 import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SF, odd_rows
 from pyspark.sql import functions as F
 
-from opinionlake.llm import bytesio, decontaminate, jaccard_join, langid, licenses, quality, substring_dedup
+from opinionlake.llm import bytesio, decontaminate, jaccard_join, langid, licenses, quality, registry, substring_dedup
 
 
 def pairs(df):
@@ -253,9 +254,10 @@ def test_join_equals_brute_force(spark, odd, docs, block):
     assert by_repr(got) == by_repr(brute.linked(pairs(given)))
 
 
-def test_whole_table_join(spark, docs):
-    got = jaccard_join.op8_jaccard_join(spark, SF).collect()
-    assert by_repr(got) == by_repr(brute.linked(pairs(docs)))
+@pytest.mark.parametrize("name", ["op3_substring_dedup", "op8_jaccard_join"])
+def test_whole_tables_equal_sql(spark, name):
+    queries, sql = registry.load()
+    assert checks.differences(queries[name](spark, SF), checks.duck(SF), sql[name]) == []
 
 
 def test_keep_one_odd_rows(odd, none):
