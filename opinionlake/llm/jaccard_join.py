@@ -35,7 +35,6 @@ then by text) of each component and all rows without words.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +45,15 @@ from pyspark.sql import types as T
 from opinionlake.llm import bytesio as B
 from opinionlake.llm import shards as S
 from opinionlake.llm.components import components
-from opinionlake.llm.registry import query, table
-from opinionlake.session import shared_dir
+from opinionlake.llm.registry import ORACLES, query, table
+from opinionlake.session import run_dir
 
 SHINGLE = 5
 PERCENT = 80
 # Candidate values of l, and what verifying costs against reading one posting.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 VERIFY = 0.5
-BLOCK = 2000
+BLOCK = 1000
 
 COUNTS = "bucket long, shard long, keys binary, counts binary"
 ORDERS = "shard long, bucket long, orders binary"
@@ -276,7 +275,7 @@ class Groups:
 
     def __init__(self, docs: DataFrame, shard_bytes: int = S.SHARD_BYTES, block: int = BLOCK) -> None:
         spark = docs.sparkSession
-        folder = f"{shared_dir(spark)}/jaccard-{uuid.uuid4().hex}"
+        folder = run_dir(spark, "jaccard")
         self.shards = S.count_shards(docs, shard_bytes)
         by_shard = S.dealt(docs.select("doc_id", "text"), self.shards).groupBy(S.SHARD)
         counts = by_shard.applyInArrow(_count(S.buckets(self.shards)), COUNTS)
@@ -294,18 +293,15 @@ class Groups:
         families = components(tokens.join(leaders, "token").select(F.col("sig").alias("a"), "b"))
         members = families.unionByName(families.select(F.col("b").alias("a"), "b").distinct())
         sizes = members.groupBy("b").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-        block_of = F.pmod(F.xxhash64("sig"), F.col("blocks"))
-        # A node goes to every pair of blocks that its own block is part of.
-        dealt = (
-            nodes.join(members.withColumnRenamed("a", "sig"), "sig")
-            .join(sizes, "b")
-            .withColumn("block", block_of)
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            .select(
-                F.col("b").alias("family"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
-                "sig", "matches", "tokens", "members", "block",
-            )
-        )
+        own, other = F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        # A node goes to every pair of blocks that its own block is part of. Sets join these light rows by node, and
+        # are dealt by family and pair, so that a large family is spread over many tasks.
+        places = (
+            members.join(sizes, "b")
+            .select(F.col("a").alias("sig"), F.col("b").alias("family"), own, F.explode(other).alias("other"))
+            .select("sig", "family", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+        )
+        dealt = nodes.join(places, "sig").repartition("family", "p", "q")
         links = dealt.groupBy("family", "p", "q").applyInArrow(_join, LINKS)
         self.roots = components(links)
 
@@ -348,3 +344,26 @@ def keep_one(docs: DataFrame, shard_bytes: int = S.SHARD_BYTES, block: int = BLO
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS k
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(k, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, k, unnest(range(1, greatest(len(k) - 4, 1) + 1)) AS i FROM w WHERE len(k) > 0)),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * shared >= 80 * (x.size + y.size - shared)),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM w
+  UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = other)
+SELECT doc_id, coalesce(any_value(size), 0) AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
