@@ -7,7 +7,7 @@ import checks
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SF, odd_rows
+from odd_rows import SF, odd_rows
 from pyspark.sql import functions as F
 
 from opinionlake.llm import bytesio, decontaminate, jaccard_join, langid, licenses, quality, registry, substring_dedup
@@ -164,7 +164,7 @@ def test_decontamination_in_a_long_text_cut_in_pieces():
     item = "some benchmark sentence that is quite long and stands over a border of two pieces"
     index = decontaminate.build([(5, item)], decontaminate.Settings())
     for shift in range(0, 90, 7):
-        text = "ab " * (((1 << 20) - shift) // 3) + item + " cd" * 1000
+        text = "ab " * (((1 << 19) - shift) // 3) + item + " cd" * 1000
         found = decontaminate.leaks(pa.array(["x", text]), index)
         assert [(r, c) for r, _, c, _, _ in found] == [(1, 0)]
         assert text.encode()[found[0][3] : found[0][4]].decode() == item

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SF
+from odd_rows import SF
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
