@@ -14,7 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 # Fixed odd multipliers of the hash functions (any odd 64-bit numbers do).
 BASE = np.uint64(0x9E6C63D0876A9A35)

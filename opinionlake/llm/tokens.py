@@ -20,8 +20,8 @@ from opinionlake.llm import bytesio as B
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
-KEEP = 1_500_000
-BLOCK = 2 << 20
+KEEP = 1_000_000
+BLOCK = 1 << 20
 _RECENT = 100_000
 
 _ASCII = B.byte_table((0x21, 0x7E))
