@@ -65,13 +65,13 @@ class Grammar(NamedTuple):
     starts: np.ndarray
 
 
-def _frequent(codes: np.ndarray, least: int) -> np.ndarray:
-    """The codes that occur at least ``least`` times, sorted."""
+def _frequent(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the codes that occur at least ``least`` times, sorted; which entries may be one of them)."""
     # Counts by a hash bound the true ones from above, so few codes have to be sorted.
-    slot = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-    counts = np.bincount(slot, minlength=1 << 20)
-    some, n = np.unique(codes[counts[slot] >= least], return_counts=True)
-    return some[n >= least]
+    slot = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    maybe = np.flatnonzero((np.bincount(slot, minlength=1 << 20) >= least)[slot])
+    some, n = np.unique(codes[maybe], return_counts=True)
+    return some[n >= least], maybe
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, s: Settings = Settings()) -> Grammar:
@@ -83,17 +83,14 @@ def compress(ids: np.ndarray, starts: np.ndarray, s: Settings = Settings()) -> G
     left, right, lengths = [], [], []
     size = np.ones(ALPHABET, np.int64)
     while len(symbols) > 1:
-        codes = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         inner = np.flatnonzero(~last[:-1])
-        pairs = _frequent(codes[inner], s.least)
+        codes = (symbols[inner].astype(np.uint64) << np.uint64(32)) | symbols[inner + 1]
+        pairs, maybe = _frequent(codes, s.least)
         if not len(pairs):
             break
-        mark = np.zeros(1 << 20, bool)
-        hashed = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        mark[hashed(pairs)] = True
-        at = inner[mark[hashed(codes[inner])]]
-        rule = np.minimum(np.searchsorted(pairs, codes[at]), len(pairs) - 1)
-        hit = pairs[rule] == codes[at]
+        at, codes = inner[maybe], codes[maybe]
+        rule = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
+        hit = pairs[rule] == codes
         at, rule = at[hit], rule[hit]
         # In a run of places one after the other, every second one is taken.
         begins = np.ones(len(at), bool)
@@ -123,8 +120,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, s: Settings = Settings()) -> G
     return Grammar(join(left), join(right), join(lengths), symbols, begins)
 
 
-def expand(g: Grammar, symbols: np.ndarray) -> np.ndarray:
-    """The ids behind some symbols."""
+def _unfold(g: Grammar, symbols: np.ndarray) -> np.ndarray:
+    """The ids behind some symbols, one layer of rules after the other."""
     while len(symbols):
         big = symbols >= ALPHABET
         if not big.any():
@@ -139,6 +136,23 @@ def expand(g: Grammar, symbols: np.ndarray) -> np.ndarray:
     return symbols
 
 
+def expand(g: Grammar, symbols: np.ndarray) -> np.ndarray:
+    """The ids behind some symbols. Many of them share the rules' ids, unfolded once; the expansion lengths say where."""
+    if len(symbols) < len(g.left):
+        return _unfold(g, symbols)
+    flat = _unfold(g, np.arange(ALPHABET, ALPHABET + len(g.left), dtype=np.uint32))
+    first = np.cumsum(g.lengths, dtype=np.int64) - g.lengths
+    big = np.flatnonzero(symbols >= ALPHABET)
+    rule = (symbols[big] - np.uint32(ALPHABET)).astype(np.int64)
+    n = np.ones(len(symbols), np.int64)
+    n[big] = g.lengths[rule]
+    out = np.repeat(symbols, n)
+    sizes = n[big]
+    nth = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat((np.cumsum(n) - n)[big], sizes) + nth] = flat[np.repeat(first[rule], sizes) + nth]
+    return out
+
+
 def lengths_of(g: Grammar) -> np.ndarray:
     """Number of ids behind each symbol of the sequence."""
     out = np.ones(len(g.symbols), np.int64)
