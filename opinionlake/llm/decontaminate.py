@@ -116,19 +116,19 @@ def build(items: list[tuple[int | None, str]], s: Settings) -> Index:
     )
 
 
-def align(item: np.ndarray, regions: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def align(item: np.ndarray, regions: list[np.ndarray], before: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of the item against any part of each region, and where that part ends.
 
     All regions at once, one row of the alignment per byte of the item; a cell is an offset (diagonal) of the region.
+    A region has ``span`` bytes, of which ``before`` were clipped at its left and what else is missing at its right.
     """
     m = len(item)
-    width = max(len(r) for r in regions) - m + 1
-    width = max(width, 1) + 1
-    # Beyond a region's end stand bytes that equal nothing.
+    width = max(span - m, 1) + 1
+    # Where a region was clipped stand bytes that equal nothing, so that diagonals that leave the text there exist.
     text = np.full((len(regions), m + width), 256, np.int16)
     for i, r in enumerate(regions):
-        text[i, : len(r)] = r
-    size = np.array([len(r) for r in regions])[:, None]
+        text[i, before[i] : before[i] + len(r)] = r
+    size = before[:, None] + np.array([len(r) for r in regions])[:, None]
     offset = np.arange(width, dtype=np.int32)
     cost = np.zeros((len(regions), width), np.int32)
     big = np.int32(1 << 20)
@@ -139,7 +139,7 @@ def align(item: np.ndarray, regions: list[np.ndarray]) -> tuple[np.ndarray, np.n
         # A cell that has used more bytes than the region holds is not there.
         cost = np.where(i + 1 + offset > size, np.minimum(cost + 1, big), cost) if width > 1 else cost
     best = cost.argmin(axis=1)
-    return cost[np.arange(len(regions)), best], np.minimum(m + best, size[:, 0])
+    return cost[np.arange(len(regions)), best], np.minimum(m + best, size[:, 0]) - before
 
 
 def _regions(data: np.ndarray, row: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
@@ -210,17 +210,19 @@ def leaks(col, index: Index) -> list[tuple[int, int, int, int, int]]:
         if len(data) < index.q:
             continue
         edges = np.searchsorted(row, np.arange(len(block.rows) + 1))
-        by_item: dict[int, list[tuple[int, int, int]]] = {}
-        for item, r, lo, hi in _regions(data, row, index):
-            lo, hi = max(lo, int(edges[r])), min(hi, int(edges[r + 1]))
+        by_item: dict[int, list[tuple[int, int, int, int]]] = {}
+        for item, r, begin, end in _regions(data, row, index):
+            lo, hi = max(begin, int(edges[r])), min(end, int(edges[r + 1]))
             if hi - lo >= len(index.texts[item]) - index.budget[item]:
-                by_item.setdefault(item, []).append((r, lo, hi))
+                by_item.setdefault(item, []).append((r, lo, hi, lo - begin))
         for item, spots in by_item.items():
             body = index.texts[item]
+            span = len(body) + 4 * int(index.budget[item]) + 2
             for j in range(0, len(spots), 256):
                 some = spots[j : j + 256]
-                cost, ends = align(body, [data[lo:hi] for _, lo, hi in some])
-                for (r, lo, _), c, e in zip(some, cost.tolist(), ends.tolist(), strict=True):
+                before = np.array([gap for *_, gap in some])
+                cost, ends = align(body, [data[lo:hi] for _, lo, hi, _ in some], before, span)
+                for (r, lo, *_), c, e in zip(some, cost.tolist(), ends.tolist(), strict=True):
                     if c <= index.budget[item]:
                         stop = lo + e
                         start = max(lo, stop - len(body))

@@ -160,6 +160,25 @@ def test_decontamination_finds_edited_items(spark):
         assert cost == brute.edits(index.texts[i].tobytes().decode(), text) and 0 <= start < end <= len(texts[r])
 
 
+@pytest.mark.parametrize("head, tail", [("", ""), ("", " and more text behind it"), ("ab ", ""), ("some text before ", ""), ("a ", " z")])
+def test_decontamination_of_edited_items_at_the_edges_of_a_text(head, tail):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(30)]
+    item = " ".join(words)
+    index = decontaminate.build([(7, item)], decontaminate.Settings())
+    k = int(index.budget[0])
+    assert k >= 10
+    bodies = [item[:at] + item[at + n :] for n in (1, 2, 5, k) for at in (0, 1, 20, 75, 120, len(item) - n)]
+    bodies += [" ".join(words[n:]) for n in (1, 2)] + [" ".join(words[:-n]) for n in (1, 2)]
+    bodies += [item[:40] + "z" * n + item[40:] for n in (1, k)] + [item[:30] + item[33:90] + "zz" + item[94:]]
+    texts = [head + body + tail for body in bodies]
+    plain = [decontaminate.reduced(np.frombuffer(t.encode(), np.uint8))[0].tobytes().decode() for t in texts]
+    want = [(n, c) for n, t in enumerate(plain) if (c := brute.edits(item, t)) <= k]
+    got = decontaminate.leaks(pa.array(texts), index)
+    assert [(r, c) for r, _, c, _, _ in got] == want and len(want) >= len(texts) - 4
+    assert all(0 <= start < end <= len(texts[r]) for r, _, _, start, end in got)
+
+
 def test_decontamination_in_a_long_text_cut_in_pieces():
     item = "some benchmark sentence that is quite long and stands over a border of two pieces"
     index = decontaminate.build([(5, item)], decontaminate.Settings())
