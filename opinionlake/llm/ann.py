@@ -15,8 +15,10 @@ equally long, so that nearness in angle follows the inner product.
 What is broadcast is the forest (fixed by the settings). All rows are indexed:
 each is sent to its leaf of every tree, each query to the leaves it visits; a
 leaf's candidates are scored by one matrix product and only its best ``k + 1``
-per query leave the task. Leaves that hold more than ``leaf_rows`` rows are
-dealt into parts, and queries visit all parts.
+per query leave the task. Rows and visits are counted per leaf first. A leaf
+that holds more than ``leaf_rows`` rows, or rows or visits of more than
+``group_bytes``, is dealt into parts on that side, and every part of its visits
+meets every part of its rows; ``block`` queries are scored at once.
 
 Equal vectors are one entry of the index with their ``k + 1`` smallest ids (no
 more of them can be among the first k), and one query, so that copies cannot
@@ -54,6 +56,8 @@ class Settings:
     tries: int = 128
     recall: float = 0.95
     leaf_rows: int = 20_000
+    group_bytes: int = 16 << 20
+    block: int = 256
     seed: int = 5
 
 
@@ -176,64 +180,137 @@ def usable(rows: DataFrame, vector: str, key: str) -> DataFrame:
 
 
 ENTRY = "leaf long, key long, ids array<long>, v array<double>"
+VISITS = "key long, v array<double>, leaves array<int>"
+# Rows of a batch of visits.
+ROWS = 1 << 14
 
 
-def _to_leaves(forest, parts: int):
-    """Entries of the index, at their leaf of every tree."""
+@dataclass
+class Deal:
+    """For each leaf of all trees: in how many parts its visits and its rows are, and the number of its first group."""
+
+    visits: np.ndarray
+    rows: np.ndarray
+    first: np.ndarray
+
+    def group(self, leaf: np.ndarray, visit_part: np.ndarray, row_part: np.ndarray) -> np.ndarray:
+        return self.first[leaf] + visit_part * self.rows[leaf] + row_part
+
+
+def deal(visits: np.ndarray, rows: np.ndarray, most_visits: int, most_rows: int) -> Deal:
+    """From the number of visits and rows of each leaf."""
+    a, b = (np.maximum(1, -(-n // most)) for n, most in ((visits, most_visits), (rows, most_rows)))
+    return Deal(a, b, np.cumsum(a * b) - a * b)
+
+
+def _part(key: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The part of each key, of ``parts`` many."""
+    mixed = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    return mixed.astype(np.int64) % parts
+
+
+def _all_leaves(f: Forest, x: np.ndarray) -> np.ndarray:
+    """The leaf of each row in each tree, numbered through all trees."""
+    return f.leaves(x) + (np.arange(len(f.cuts)) << f.depth)
+
+
+def _counts(given: DataFrame, leaves_of, n: int) -> np.ndarray:
+    """How many rows of ``given`` come to each of n leaves; ``leaves_of`` takes a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = forest.value
+        total = np.zeros(n, np.int64)
         for batch in batches:
-            leaves = f.leaves(_matrix(batch.column("v")))
-            part = (batch.column("key").to_numpy() * 0x9E3779B1 >> 7) % parts
-            for t in range(leaves.shape[1]):
-                at = ((t << f.depth) + leaves[:, t]) * parts + part
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int64()), batch.column("key"), batch.column("ids"), batch.column("v")],
-                    names=["leaf", "key", "ids", "v"],
-                )
+            total += np.bincount(leaves_of(batch), minlength=n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["leaf", "n"])
+
+    found = np.zeros(n, np.int64)
+    for r in given.mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        found[r["leaf"]] = r["n"]
+    return found
+
+
+def _to_leaves(forest, dealt: Deal):
+    """Entries of the index, at their leaf of every tree, once for each part of its visits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves = _all_leaves(forest.value, _matrix(batch.column("v")))
+            key = batch.column("key").to_numpy()
+            for leaf in leaves.T:
+                part = _part(key, dealt.rows[leaf])
+                for visit_part in range(int(dealt.visits[leaf].max(initial=0))):
+                    some = np.flatnonzero(dealt.visits[leaf] > visit_part)
+                    at = dealt.group(leaf[some], visit_part, part[some])
+                    take = pa.array(some, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(at, pa.int64()), *(batch.column(c).take(take) for c in ("key", "ids", "v"))],
+                        names=["leaf", "key", "ids", "v"],
+                    )
 
     return run
 
 
-def _to_visits(forest, parts: int):
-    """Queries, at every leaf they visit."""
+def _walks(forest):
+    """Queries with the leaves they visit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
         for batch in batches:
             x = _matrix(batch.column("v"))
             for lo in range(0, len(x), 256):
-                rows, at = [], []
-                for i in range(lo, min(lo + 256, len(x))):
-                    for t, leaf in f.visit(x[i]):
-                        for part in range(parts):
-                            rows.append(i)
-                            at.append(((t << f.depth) + leaf) * parts + part)
-                take = pa.array(rows, pa.int64())
+                some = batch.slice(lo, 256)
+                leaves = [[(t << f.depth) + leaf for t, leaf in f.visit(q)] for q in x[lo : lo + 256]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int64()), batch.column("key").take(take), batch.column("v").take(take)],
-                    names=["leaf", "key", "v"],
+                    [some.column("key"), some.column("v"), pa.array(leaves, pa.list_(pa.int32()))], names=["key", "v", "leaves"]
                 )
 
     return run
 
 
+def _to_visits(dealt: Deal):
+    """Queries, at every leaf they visit, once for each part of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            leaves = batch.column("leaves")
+            sizes = leaves.value_lengths().to_numpy()
+            ends = np.cumsum(sizes)
+            flat = leaves.flatten().to_numpy()
+            of = np.repeat(np.arange(len(key)), sizes)
+            for lo in range(0, int(ends[-1]) if len(ends) else 0, ROWS):
+                leaf, row = flat[lo : lo + ROWS], of[lo : lo + ROWS]
+                part = _part(key[row], dealt.visits[leaf])
+                for row_part in range(int(dealt.rows[leaf].max())):
+                    some = np.flatnonzero(dealt.rows[leaf] > row_part)
+                    at = dealt.group(leaf[some], part[some], row_part)
+                    take = pa.array(row[some], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(at, pa.int64()), batch.column("key").take(take), batch.column("v").take(take)],
+                        names=["leaf", "key", "v"],
+                    )
+
+    return run
+
+
 BEST = "key long, ids binary, scores binary"
 
 
-def _score(k: int):
-    """The best k + 1 rows of one leaf for each query that visits it."""
+def _score(k: int, block: int = Settings.block):
+    """The best k + 1 rows of one group for each query that visits it, ``block`` queries at once."""
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = {"key": [], "ids": [], "scores": []}
         if queries.num_rows and rows.num_rows:
-            scores = _matrix(queries.column("v")) @ _matrix(rows.column("v")).T
+            asked, held = _matrix(queries.column("v")), _matrix(rows.column("v")).T
             keys = rows.column("key").to_numpy()
             ids = rows.column("ids").to_pylist()
             names = queries.column("key").to_pylist()
             for i, name in enumerate(names):
-                line = scores[i]
+                if i % block == 0:
+                    scores = asked[i : i + block] @ held
+                line = scores[i % block]
                 if len(line) > k + 1:
                     least = np.partition(line, len(line) - k - 1)[len(line) - k - 1]
                     some = np.flatnonzero(line >= least)
@@ -294,14 +371,20 @@ def search(rows: DataFrame, is_query, vector: str = "embedding", key: str = "vec
         sample = entries.orderBy("key").limit(s.sample).select("v").toArrow()
     # Rounding up keeps every vector inside the sphere.
     forest = fit(_matrix(sample.column("v")), float(facts["longest"]) * (1 + 1e-9), facts["n"], s)
-    parts = max(1, -(-facts["n"] // (2**forest.depth * s.leaf_rows)))
     held = spark.sparkContext.broadcast(forest)
 
     asked = base.where(is_query(F.col("id"))).join(entries.select("key", "v"), "v").select(F.col("id").alias("query_id"), "key")
     vectors = entries.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v")
-    visits = vectors.mapInArrow(_to_visits(held, parts), "leaf long, key long, v array<double>")
-    placed = entries.mapInArrow(_to_leaves(held, parts), ENTRY)
-    best = visits.groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInArrow(_score(s.k), BEST)
+    vectors.mapInArrow(_walks(held), VISITS).write.parquet(f"{folder}/visits")
+    walked = spark.read.schema(VISITS).parquet(f"{folder}/visits")
+    leaves = s.trees << forest.depth
+    visited = _counts(walked.select("leaves"), lambda b: b.column("leaves").flatten().to_numpy(), leaves)
+    filled = _counts(entries.select("v"), lambda b: _all_leaves(held.value, _matrix(b.column("v"))).ravel(), leaves)
+    most = max(1, s.group_bytes // (8 * sizes["n"]))
+    dealt = deal(visited, filled, most, min(most, s.leaf_rows))
+    visits = walked.mapInArrow(_to_visits(dealt), "leaf long, key long, v array<double>")
+    placed = entries.mapInArrow(_to_leaves(held, dealt), ENTRY)
+    best = visits.groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInArrow(_score(s.k, s.block), BEST)
     merged = best.groupBy("key").applyInArrow(_merge(s.k), "key long, found array<struct<vec_id:long,score:double>>")
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, s.k)
     return (

@@ -227,6 +227,55 @@ def test_ann_copies_ties_and_odd_vectors(spark):
     assert ann.search(few, lambda i: i % 20 == 0).count() == 2
 
 
+def test_ann_scores_a_leaf_of_many_queries_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=(12_000, 4)), rng.normal(size=(4_000, 4))
+    queries = pa.table({"key": pa.array(range(len(q))), "v": pa.array(q.tolist())})
+    rows = pa.table({"key": pa.array(range(len(x))), "ids": pa.array([[i] for i in range(len(x))]), "v": pa.array(x.tolist())})
+    tracemalloc.start()
+    got = ann._score(3)(queries, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All products at once would take 384 MB.
+    assert peak < 100e6
+    for i in (0, 255, 256, 11_999):
+        assert np.frombuffer(got.column("ids")[i].as_py(), "<i8").tolist() == np.argsort(-(x @ q[i]))[:4].tolist()
+
+
+def test_ann_deals_visits_and_rows_of_a_leaf_into_parts(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(6)
+    # A third of the vectors lie in one region.
+    m = np.vstack([rng.normal(size=(800, 4)), rng.normal(size=(400, 4)) * 0.01 + 3]).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    score, noted = ann._score, str(tmp_path)
+
+    def noting(*given):
+        inner = score(*given)
+
+        def run(queries, held):
+            import uuid
+
+            with open(f"{noted}/{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{queries.num_rows} {held.num_rows}")
+            return inner(queries, held)
+
+        return run
+
+    monkeypatch.setattr(ann, "_score", noting)
+    # Groups of about 24 vectors of 4 doubles.
+    s = ann.Settings(k=5, recall=1.0, sample=200, trees=3, group_bytes=24 * 32)
+    got = defaultdict(list)
+    for r in ann.search(df, lambda i: i % 2 == 0, s=s).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = exact(rows, [r for r in rows if r[0] % 2 == 0], 5)
+    assert set(got) == set(want) and np.mean([got[i] == want[i] for i in want]) > 0.95
+    sizes = [tuple(map(int, p.read_text().split())) for p in tmp_path.iterdir()]
+    assert max(a for a, _ in sizes) <= 60 and max(b for _, b in sizes) <= 60
+
+
 # --- pipeline -----------------------------------------------------------------
 
 
