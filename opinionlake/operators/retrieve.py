@@ -1,20 +1,22 @@
 """Exact nearest neighbours for a table of questions.
 
 Every question must meet every vector, and the result keeps k per question.
-The questions are a stated set, taken in blocks of bounded bytes; a block goes
-to all tasks, and the corpus streams past it where it is read: it is neither
-shuffled nor copied. A task keeps k hits per question of the block, whatever
-it has read, so no pair of rows is ever written.
+The questions are taken in blocks of bounded bytes; a block goes to all tasks,
+and the corpus streams past it where it is read: it is neither shuffled nor
+copied. A task keeps k hits per question of the block, whatever it has read, so
+no pair of rows is ever written. There is one block at a time: its ranked hits
+are written before the next one is taken, so neither the driver nor a task ever
+holds more than one, and no plan has more than one scan of the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ BLOCK_BYTES = 32 << 20
 DIGITS = 6
 # Corpus rows that are scored at once.
 ROWS = 256
+# Questions of a block that are scored at once.
+PIECE = 4096
+# What a word of a question takes besides its letters.
+WORD_BYTES = 100
 
 
 class Best:
@@ -52,16 +58,6 @@ class Best:
         return pd.DataFrame({"query_id": asked[found], "doc_id": self.doc[found], "score": sign * self.cost[found]})
 
 
-def question_blocks(questions: DataFrame, row_bytes: int) -> Iterator[pd.DataFrame]:
-    """The questions in blocks of about BLOCK_BYTES, by a hash of their id."""
-    n = questions.count()
-    parts = max(1, ceil(n * row_bytes / BLOCK_BYTES))
-    for part in range(parts if n else 0):
-        block = questions.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toPandas()
-        if len(block):
-            yield block
-
-
 def ranked(hits: DataFrame, k: int, metric: str) -> DataFrame:
     best = F.col("score") if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy("query_id").orderBy(best, "doc_id")
@@ -70,28 +66,48 @@ def ranked(hits: DataFrame, k: int, metric: str) -> DataFrame:
     )
 
 
-def streamed(corpus: DataFrame, blocks: list, score: Callable, k: int, metric: str, id_type: str) -> DataFrame:
-    """``score(block, rows)`` gives the costs of a batch of corpus rows."""
+def streamed(
+    corpus: DataFrame, questions: DataFrame, size: Column, piece: Callable, score: Callable, k: int, metric: str
+) -> DataFrame:
+    """``size`` gives the bytes of a question, ``piece(table)`` what ``score(piece, rows)`` needs of some questions to
+    give their costs of a batch of corpus rows."""
     spark = corpus.sparkSession
+    id_type = dict(questions.dtypes)["query_id"]
     hits = f"query_id {id_type}, doc_id long, score double"
     sign = 1.0 if metric == "l2" else -1.0
 
-    def part(block) -> DataFrame:
-        held = spark.sparkContext.broadcast(block)
-
+    def scan(held) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = Best(held.value["ids"], k)
+            best = [Best(p["ids"], k) for p in held.value]
             for batch in batches:
                 for i in range(0, len(batch), ROWS):
                     rows = batch.iloc[i : i + ROWS]
-                    best.add(score(held.value, rows), rows["doc_id"].to_numpy())
-            yield best.rows(sign)
-
-        return corpus.mapInPandas(run, hits)
-
-    if not blocks:
+                    for b, p in zip(best, held.value, strict=True):
+                        b.add(score(p, rows), rows["doc_id"].to_numpy())
+            for b in best:
+                yield b.rows(sign)
+
+        return ranked(corpus.mapInPandas(run, hits), k, metric)
+
+    total = questions.agg(F.sum(size.cast("double")).alias("n")).first()["n"] or 0
+    parts = max(1, ceil(total / BLOCK_BYTES))
+    folder = run_dir(spark, "hits") if parts > 1 else ""
+    schema = None
+    for part in range(parts):
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part
+        block = (questions.where(mine) if parts > 1 else questions).toArrow()
+        if not block.num_rows:
+            continue
+        held = spark.sparkContext.broadcast([piece(block.slice(i, PIECE)) for i in range(0, block.num_rows, PIECE)])
+        found = scan(held)
+        if parts == 1:
+            return found
+        found.write.mode("append").parquet(folder)
+        schema = found.schema
+        held.destroy()
+    if schema is None:
         return spark.createDataFrame([], f"query_id {id_type}, rank int, doc_id long, score double")
-    return ranked(reduce(DataFrame.unionByName, [part(b) for b in blocks]), k, metric)
+    return spark.read.schema(schema).parquet(folder)
 
 
 def _dense_cost(metric: str) -> Callable:
@@ -112,11 +128,12 @@ def nearest(questions: DataFrame, corpus: DataFrame, dim: int, k: int = NEIGHBOU
     both ``vec`` arrays. Metric 'l2' is the squared distance, lower first; 'dot'
     the product, higher first, positive only.
     """
-    blocks = []
-    for block in question_blocks(questions.select("query_id", "vec"), 8 * dim):
-        m = np.stack(block["vec"].to_numpy()).astype(np.float64)
-        blocks.append({"ids": block["query_id"].to_numpy(), "m": m, "squares": (m * m).sum(axis=1)})
-    return streamed(corpus.select("doc_id", "vec"), blocks, _dense_cost(metric), k, metric, dict(questions.dtypes)["query_id"])
+    def piece(table: pa.Table) -> dict:
+        m = np.stack(table.column("vec").to_pandas().to_numpy()).astype(np.float64)
+        return {"ids": table.column("query_id").to_pandas().to_numpy(), "m": m, "squares": (m * m).sum(axis=1)}
+
+    asked = questions.select("query_id", "vec")
+    return streamed(corpus.select("doc_id", "vec"), asked, F.lit(8 * dim), piece, _dense_cost(metric), k, metric)
 
 
 # --- by words -----------------------------------------------------------------
@@ -145,16 +162,34 @@ def _weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _sparse_cost(block: dict, rows: pd.DataFrame) -> np.ndarray:
-    """Products of a few documents with all questions of a block, over the block's terms."""
-    out = np.full((len(block["ids"]), len(rows)), np.inf)
-    slot = block["slot"]
+def _inverted(table: pa.Table) -> dict:
+    """Some questions by word: the questions that have the word in slot s, and its weights there, from first[s] on."""
+    terms = table.column("terms").combine_chunks()
+    asked = np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy())
+    words = terms.flatten().dictionary_encode()
+    of = words.indices.to_numpy()
+    order = np.argsort(of, kind="stable")
+    return {
+        "ids": table.column("query_id").to_pandas().to_numpy(),
+        "slot": {t: i for i, t in enumerate(words.dictionary.to_pylist())},
+        "first": np.searchsorted(of[order], np.arange(len(words.dictionary) + 1)),
+        "asked": asked[order],
+        "weights": table.column("weights").combine_chunks().flatten().to_numpy()[order],
+    }
+
+
+def _sparse_cost(piece: dict, rows: pd.DataFrame) -> np.ndarray:
+    """Products of a few documents with the questions of a piece, over the words they share."""
+    n = len(piece["ids"])
+    out = np.full((n, len(rows)), np.inf)
+    slot, first = piece["slot"], piece["first"]
     for i, (terms, weights) in enumerate(zip(rows["terms"], rows["weights"], strict=True)):
         found = [(s, w) for s, w in zip(map(slot.get, terms), weights, strict=True) if s is not None]
-        if found:
-            at, w = zip(*found, strict=True)
-            dot = np.asarray(w) @ block["m"][list(at)]
-            out[:, i] = np.where(dot.round(DIGITS) > 0, -dot, np.inf)
+        dot = np.zeros(n)
+        for s, w in found:
+            # A word stands once in a question.
+            dot[piece["asked"][first[s] : first[s + 1]]] += w * piece["weights"][first[s] : first[s + 1]]
+        out[:, i] = np.where(dot.round(DIGITS) > 0, -dot, np.inf)
     return out
 
 
@@ -164,8 +199,8 @@ def nearest_terms(
     """Lexical retrieval: TF-IDF over all words of the corpus, product as score.
 
     No vocabulary limit: rare words find what holds them. Documents are sparse
-    lists of their own terms, written once to the shared folder; a block of
-    questions holds a matrix of its own terms only.
+    lists of their own terms, written once to the shared folder, as are the
+    questions; a block of questions holds, by word, the questions that have it.
     """
     spark = corpus.sparkSession
     folder = run_dir(spark, "terms")
@@ -179,16 +214,11 @@ def nearest_terms(
     _weights(counts, idf, doc_id).withColumnRenamed(doc_id, "doc_id").write.parquet(f"{folder}/documents")
     documents = spark.read.schema("doc_id long, terms array<string>, weights array<double>").parquet(f"{folder}/documents")
     asked = _weights(postings(questions, query_id, text_col), idf, query_id).withColumnRenamed(query_id, "query_id")
-    blocks = []
-    # A question brings few terms, but a block's matrix has all its terms for all its questions.
-    for block in question_blocks(asked, 1 << 16):
-        terms = sorted({t for x in block["terms"] for t in x})
-        slot = {t: i for i, t in enumerate(terms)}
-        m = np.zeros((len(terms), len(block)))
-        for i, (names, weights) in enumerate(zip(block["terms"], block["weights"], strict=True)):
-            m[[slot[t] for t in names], i] = weights
-        blocks.append({"ids": block["query_id"].to_numpy(), "slot": slot, "m": m})
-    return streamed(documents, blocks, _sparse_cost, k, "dot", dict(asked.dtypes)["query_id"])
+    id_type = dict(asked.dtypes)["query_id"]
+    asked.write.parquet(f"{folder}/questions")
+    asked = spark.read.schema(f"query_id {id_type}, terms array<string>, weights array<double>").parquet(f"{folder}/questions")
+    size = F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t) + WORD_BYTES)
+    return streamed(documents, asked, size, _inverted, _sparse_cost, k, "dot")
 
 
 def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:

@@ -55,6 +55,37 @@ def test_the_corpus_is_not_shuffled(spark):
     assert plan.count("Exchange") == 1 and plan.index("MapInPandas") > plan.index("Exchange")
 
 
+def test_blocks_of_questions_come_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "BLOCK_BYTES", 8 * 8 * 16)
+    frame = type(spark.range(0))
+    taken, plain = [], frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: taken.append(plain(self)) or taken[-1])
+    m = np.random.default_rng(5).normal(size=(200, 8))
+    df = retrieve.nearest(vectors(spark, "query_id", m), vectors(spark, "doc_id", m), 8, k=2)
+    # No plan holds all blocks and a scan of the corpus for each of them.
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInPandas") <= 1
+    assert len(taken) == 13 and max(t.num_rows for t in taken) < 40
+    assert [r.doc_id for r in df.where("rank = 1").orderBy("query_id").collect()] == list(range(200))
+
+
+@pytest.mark.parametrize("block_bytes", [32 << 20, 1 << 20])
+def test_lexical_questions_of_many_words_take_little_of_the_driver(spark, monkeypatch, block_bytes):
+    import tracemalloc
+
+    monkeypatch.setattr(retrieve, "BLOCK_BYTES", block_bytes)
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(150)) + " common words of all") for i in range(500)]
+    asked = spark.createDataFrame(texts, "query_id long, text string")
+    corpus = spark.createDataFrame(texts, "doc_id long, text string")
+    tracemalloc.start()
+    got = retrieve.nearest_terms(asked, corpus, "query_id", "doc_id", k=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 75,000 words by 500 questions as a matrix would take 300 MB.
+    assert peak < 120e6
+    rows = got.orderBy("query_id", "rank").collect()
+    assert len(rows) == 1000 and all(abs(r.score - 1) < 1e-6 and r.doc_id == r.query_id for r in rows[::2])
+
+
 def test_embed_hook_and_index_reuse(spark, tmp_path):
     docs = spark.createDataFrame([(1, "aa"), (2, "bbb")], "doc_id long, page_content string")
     built = []
