@@ -4,7 +4,8 @@ Bytes are embedded, filters of several widths run over them, each filter keeps
 its largest response in a window (max pooling), and a softmax layer over those
 gives the language. The network is trained in numpy on windows of a bounded
 number of labelled documents (``per_language`` of each, chosen by a hash of the
-id). It is applied to consecutive windows of fixed length that cover a whole
+id; with more than ``languages`` languages fewer of each, but at least one, so
+that every language can be predicted). It is applied to consecutive windows of fixed length that cover a whole
 text, many windows at once; a document's log-probabilities are the average over
 its windows, weighted by their bytes.
 
@@ -47,6 +48,10 @@ class Settings:
     seed: int = 11
 
 
+# Log-probabilities that are held at once.
+CELLS = 1 << 22
+
+
 @dataclass
 class Network:
     languages: list[str]
@@ -175,13 +180,24 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Network | None:
     usable = docs.select(F.col("doc_id").alias("key"), "lang").where(
         F.col("lang").isNotNull() & (F.crc32(F.col("key").cast("string")) % 4 != 2)
     )
-    common = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.languages)
+    common = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    many = common.count()
+    per_language, lettered = float(s.per_language), F.col("text").rlike(r"\p{L}")
+    taken = F.lit(False)
+    if many > s.languages:
+        # Fewer documents of each language, but at least one of every language that has any with a letter.
+        per_language = max(1.0, per_language * s.languages / many)
+        least = docs.select(F.col("doc_id").alias("key"), "lang", "text").where(
+            F.col("lang").isNotNull() & lettered & (F.crc32(F.col("key").cast("string")) % 4 != 2)
+        )
+        common = common.join(least.groupBy("lang").agg(F.min_by("key", F.xxhash64("key")).alias("least")), "lang")
+        taken = F.col("key") == F.col("least")
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
     rows = (
         docs.select(F.col("doc_id").alias("key"), "lang", "text")
-        .where(F.col("text").rlike(r"\p{L}") & (F.crc32(F.col("key").cast("string")) % 4 != 2))
+        .where(lettered & (F.crc32(F.col("key").cast("string")) % 4 != 2))
         .join(F.broadcast(common), "lang")
-        .where(draw < F.least(F.lit(1.0), F.lit(float(s.per_language)) / F.col("n")))
+        .where((draw < F.least(F.lit(1.0), F.lit(per_language) / F.col("n"))) | taken)
         .select("key", "lang", "text")
         .mapInArrow(_samples(s), "key long, lang string, bytes binary")
         .collect()
@@ -221,7 +237,9 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*held.value.languages, "und"], object)
-        for batch in batches:
+        # With very many languages, few texts at once.
+        some = max(1, CELLS // len(names))
+        for batch in (b.slice(i, some) for b in batches for i in range(0, max(1, b.num_rows), some)):
             known = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             logs = log_probabilities(batch.column("text"), held.value)
             best = np.where(known, logs.argmax(axis=1), len(names) - 1)

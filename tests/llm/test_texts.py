@@ -134,6 +134,20 @@ def test_license_expressions(odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_more_languages_than_the_setting_are_all_learned(spark, monkeypatch):
+    rows = [(100 * n + i, chr(97 + n) * 40 + f" {i} " + chr(97 + n) * 40, f"l{n}") for n in range(8) for i in range(6 + 10 * n)]
+    docs = spark.createDataFrame([*rows, (900, "5 5 5", "l9")], "doc_id long, text string, lang string")
+    net = langid.fit(docs, langid.Settings(languages=3, per_language=30))
+    assert net.languages == [f"l{n}" for n in range(8)]
+    # One document of each is the least.
+    assert langid.fit(docs, langid.Settings(languages=1, per_language=1, epochs=1)).languages == net.languages
+    whole = by_repr(langid.predict(docs, net).collect())
+    monkeypatch.setattr(langid, "CELLS", 20)
+    parts = by_repr(langid.predict(docs, net).collect())
+    assert len(whole) == len(rows) + 1 and [r[:2] for r in parts] == [r[:2] for r in whole]
+    assert np.allclose([r[2] for r in parts], [r[2] for r in whole], atol=1e-5)
+
+
 # --- decontamination ----------------------------------------------------------
 
 
