@@ -25,13 +25,16 @@ def load() -> tuple[dict, dict]:
         ann,
         chat_format,
         decontaminate,
+        exact_topk,
         jaccard_join,
         langid,
+        lexical,
         licenses,
         packing,
         quality,
         substring_dedup,
         token_output,
+        whitening,
     )
 
     return QUERIES, ORACLES
