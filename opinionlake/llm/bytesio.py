@@ -98,7 +98,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0 to n - 1, modulo 2^64."""
-    if len(_powers.get("up", ())) < n:
+    if len(_powers.get("up", ())) < max(n, 1):
         size = max(n, BLOCK + 64)
         for name, base in (("up", BASE), ("down", INVERSE)):
             steps = np.full(size, base, np.uint64)
