@@ -1,224 +1,17 @@
-"""Exact nearest neighbours for a table of questions.
-
-Every question must meet every vector, and the result keeps k per question.
-The questions are taken in blocks of bounded bytes; a block goes to all tasks,
-and the corpus streams past it where it is read: it is neither shuffled nor
-copied. A task keeps k hits per question of the block, whatever it has read, so
-no pair of rows is ever written. There is one block at a time: its ranked hits
-are written before the next one is taken, so neither the driver nor a task ever
-holds more than one, and no plan has more than one scan of the corpus.
-"""
+"""Retrieval: exact neighbours by vectors and by words, and the embedding hook."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from opinionlake.functions.text import word_tokens
-from opinionlake.profiles import NEIGHBOURS
-from opinionlake.session import run_dir
-
-BLOCK_BYTES = 32 << 20
-DIGITS = 6
-# Corpus rows that are scored at once.
-ROWS = 256
-# Questions of a block that are scored at once.
-PIECE = 4096
-# What a word of a question takes besides its letters.
-WORD_BYTES = 100
-
-
-class Best:
-    """The k best hits per question so far. Scores are rounded before ranking
-    and ties go to the smaller id, so the order of rows does not matter."""
-
-    def __init__(self, ids: np.ndarray, k: int) -> None:
-        self.ids, self.k = ids, k
-        self.cost = np.full((len(ids), 0), np.inf)
-        self.doc = np.zeros((len(ids), 0), np.int64)
-
-    def add(self, cost: np.ndarray, doc: np.ndarray) -> None:
-        """Costs (questions by rows), infinite where a row is no hit."""
-        cost = np.hstack([self.cost, cost.round(DIGITS)])
-        doc = np.hstack([self.doc, np.broadcast_to(doc, (len(self.ids), len(doc)))])
-        if cost.shape[1] > self.k:
-            order = np.lexsort((doc, cost))[:, : self.k]
-            cost, doc = np.take_along_axis(cost, order, 1), np.take_along_axis(doc, order, 1)
-        self.cost, self.doc = cost, doc
-
-    def rows(self, sign: float) -> pd.DataFrame:
-        found = np.isfinite(self.cost)
-        asked = np.broadcast_to(self.ids[:, None], self.doc.shape)
-        return pd.DataFrame({"query_id": asked[found], "doc_id": self.doc[found], "score": sign * self.cost[found]})
-
-
-def ranked(hits: DataFrame, k: int, metric: str) -> DataFrame:
-    best = F.col("score") if metric == "l2" else F.col("score").desc()
-    w = Window.partitionBy("query_id").orderBy(best, "doc_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "doc_id", "score"
-    )
-
-
-def streamed(
-    corpus: DataFrame, questions: DataFrame, size: Column, piece: Callable, score: Callable, k: int, metric: str
-) -> DataFrame:
-    """``size`` gives the bytes of a question, ``piece(table)`` what ``score(piece, rows)`` needs of some questions to
-    give their costs of a batch of corpus rows."""
-    spark = corpus.sparkSession
-    id_type = dict(questions.dtypes)["query_id"]
-    hits = f"query_id {id_type}, doc_id long, score double"
-    sign = 1.0 if metric == "l2" else -1.0
-
-    def scan(held) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = [Best(p["ids"], k) for p in held.value]
-            for batch in batches:
-                for i in range(0, len(batch), ROWS):
-                    rows = batch.iloc[i : i + ROWS]
-                    for b, p in zip(best, held.value, strict=True):
-                        b.add(score(p, rows), rows["doc_id"].to_numpy())
-            for b in best:
-                yield b.rows(sign)
-
-        return ranked(corpus.mapInPandas(run, hits), k, metric)
-
-    total = questions.agg(F.sum(size.cast("double")).alias("n")).first()["n"] or 0
-    parts = max(1, ceil(total / BLOCK_BYTES))
-    folder = run_dir(spark, "hits") if parts > 1 else ""
-    schema = None
-    for part in range(parts):
-        mine = F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part
-        block = (questions.where(mine) if parts > 1 else questions).toArrow()
-        if not block.num_rows:
-            continue
-        held = spark.sparkContext.broadcast([piece(block.slice(i, PIECE)) for i in range(0, block.num_rows, PIECE)])
-        found = scan(held)
-        if parts == 1:
-            return found
-        found.write.mode("append").parquet(folder)
-        schema = found.schema
-        held.destroy()
-    if schema is None:
-        return spark.createDataFrame([], f"query_id {id_type}, rank int, doc_id long, score double")
-    return spark.read.schema(schema).parquet(folder)
-
-
-def _dense_cost(metric: str) -> Callable:
-    def cost(block: dict, rows: pd.DataFrame) -> np.ndarray:
-        m = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-        dot = block["m"] @ m.T
-        if metric == "l2":
-            return np.maximum(block["squares"][:, None] + (m * m).sum(axis=1) - 2 * dot, 0)
-        return np.where(dot.round(DIGITS) > 0, -dot, np.inf)
-
-    return cost
-
-
-def nearest(questions: DataFrame, corpus: DataFrame, dim: int, k: int = NEIGHBOURS, metric: str = "l2") -> DataFrame:
-    """(query_id, rank, doc_id, score): the k nearest, exactly.
-
-    ``questions`` has query_id (any type), ``corpus`` has doc_id (64-bit), and
-    both ``vec`` arrays. Metric 'l2' is the squared distance, lower first; 'dot'
-    the product, higher first, positive only.
-    """
-    def piece(table: pa.Table) -> dict:
-        m = np.stack(table.column("vec").to_pandas().to_numpy()).astype(np.float64)
-        return {"ids": table.column("query_id").to_pandas().to_numpy(), "m": m, "squares": (m * m).sum(axis=1)}
-
-    asked = questions.select("query_id", "vec")
-    return streamed(corpus.select("doc_id", "vec"), asked, F.lit(8 * dim), piece, _dense_cost(metric), k, metric)
-
-
-# --- by words -----------------------------------------------------------------
-
-
-def words_of(text: Column) -> Column:
-    """Lower-case words of two or more letters and digits of any script."""
-    return word_tokens(F.lower(text))
-
-
-def postings(rows: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, term, tf) of every row with a word."""
-    return rows.select(key, F.explode(words_of(F.col(text_col))).alias("term")).groupBy(key, "term").agg(
-        F.count("*").alias("tf")
-    )
-
-
-def _weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, terms, weights): unit-norm TF-IDF of the terms that ``idf`` has."""
-    weighed = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    listed = weighed.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("term", "w"))).alias("_t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n")
-    )
-    return listed.select(
-        key, F.col("_t.term").alias("terms"), F.transform("_t.w", lambda w: w / F.col("_n")).alias("weights")
-    )
-
-
-def _inverted(table: pa.Table) -> dict:
-    """Some questions by word: the questions that have the word in slot s, and its weights there, from first[s] on."""
-    terms = table.column("terms").combine_chunks()
-    asked = np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy())
-    words = terms.flatten().dictionary_encode()
-    of = words.indices.to_numpy()
-    order = np.argsort(of, kind="stable")
-    return {
-        "ids": table.column("query_id").to_pandas().to_numpy(),
-        "slot": {t: i for i, t in enumerate(words.dictionary.to_pylist())},
-        "first": np.searchsorted(of[order], np.arange(len(words.dictionary) + 1)),
-        "asked": asked[order],
-        "weights": table.column("weights").combine_chunks().flatten().to_numpy()[order],
-    }
-
-
-def _sparse_cost(piece: dict, rows: pd.DataFrame) -> np.ndarray:
-    """Products of a few documents with the questions of a piece, over the words they share."""
-    n = len(piece["ids"])
-    out = np.full((n, len(rows)), np.inf)
-    slot, first = piece["slot"], piece["first"]
-    for i, (terms, weights) in enumerate(zip(rows["terms"], rows["weights"], strict=True)):
-        found = [(s, w) for s, w in zip(map(slot.get, terms), weights, strict=True) if s is not None]
-        dot = np.zeros(n)
-        for s, w in found:
-            # A word stands once in a question.
-            dot[piece["asked"][first[s] : first[s + 1]]] += w * piece["weights"][first[s] : first[s + 1]]
-        out[:, i] = np.where(dot.round(DIGITS) > 0, -dot, np.inf)
-    return out
-
+from pyspark.sql import DataFrame
 
-def nearest_terms(
-    questions: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k: int = NEIGHBOURS, text_col: str = "text"
-) -> DataFrame:
-    """Lexical retrieval: TF-IDF over all words of the corpus, product as score.
+from opinionlake.operators.neighbours import nearest, touched
+from opinionlake.operators.postings import nearest_terms, words_of
 
-    No vocabulary limit: rare words find what holds them. Documents are sparse
-    lists of their own terms, written once to the shared folder, as are the
-    questions; a block of questions holds, by word, the questions that have it.
-    """
-    spark = corpus.sparkSession
-    folder = run_dir(spark, "terms")
-    counts = postings(corpus, doc_id, text_col)
-    n = corpus.count()
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).select(
-        "term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf")
-    )
-    idf.write.parquet(f"{folder}/idf")
-    idf = spark.read.schema("term string, idf double").parquet(f"{folder}/idf")
-    _weights(counts, idf, doc_id).withColumnRenamed(doc_id, "doc_id").write.parquet(f"{folder}/documents")
-    documents = spark.read.schema("doc_id long, terms array<string>, weights array<double>").parquet(f"{folder}/documents")
-    asked = _weights(postings(questions, query_id, text_col), idf, query_id).withColumnRenamed(query_id, "query_id")
-    id_type = dict(asked.dtypes)["query_id"]
-    asked.write.parquet(f"{folder}/questions")
-    asked = spark.read.schema(f"query_id {id_type}, terms array<string>, weights array<double>").parquet(f"{folder}/questions")
-    size = F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t) + WORD_BYTES)
-    return streamed(documents, asked, size, _inverted, _sparse_cost, k, "dot")
+__all__ = ["embed", "nearest", "nearest_terms", "touched", "words_of"]
 
 
 def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:

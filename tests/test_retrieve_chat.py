@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinionlake.operators import chat, retrieve
+from opinionlake.operators import chat, neighbours, postings, retrieve
 from opinionlake.plans import pipeline
 from opinionlake.profiles import NO_HITS_MESSAGE, SUBJECT_MISSING_MESSAGE
 from opinionlake.sources import files, index
@@ -12,19 +12,36 @@ def vectors(spark, name, m):
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], f"{name} long, vec array<float>")
 
 
-@pytest.mark.parametrize("block_bytes", [32 << 20, 8 * 8 * 16])
-def test_nearest_equals_brute_force(spark, monkeypatch, block_bytes):
+def small_blocks(monkeypatch, size):
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", size)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 9)
+    monkeypatch.setattr(neighbours, "ASKED", 7)
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot"])
+@pytest.mark.parametrize("block_bytes", [8 << 20, 8 * 8 * 16])
+def test_nearest_equals_brute_force(spark, monkeypatch, block_bytes, metric):
     """Also with many small blocks on both sides and a third of equal vectors."""
-    monkeypatch.setattr(retrieve, "BLOCK_BYTES", block_bytes)
+    small_blocks(monkeypatch, block_bytes)
     rng = np.random.default_rng(7)
     corpus = rng.normal(size=(90, 8)).astype(np.float32)
     corpus[::3] = corpus[0]
     asked = np.vstack([corpus[0], rng.normal(size=(40, 8)).astype(np.float32)])
-    got = retrieve.nearest(vectors(spark, "query_id", asked), vectors(spark, "doc_id", corpus), dim=8, k=4).collect()
+    got = retrieve.nearest(vectors(spark, "query_id", asked), vectors(spark, "doc_id", corpus), dim=8, k=4, metric=metric).collect()
     cost = ((asked[:, None].astype(float) - corpus[None].astype(float)) ** 2).sum(axis=2).round(6)
-    expected = [(q, d) for q in range(len(asked)) for d in sorted(range(90), key=lambda d: (cost[q, d], d))[:4]]
-    assert [(r.query_id, r.doc_id) for r in sorted(got, key=lambda r: (r.query_id, r.rank))] == expected
-    assert all(abs(r.score - cost[r.query_id, r.doc_id]) < 1e-6 for r in got)
+    if metric == "dot":
+        cost = -(asked.astype(float) @ corpus.astype(float).T).round(6)
+    best = {q: [d for d in sorted(range(90), key=lambda d: (cost[q, d], d))[:4] if metric == "l2" or cost[q, d] < 0] for q in range(len(asked))}
+    assert [(r.query_id, r.doc_id) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == [(q, d) for q in best for d in best[q]]
+    assert all(abs(abs(r.score) - abs(cost[r.query_id, r.doc_id])) < 1e-6 for r in got)
+
+
+def test_nearest_leaves_out_vectors_that_cannot_be_compared(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [0.0, 1.0]), (7, [])]
+    corpus = spark.createDataFrame(rows, "doc_id long, vec array<float>")
+    asked = spark.createDataFrame([(str(i), v) for i, v in rows], "query_id string, vec array<float>")
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in retrieve.nearest(asked, corpus, 2).collect())
+    assert got == [("1", 1, 1), ("1", 2, 6), ("6", 1, 6), ("6", 2, 1)]
 
 
 def test_nearest_smaller_corpus_than_k_and_empty(spark):
@@ -48,42 +65,76 @@ def test_lexical_finds_rare_words(spark):
     assert [(r.doc_id, r["rank"]) for r in got if r.query_id in ("13", "14")] == [(6, 1), (6, 1)]
 
 
-def test_the_corpus_is_not_shuffled(spark):
-    m = np.eye(8)
-    df = retrieve.nearest(vectors(spark, "query_id", m), vectors(spark, "doc_id", m), 8)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and plan.index("MapInPandas") > plan.index("Exchange")
+def test_far_cells_are_not_visited(spark, monkeypatch):
+    """Of twenty groups that lie apart a question sees a few, and still finds what all products give."""
+    small_blocks(monkeypatch, 8 << 20)
+    rng = np.random.default_rng(2)
+    m = np.repeat(rng.normal(size=(20, 8)) * 10, 40, axis=0) + rng.normal(size=(800, 8)) / 10
+    asked, corpus = vectors(spark, "query_id", m[::10]), vectors(spark, "doc_id", m)
+    cells = neighbours.partitions(asked, corpus, 8, 3, "l2")[1].select("group").distinct().count()
+    parts = [r.parts for r in retrieve.touched(asked, corpus, 8, 3).collect()]
+    assert len(parts) == 80 and cells > 10 and np.mean(parts) < cells / 4
+    got = retrieve.nearest(asked, corpus, 8, 1).collect()
+    assert sorted((r.query_id, r.doc_id) for r in got) == [(i, 10 * i) for i in range(80)]
 
 
-def test_blocks_of_questions_come_one_at_a_time(spark, monkeypatch):
-    monkeypatch.setattr(retrieve, "BLOCK_BYTES", 8 * 8 * 16)
+def test_questions_do_not_pass_the_driver(spark, monkeypatch):
     frame = type(spark.range(0))
-    taken, plain = [], frame.toArrow
+    taken, plain, listed = [], frame.toArrow, frame.collect
     monkeypatch.setattr(frame, "toArrow", lambda self: taken.append(plain(self)) or taken[-1])
-    m = np.random.default_rng(5).normal(size=(200, 8))
+    monkeypatch.setattr(frame, "collect", lambda self: taken.append(listed(self)) or taken[-1])
+    monkeypatch.setattr(neighbours, "SAMPLE", 20)
+    m = np.random.default_rng(5).normal(size=(400, 8))
     df = retrieve.nearest(vectors(spark, "query_id", m), vectors(spark, "doc_id", m), 8, k=2)
-    # No plan holds all blocks and a scan of the corpus for each of them.
-    assert df._jdf.queryExecution().executedPlan().toString().count("MapInPandas") <= 1
-    assert len(taken) == 13 and max(t.num_rows for t in taken) < 40
-    assert [r.doc_id for r in df.where("rank = 1").orderBy("query_id").collect()] == list(range(200))
-
-
-@pytest.mark.parametrize("block_bytes", [32 << 20, 1 << 20])
-def test_lexical_questions_of_many_words_take_little_of_the_driver(spark, monkeypatch, block_bytes):
-    import tracemalloc
-
-    monkeypatch.setattr(retrieve, "BLOCK_BYTES", block_bytes)
-    texts = [(i, " ".join(f"w{i}x{j}" for j in range(150)) + " common words of all") for i in range(500)]
-    asked = spark.createDataFrame(texts, "query_id long, text string")
-    corpus = spark.createDataFrame(texts, "doc_id long, text string")
-    tracemalloc.start()
-    got = retrieve.nearest_terms(asked, corpus, "query_id", "doc_id", k=2)
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    # 75,000 words by 500 questions as a matrix would take 300 MB.
-    assert peak < 120e6
-    rows = got.orderBy("query_id", "rank").collect()
-    assert len(rows) == 1000 and all(abs(r.score - 1) < 1e-6 and r.doc_id == r.query_id for r in rows[::2])
+    texts = [(i, f"word{i} common") for i in range(400)]
+    found = retrieve.nearest_terms(spark.createDataFrame(texts, "q long, text string"), spark.createDataFrame(texts, "d long, text string"), "q", "d")
+    assert max(len(t) for t in taken) <= 40
+    monkeypatch.undo()
+    assert [r.doc_id for r in df.where("rank = 1").orderBy("query_id").collect()] == list(range(400))
+    assert [r.doc_id for r in found.where("rank = 1").orderBy("query_id").collect()] == list(range(400))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_terms_equal_brute_force(spark, monkeypatch, small):
+    """Small shards, groups and blocks; words of all frequencies, ties and repeated texts."""
+    if small:
+        monkeypatch.setattr(postings, "SHARD_WORDS", 150)
+        monkeypatch.setattr(postings, "GROUP_BYTES", 2000)
+        monkeypatch.setattr(postings, "BLOCK", 7)
+        monkeypatch.setattr(postings, "CELLS", 64)
+        monkeypatch.setattr(postings, "ENTRIES", 30)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(w)}" for w in rng.zipf(1.3, size=rng.integers(0, 30)) % 500) for _ in range(150)]
+    texts[10:20] = [texts[3]] * 10
+    asked = [*texts[::5], "nothing known", ""]
+    docs = [t.split() for t in texts]
+    df = {w: sum(w in d for d in docs) for w in {w for d in docs for w in d}}
+    idf = {w: np.log((1 + len([d for d in docs if d])) / (1 + n)) + 1 for w, n in df.items()}
+
+    def unit(words):
+        v = {w: words.count(w) * idf[w] for w in set(words) if w in idf}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    held, expected = [unit(d) for d in docs], []
+    for q, text in enumerate(asked):
+        mine = unit(text.split())
+        scores = sorted((-round(sum(x * v.get(w, 0) for w, x in mine.items()), 6), d) for d, v in enumerate(held))
+        expected += [(q, n + 1, d) for n, (s, d) in enumerate(scores[:4]) if s < 0]
+    left = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    right = spark.createDataFrame([*enumerate([t or None for t in texts])], "doc_id long, text string").where("text IS NOT NULL")
+    got = retrieve.nearest_terms(left, right, "query_id", "doc_id").collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in got) == expected
+
+
+def test_common_words_are_not_read_to_their_end():
+    """A rare word decides; the list of the word that all documents hold is only looked up."""
+    n = 5000
+    docs = np.append(np.arange(n), np.arange(5)).astype("<u4")
+    weights = np.append(np.full(n, 0.01), np.linspace(0.9, 0.8, 5))
+    lists = postings.Lists({"ids": np.arange(n).tobytes(), "counts": np.array([n, 5], "<u4").tobytes(), "docs": docs.tobytes(), "weights": weights.tobytes()})
+    of, doc, score, read = lists.best(np.array([0, 0, 1]), np.array([0, 1, 0]), np.array([0.1, 0.9, 1.0]), 2, 4)
+    assert doc.tolist() == [0, 1, 2, 3] * 2 and score[0] == round(0.81 + 0.001, 6) and read == 5 + n
 
 
 def test_embed_hook_and_index_reuse(spark, tmp_path):
