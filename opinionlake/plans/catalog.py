@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from opinionlake.functions import extract as X
 from opinionlake.functions import text as TX
 from opinionlake.functions import values as V
-from opinionlake.operators import chat, cleaning, compare, keyed, ranking, retrieve, tfidf
+from opinionlake.operators import chat, cleaning, compare, keyed, ranking, retrieve, tables, tfidf
 from opinionlake.plans import pipeline
 from opinionlake.profiles import (
     ALADIN,
@@ -525,6 +525,32 @@ def user_valid_email(spark, sf):
     return user_changes(spark, sf).select("seq", "email", V.valid_email(F.col("email")).alias("valid"))
 
 
+def _user_table(spark, sf, *steps: str) -> DataFrame:
+    """The user table written, then one batch of changes a step, and read back from disk."""
+    path = run_dir(spark, "users")
+    tables.create(spark, path, users(spark, sf), "email", buckets=16)
+    changes = user_changes(spark, sf)
+    for n, step in enumerate(steps):
+        batch = changes.where(F.col("seq") % 3 == n)
+        if step == "upsert":
+            tables.upsert(spark, path, batch.where("op in ('register', 'update')"), "seq")
+        elif step == "update":
+            tables.update(spark, path, batch.where("op = 'update'"), "seq", ["password"])
+        else:
+            tables.delete(spark, path, batch.where("op = 'delete'"))
+    return tables.read(spark, path)
+
+
+@query
+def user_table_upserted(spark, sf):
+    return _user_table(spark, sf, "upsert", "update", "upsert")
+
+
+@query
+def user_table_deleted(spark, sf):
+    return _user_table(spark, sf, "delete", "upsert", "delete")
+
+
 # --- retrieval and chat -------------------------------------------------------
 
 

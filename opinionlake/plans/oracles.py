@@ -245,6 +245,11 @@ changes AS (
   FROM orders)"""
 
 
+UPSERTS = """
+upserts AS (SELECT seq % 3 AS batch, email, arg_max(password, seq) AS password, arg_max(username, seq) AS username
+            FROM changes WHERE op IN ('register', 'update') GROUP BY ALL)"""
+
+
 def presence(op: str, present: str, absent: str) -> str:
     return on(USERS, f"""
 SELECT seq, email, CASE WHEN email IN (SELECT email FROM users) THEN '{present}' ELSE '{absent}' END AS status
@@ -558,6 +563,19 @@ last AS (SELECT email, arg_max(password, seq) AS password, arg_max(username, seq
 SELECT * FROM last UNION ALL SELECT * FROM users WHERE email NOT IN (SELECT email FROM last)"""),
     "user_delete": on(USERS, """
 SELECT * FROM users WHERE email NOT IN (SELECT email FROM changes WHERE op = 'delete')"""),
+    "user_table_upserted": on(f"""{USERS},{UPSERTS},
+first AS (SELECT email, password, username FROM upserts WHERE batch = 0
+          UNION ALL SELECT * FROM users WHERE email NOT IN (SELECT email FROM upserts WHERE batch = 0)),
+set_anew AS (SELECT email, arg_max(password, seq) AS p FROM changes WHERE op = 'update' AND seq % 3 = 1 GROUP BY email),
+second AS (SELECT email, coalesce(p, password) AS password, username FROM first LEFT JOIN set_anew USING (email))""", """
+SELECT email, password, username FROM upserts WHERE batch = 2
+UNION ALL SELECT * FROM second WHERE email NOT IN (SELECT email FROM upserts WHERE batch = 2)"""),
+    "user_table_deleted": on(f"""{USERS},{UPSERTS},
+gone AS (SELECT email, seq % 3 AS batch FROM changes WHERE op = 'delete'),
+added AS (SELECT email, password, username FROM upserts WHERE batch = 1),
+held AS (SELECT * FROM added UNION ALL
+         SELECT * FROM users WHERE email NOT IN (SELECT email FROM gone WHERE batch = 0) AND email NOT IN (SELECT email FROM added))""", """
+SELECT * FROM held WHERE email NOT IN (SELECT email FROM gone WHERE batch = 2)"""),
     "user_valid_email": on(USERS, """
 SELECT seq, email, position('@' IN email) > 0 AS valid FROM changes"""),
     "vector_topk": """
