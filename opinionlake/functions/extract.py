@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,41 +94,34 @@ def url_param(url: Column, name: str, default: str | None = None) -> Column:
     return F.coalesce(found, F.lit(default)) if default is not None else found
 
 
-# Named characters of markup; the ampersand comes last.
-NAMED_CHARACTERS = {
-    "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "hellip": "…", "middot": "·", "bull": "•",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "ndash": "–", "mdash": "—", "copy": "©", "reg": "®",
-    "trade": "™", "times": "×", "laquo": "«", "raquo": "»", "amp": "&",
-}
+# A reference to a character: by number, by name, or by one of the names that may stand without a semicolon.
+OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]{1,31};|" + "|".join(OPEN_NAMES) + ")"
+# What references to the control characters from 128 on mean: the characters of the old code page.
+CONTROLS = {chr(c): bytes([c]).decode("cp1252", "ignore") for c in range(128, 160)}
 
 
-# A reference by number, decimal or hexadecimal.
-NUMBERED = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
-
-
-def _character(code: Column) -> Column:
-    """The character of a code point as it stands in a reference."""
-    digits = F.when(code.rlike("^[xX]"), F.substring(code, 2, 6)).otherwise(F.conv(code, 10, 16))
-    known = F.conv(digits, 16, 10).cast("long") <= 0x10FFFF
-    return F.when(known, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise("\ufffd")
-
-
-def _numbered(text: Column) -> Column:
-    chars = F.transform(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1)), _character)
-    joined = F.zip_with(F.split(text, NUMBERED, -1), chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
-    return F.when(text.contains("&#"), F.array_join(joined, "")).otherwise(text)
-
-
-def _named(text: Column) -> Column:
-    out = text
-    for name, shown in NAMED_CHARACTERS.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(shown))
-    return F.when(text.contains("&"), out).otherwise(text)
+def _by_number(reference: Column) -> Column:
+    """The character of a reference like ``&#233;`` or ``&#xe9;``; of a number without a character, U+FFFD."""
+    code = F.regexp_replace(F.regexp_extract(reference, "#([xX]?[0-9A-Fa-f]+)", 1), "^([xX]?)0+", "$1")
+    digits = F.when(F.length(code) > 8, "FFFFFFFF").when(code.rlike("^[xX]"), F.substring(code, 2, 7)).otherwise(F.conv(code, 10, 16))
+    number = F.conv(digits, 16, 10).cast("long")
+    known = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    shown = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+    old = {c: m for c, m in CONTROLS.items() if m}
+    return F.when(known, F.translate(shown, "".join(old), "".join(old.values()))).otherwise("\ufffd")
 
 
 def decode_entities(text: Column) -> Column:
-    """Character references as characters: by number, then by name."""
-    return let(let(text, _numbered), _named)
+    """Character references as characters, each once: by number, or by any name of the standard table. Unknown names
+    stay as they are."""
+    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    named = lambda r: F.coalesce(F.try_element_at(table, F.substr(r, F.lit(2))), r)
+    shown = F.transform(
+        F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), lambda r: F.when(r.startswith("&#"), _by_number(r)).otherwise(named(r))
+    )
+    joined = F.zip_with(F.split(text, REFERENCE, -1), shown, lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
+    return let(F.when(text.contains("&"), F.array_join(joined, "")).otherwise(text), lambda t: t)
 
 
 def until_close(html: Column, tag: str) -> Column:

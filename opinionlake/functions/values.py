@@ -35,9 +35,32 @@ def strip(value: Column) -> Column:
     return F.regexp_replace(value, BLANK_ENDS, "")
 
 
+# A day with or without a time: parts with or without leading zeros, fractions, and a zone.
+SPELLED = (
+    r"^(\d{4})(?:([-./])(\d{1,2})\2(\d{1,2})|(\d{2})(\d{2}))"
+    r"(?:[T ]\s*(\d{1,2}):(\d{2})(?::(\d{2}(?:[.,]\d{1,9})?))?\s*(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+)
+
+
+def _spelled_moment(text: Column) -> Column:
+    """Any other spelling of the standard for dates; with a zone, the moment in the session's time."""
+    part = lambda g: F.nullif(F.regexp_extract(text, SPELLED, g), F.lit(""))
+    number = lambda *gs: F.coalesce(*[part(g).cast("int") for g in gs])
+    zone = F.regexp_replace(F.nullif(part(10), F.lit("Z")), r"^(...)(?::?(..))?$", "$1:$2")
+    zone = F.when(part(10) == "Z", "UTC").otherwise(F.when(F.length(zone) == 4, F.concat(zone, F.lit("00"))).otherwise(zone))
+    seconds = F.coalesce(F.replace(part(9), F.lit(","), F.lit(".")).cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+    nothing = F.lit(0)
+    made = F.try_make_timestamp(
+        part(1).cast("int"), number(3, 5), number(4, 6), F.coalesce(number(7), nothing), F.coalesce(number(8), nothing),
+        seconds, F.coalesce(zone, F.current_timezone()),
+    )
+    return F.when(text.rlike(SPELLED), made)
+
+
 def to_moment(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Text to a moment: the usual spellings first, then any other with a day, time, fraction or zone; else NULL."""
     text = strip(value)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], _spelled_moment(text))
 
 
 def to_five(rating: Column, scale: int | Column) -> Column:

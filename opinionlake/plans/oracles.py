@@ -43,6 +43,8 @@ BY_SITE = "CASE site " + " ".join(f"WHEN '{s}' THEN {cleaned('content', s)}" for
 IN_RANGE = "(" + " OR ".join(f"(site = '{s}' AND rating BETWEEN {a} AND {b})" for s, (a, b) in RANGE.items()) + ")"
 LONG_ENOUGH = "(" + " OR ".join(f"(site = '{s}' AND content_len >= {n})" for s, n in MIN_LEN.items()) + ")"
 
+MOMENT = "coalesce(try_cast(date AS TIMESTAMP), try_strptime(date, '%Y%m%d'))"
+DAY = f"CAST({MOMENT} AS DATE)"
 RAW = """
 base AS (
   SELECT d.doc_id,
@@ -52,6 +54,9 @@ base AS (
               ELSE CAST(1 + CAST(FLOOR(e.value) AS BIGINT) % 6 AS VARCHAR) END AS rating,
          CASE WHEN d.doc_id % 19 = 0 THEN 'not-a-date'
               WHEN d.doc_id % 23 = 0 THEN '2999-01-01'
+              WHEN d.doc_id % 37 = 0 THEN strftime(o.o_orderdate, '%Y-%m-%d 09:30')
+              WHEN d.doc_id % 41 = 0 THEN strftime(o.o_orderdate, '%Y-%-m-%-dT00:00:00.5Z')
+              WHEN d.doc_id % 43 = 0 THEN strftime(o.o_orderdate, '%Y%m%d')
               ELSE CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) END AS date,
          CASE WHEN d.doc_id % 29 = 0 THEN NULL ELSE d.text END AS content
   FROM documents d
@@ -72,7 +77,7 @@ nulled AS (
 
 TYPED = f"""{NULLED},
 typed AS (
-  SELECT review_seq, site, try_cast(rating AS DOUBLE) AS rating, try_cast(date AS DATE) AS date, content,
+  SELECT review_seq, site, try_cast(rating AS DOUBLE) AS rating, {DAY} AS date, content,
          rating AS rating_text, date AS date_text
   FROM nulled)"""
 
@@ -208,7 +213,7 @@ keyed AS (
                 coalesce(CAST(try_cast(rating AS DOUBLE) AS VARCHAR), rating, 'nan') || '||' ||
                 coalesce(content, 'nan')) AS raw_id
   FROM nulled),
-seen AS (SELECT * FROM keyed WHERE try_cast(date AS DATE) < DATE '{SEEN_BEFORE}')"""
+seen AS (SELECT * FROM keyed WHERE {DAY} < DATE '{SEEN_BEFORE}')"""
 
 PROCESSED_ID = (
     "sha256(site || '||' || strftime(date, '%Y-%m-%d') || '||' || CAST(rating AS VARCHAR) || '||' || content_clean)"
@@ -222,7 +227,7 @@ def basic_of(source: str, name: str) -> str:
   SELECT * FROM (
     SELECT *, length(content_clean) AS content_len FROM (
       SELECT *, {BY_SITE} AS content_clean FROM (
-        SELECT review_seq, raw_id, site, try_cast(rating AS DOUBLE) AS rating, try_cast(date AS DATE) AS date, content
+        SELECT review_seq, raw_id, site, try_cast(rating AS DOUBLE) AS rating, {DAY} AS date, content
         FROM {source})
       WHERE content IS NOT NULL AND {IN_RANGE} AND date <= {AS_OF}))
   WHERE {LONG_ENOUGH})"""
@@ -321,7 +326,7 @@ reviews AS (
   SELECT page_id, site, day AS date,
          CASE site WHEN 'kyobo' THEN CAST(ten AS VARCHAR) WHEN 'yes24' THEN CAST(page_id % 11 // 2 AS VARCHAR)
               ELSE CASE WHEN page_id % 6 > 0 THEN CAST(page_id % 6 AS VARCHAR) WHEN page_id % 4 = 0 THEN '3' ELSE '' END END AS rating,
-         trim(regexp_replace(CASE site WHEN 'aladin' THEN 'A & B''s in tail ' ELSE 'A & B in tail ' END || text, '[\\s\\x0b\\p{Z}]+', ' ', 'g')) AS content
+         trim(regexp_replace(CASE site WHEN 'aladin' THEN 'A & B''s in tail café &lt; 5€ © ß– ' ELSE 'A & B in tail ' END || text, '[\\s\\x0b\\p{Z}]+', ' ', 'g')) AS content
   FROM cards WHERE site <> 'kyobo' OR day <> '')"""
 
 
@@ -341,7 +346,7 @@ FROM $site p LEFT JOIN (
 
 TWO_RUNS = f"""{KEYED},
 store AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY raw_id ORDER BY review_seq) = 1),
-early AS (SELECT * FROM store WHERE coalesce(try_cast(date AS DATE) < DATE '{SEEN_BEFORE}', FALSE)),
+early AS (SELECT * FROM store WHERE coalesce({DAY} < DATE '{SEEN_BEFORE}', FALSE)),
 late AS (SELECT * FROM store WHERE raw_id NOT IN (SELECT raw_id FROM early)),
 made AS (
   SELECT *, 0 AS nth FROM ({run_documents('early', 'first')})
@@ -399,9 +404,9 @@ SELECT c.site, rows_before, CAST(rows_complete AS BIGINT) AS rows_complete, CAST
        (SELECT count(*) FROM processed p WHERE p.site = c.site) AS rows_kept,
        rows_before - (SELECT count(*) FROM processed p WHERE p.site = c.site) AS rows_removed
 FROM counted c"""),
-    "iso_and_null": on(RAW, """
+    "iso_and_null": on(RAW, f"""
 SELECT review_seq, try_cast(rating AS DOUBLE) AS rating,
-       strftime(try_cast(date AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') AS date_iso
+       strftime({MOMENT}, '%Y-%m-%dT%H:%M:%S') AS date_iso
 FROM raw_reviews"""),
     "date_features": on(BASIC, """
 SELECT review_seq, year(date) AS year, month(date) AS month, isodow(date) - 1 AS weekday,

@@ -52,6 +52,9 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = (
         F.when(doc % 19 == 0, "not-a-date")
         .when(doc % 23 == 0, "2999-01-01")
+        .when(doc % 37 == 0, F.date_format("day", "yyyy-MM-dd 09:30"))
+        .when(doc % 41 == 0, F.date_format("day", "yyyy-M-d'T'00:00:00.5'Z'"))
+        .when(doc % 43 == 0, F.date_format("day", "yyyyMMdd"))
         .otherwise(F.col("day").cast("string"))
     )
 
@@ -106,7 +109,7 @@ def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, site, html): a shop page with one review card per document.
 
     Its rating, date and text come from the given tables. Texts hold character
-    references and elements inside elements; a star outside the star block and
+    references and elements inside elements, and long ones end with a marker; a star outside the star block and
     a dated footer stand on the page too, and some cards have no date.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -127,8 +130,9 @@ def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     aladin = F.concat(
         F.lit('<div class="hundred_list x"><div class="HL_star">'), F.expr("repeat('<img src=\"Icon_Star_On.png\">', cast(doc_id % 6 as int))"),
         F.lit('<img src="icon_star_off.png"></div>'), F.when(doc % 4 == 0, "별점 3 ").otherwise(""),
-        F.when(doc % 5 == 0, star).otherwise(F.lit("")), F.lit('<span id="spnPaper'), doc.cast("string"),
-        F.lit('">A &amp; B&#39;s <span>in</span> tail '), text, F.lit('</span><div class="left"><span>'), date("yyyy-MM-dd"),
+        F.when(doc % 5 == 0, star).otherwise(F.lit("")), F.when(doc % 7 == 0, '<div id="divPaper').otherwise('<span id="spnPaper'),
+        doc.cast("string"), F.lit('">A &amp; B&#39;s <span>in</span> tail caf&eacute; &amp;lt; 5&euro; &copy &szlig;&#150; '), text,
+        F.when(doc % 7 == 0, " + 더보기 </div>").otherwise("</span>"), F.lit('<div class="left"><span>'), date("yyyy-MM-dd"),
         F.lit("</span></div></div>"),
     )
     kyobo = F.concat(

@@ -164,3 +164,18 @@ def test_emails(spark):
         assert one(spark, good, V.valid_email)
     for bad in ("testexample.com", "a@b", "@x.com", "a b@x.com", None):
         assert not one(spark, bad, V.valid_email)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("2024-01-02 10:30", dt.datetime(2024, 1, 2, 10, 30)), ("2024-01-02T10:30:00Z", dt.datetime(2024, 1, 2, 10, 30)),
+        ("2024-01-02 10:30:00.5", dt.datetime(2024, 1, 2, 10, 30, 0, 500000)), ("2024-1-2", dt.datetime(2024, 1, 2)),
+        ("20240102", dt.datetime(2024, 1, 2)), ("2024-01-02T10:30+09:00", dt.datetime(2024, 1, 2, 1, 30)),
+        ("2024.1.2 3:04", dt.datetime(2024, 1, 2, 3, 4)), ("2024-01-02T10:30:00,25-0130", dt.datetime(2024, 1, 2, 12, 0, 0, 250000)),
+        ("2024-01-02 10:30+01", dt.datetime(2024, 1, 2, 9, 30)), ("2024-1.2", None), ("20241302", None), ("2024-02-30", None),
+        ("202401", None), ("2024-01-02 25:00", None), ("2024-01-02 10:30 tail", None), ("", None),
+    ],
+)
+def test_spellings_of_dates(spark, text, want):
+    assert one(spark, text, V.to_moment) == want
