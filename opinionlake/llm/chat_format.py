@@ -12,7 +12,8 @@ Inside roles and texts a backslash is doubled and ``<|`` is written ``<\\|``,
 so no marker can occur in them; taking one backslash away before any character
 gives them back. ``read_back`` needs the formatted string only.
 
-Turns are ordered by (turn, role, text), nulls first. One window and one
+Turns are ordered by (turn, role, text), nulls first, where text is that of all
+text parts together; what is equal there by the other parts. One window and one
 aggregation over conv_id share a single shuffle by conversation. A conversation
 is one row of the result and must fit in memory there, as the contract asks for
 digests over whole conversations; different conversations never meet.
@@ -74,12 +75,14 @@ def format_chats(rows: DataFrame) -> DataFrame:
     ``loss_spans`` has start (from 0) and length, in characters of the formatted string, of each learned text.
     ``attachments`` has number, kind, ref, turn position and expanded tokens of each placeholder.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "sort_text")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "sort_text", "sort_parts")
+    texts = F.transform(F.filter("parts", _is_text), lambda p: p["text"])
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     parts = F.filter(F.col("parts").cast(PARTS), lambda p: p.isNotNull())
     turns = (
         rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(parts, F.array().cast(PARTS)).alias("parts"))
-        .withColumn("sort_text", F.to_json("parts"))
+        .withColumn("sort_text", F.when(F.exists(texts, lambda t: t.isNotNull()), F.array_join(texts, "")))
+        .withColumn("sort_parts", F.to_json("parts"))
         .withColumn("attached", F.filter("parts", lambda p: ~_is_text(p)))
         .withColumn("ahead", F.coalesce(F.sum(F.size("attached")).over(before), F.lit(0)))
         .withColumn("position", F.row_number().over(order) - 1)

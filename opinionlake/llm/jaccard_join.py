@@ -21,15 +21,16 @@ link when 100 * intersection >= 80 * union.
    each group it found, not its pairs.
 4. Connected components of these links give the result.
 
-Texts are dealt into shards by a hash of the id, once; the sets of the few
+Texts are dealt into shards by a hash of id and text, once; the sets of the few
 documents with a possible partner are written to the shared folder.
 
 Cases: a null text or one without words has the empty set and links with
 nothing; with fewer than five words, the whole sequence is the only shingle;
 rows that share an id are documents of their own; component ids ignore null
 ids (null where there is no other); extra columns are ignored by ``join`` and
-kept by ``keep_one``, which keeps the row with the smallest id (null first,
-then by text) of each component and all rows without words.
+kept by ``keep_one``, whatever their names, which keeps the row with the
+smallest id (null first; of rows that share it always the same one) of each
+component and all rows without words.
 """
 
 from __future__ import annotations
@@ -338,7 +339,8 @@ def keep_one(docs: DataFrame, shard_bytes: int = S.SHARD_BYTES, block: int = BLO
     kept = smallest.groupBy("root").agg(F.min("first").alias("first")).select("first.shard", "first.place")
     kept = kept.unionByName(g.rows.where("sig IS NULL").select("shard", "place"))
     given = S.dealt(docs, g.shards).groupBy(S.SHARD)
-    return given.cogroup(kept.groupBy("shard")).applyInArrow(_only, T.StructType(docs.schema.fields))
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(S.dealt(docs, 1).columns, docs.schema.fields, strict=False)])
+    return given.cogroup(kept.groupBy("shard")).applyInArrow(_only, schema).toDF(*docs.columns)
 
 
 @query

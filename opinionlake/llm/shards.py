@@ -1,8 +1,10 @@
 """Documents dealt into shards of bounded size, and packed rows between them.
 
 Operators that compare all documents work on shards: groups of whole documents
-of about ``shard_bytes`` of text, dealt by a hash of the id, so that no key,
-source or group of copies can fill one. What shards must tell each other goes
+of about ``shard_bytes`` of text, dealt by a hash of id and text, so that no id
+(a null one neither), source or group of copies can fill one; only rows equal in
+both share a shard for certain. The caller's columns travel under names of our
+own, so that none of them can clash. What shards must tell each other goes
 through buckets: the numbers of one shard for one bucket travel as one row of
 packed arrays, far smaller than a row for each.
 """
@@ -30,8 +32,20 @@ def count_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
 
 
 def dealt(docs: DataFrame, shards: int) -> DataFrame:
-    """``docs`` with the shard of each row; rows with one id share it."""
-    return docs.withColumn(SHARD, F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long"))
+    """``docs`` with the shard of each row, and with every column but ``doc_id`` and ``text`` named by its place."""
+    names = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names).withColumn(SHARD, F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long"))
+
+
+def free_names(taken: list[str], wanted: list[str]) -> list[str]:
+    """The wanted names, with underscores added to those that are taken."""
+    out, used = [], {c.lower() for c in taken}
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def buckets(shards: int) -> int:

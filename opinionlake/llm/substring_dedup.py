@@ -18,15 +18,16 @@ start) is removed.
 4. Shards cut the words that copies cover.
 
 Texts are shuffled once (the three steps over documents share the exchange) and
-are dealt by a hash of the id, so a passage that a third of all documents share
-is spread over all shards; it reaches its bucket once per shard. Numbers travel
+are dealt by a hash of id and text, so a passage that a third of all documents
+share, or an id that a third of all rows have, is spread over all shards; it reaches its bucket once per shard. Numbers travel
 as packed arrays. No group holds more than a shard of text or a bucket of
 numbers; an automaton holds at most ``patterns`` phrases at a time.
 
 Cases: a null or empty text has no words; texts of fewer than 20 words are
-kept; rows that share an id are taken one after the other, by text, as one
-document whose windows don't cross rows, and each row is returned; a null id
-comes before all others. Extra columns are carried along untouched.
+kept; rows that share an id are taken one after the other, by a hash of their
+text, as one document whose windows don't cross rows, and each row is returned;
+a null id comes before all others. Extra columns are carried along untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,8 +52,10 @@ PATTERNS = 60_000
 
 COUNTS = "bucket long, shard long, keys binary, many binary"
 RECURRING = "shard long, keys binary"
-FIRSTS = "bucket long, shard long, hi binary, lo binary, docs binary, places binary"
-COPIES = "shard long, docs binary, places binary"
+FIRSTS = "bucket long, shard long, hi binary, lo binary, docs binary, rows binary, places binary"
+COPIES = "shard long, docs binary, rows binary, places binary"
+# The hash of a row's text, by which rows that share an id are ordered.
+ROW = "llm__row"
 
 NO_ID = np.iinfo(np.int64).min
 
@@ -133,29 +137,42 @@ def locate(w: S.Words, n_docs: int, phrases: list[str]) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+def _ordered(docs: pa.Table) -> pa.Table:
+    """Rows by id (null first), then by the hash of their text."""
+    docs = docs.combine_chunks()
+    plain = pa.table({"id": docs.column("doc_id"), "row": docs.column(ROW)})
+    return docs.take(pc.sort_indices(plain, sort_keys=[("id", "ascending"), ("row", "ascending")], null_placement="at_start")).combine_chunks()
+
+
 def _ids(docs: pa.Table) -> np.ndarray:
     return docs.column("doc_id").combine_chunks().cast(pa.int64()).fill_null(NO_ID).to_numpy()
 
 
-def _word_places(w: S.Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, place among all words of that id) of each word of a shard."""
-    of = ids[w.doc]
-    first = np.zeros(len(of), bool)
-    if len(of):
-        first[0] = True
-        first[1:] = of[1:] != of[:-1]
+def _runs(docs: pa.Table) -> np.ndarray:
+    """For each row of ordered rows the first one with the same id and text."""
+    ids, rows = _ids(docs), docs.column(ROW).to_numpy()
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])
+    return np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+
+
+def _word_places(w: S.Words, docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of each word of a shard; equal rows are one, their words counted on."""
+    of = _runs(docs)[w.doc]
+    first = np.ones(len(of), bool)
+    first[1:] = of[1:] != of[:-1]
     begin = np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))
     return of, np.arange(len(of)) - begin
 
 
 def _firsts(n_buckets: int):
     def run(docs: pa.Table, recurring: pa.Table) -> pa.Table:
-        kinds = dict.fromkeys(("bucket", "shard"), pa.int64()) | dict.fromkeys(("hi", "lo", "docs", "places"), pa.binary())
+        kinds = dict.fromkeys(("bucket", "shard"), pa.int64()) | dict.fromkeys(("hi", "lo", "docs", "rows", "places"), pa.binary())
         empty = S.pack({name: (kind, []) for name, kind in kinds.items()})
         keys = np.sort(S.unpack(recurring.column("keys"), np.uint64)) if recurring.num_rows else np.zeros(0, np.uint64)
         if not docs.num_rows or not len(keys):
             return empty
-        docs = S.ordered(docs)
+        docs = _ordered(docs)
         shard = docs.column(S.SHARD)[0].as_py()
         w = S.words(docs.column("text"))
         starts, place, phrase = marks(w)
@@ -173,7 +190,8 @@ def _firsts(n_buckets: int):
             return empty
         hi = B.grams(w.hashes, WINDOW)[starts]
         lo = B.grams(B.mix(w.hashes ^ B.BASE), WINDOW)[starts]
-        of, at = _word_places(w, _ids(docs))
+        of, at = _word_places(w, docs)
+        of, row = _ids(docs)[of], docs.column(ROW).to_numpy()[of]
         # Stable sorts keep the order of documents and places among equal windows.
         order = np.lexsort((lo, hi))
         h, g = hi[order], lo[order]
@@ -193,6 +211,7 @@ def _firsts(n_buckets: int):
                 "hi": (pa.binary(), [*cut(hi[firsts]), b""]),
                 "lo": (pa.binary(), [*cut(lo[firsts]), b""]),
                 "docs": (pa.binary(), [*cut(of[starts[firsts]]), of[own].tobytes()]),
+                "rows": (pa.binary(), [*cut(row[starts[firsts]]), row[own].tobytes()]),
                 "places": (pa.binary(), [*cut(at[starts[firsts]].astype(np.uint32)), at[own].astype(np.uint32).tobytes()]),
             }
         )
@@ -203,33 +222,43 @@ def _firsts(n_buckets: int):
 def _copies(rows: pa.Table) -> pa.Table:
     """Per shard, the windows that an earlier one equals."""
     if rows.column("bucket")[0].as_py() < 0:
-        return rows.select(["shard", "docs", "places"])
+        return rows.select(["shard", "docs", "rows", "places"])
     hi, lo = (S.unpack(rows.column(c), np.uint64) for c in ("hi", "lo"))
-    docs, places = S.unpack(rows.column("docs"), np.int64), S.unpack(rows.column("places"), np.uint32)
-    order = np.lexsort((places, docs, lo, hi))
+    docs, row = (S.unpack(rows.column(c), np.int64) for c in ("docs", "rows"))
+    places = S.unpack(rows.column("places"), np.uint32)
+    order = np.lexsort((places, row, docs, lo, hi))
     h, g = hi[order], lo[order]
     copy = np.zeros(len(order), bool)
     copy[order[1:]] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
     sizes = S.lengths(rows.column("hi"), np.uint64)
     ends = np.cumsum(sizes)
     cut = lambda x: [x[e - n : e][copy[e - n : e]].tobytes() for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-    return S.pack(
-        {"shard": (pa.int64(), rows.column("shard").to_pylist()), "docs": (pa.binary(), cut(docs)), "places": (pa.binary(), cut(places))}
-    )
+    found = {"docs": (pa.binary(), cut(docs)), "rows": (pa.binary(), cut(row)), "places": (pa.binary(), cut(places))}
+    return S.pack({"shard": (pa.int64(), rows.column("shard").to_pylist()), **found})
+
+
+MORE = ["dedup__n_words", "dedup__n_removed", "dedup__sha256"]
 
 
 def _cut(names: list[str]):
     """Rows of a shard with their words counted and the covered ones taken out of the text."""
 
     def run(docs: pa.Table, copies: pa.Table) -> pa.Table:
-        docs = S.ordered(docs)
+        docs = _ordered(docs)
         w = S.words(docs.column("text"))
         covered = np.zeros(len(w.hashes) + 1, np.int32)
         if copies.num_rows:
-            of, at = _word_places(w, _ids(docs))
-            doc, place = S.unpack(copies.column("docs"), np.int64), S.unpack(copies.column("places"), np.uint32).astype(np.int64)
-            runs = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-            start = runs[np.searchsorted(of[runs], doc)] + place
+            runs = _runs(docs)
+            begin = np.searchsorted(w.doc, np.arange(docs.num_rows))
+            ids, rows = _ids(docs).tolist(), docs.column(ROW).to_pylist()
+            at = {(ids[r], rows[r]): int(begin[r]) for r in np.unique(runs).tolist()}
+            doc, row = (S.unpack(copies.column(c), np.int64) for c in ("docs", "rows"))
+            place = S.unpack(copies.column("places"), np.uint32).astype(np.int64)
+            order = np.lexsort((row, doc))
+            new = np.ones(len(order), bool)
+            new[1:] = (doc[order][1:] != doc[order][:-1]) | (row[order][1:] != row[order][:-1])
+            starts = np.array([at[k] for k in zip(doc[order][new].tolist(), row[order][new].tolist(), strict=True)], np.int64)
+            start = starts[np.cumsum(new) - 1] + place[order]
             np.add.at(covered, start, 1)
             np.add.at(covered, start + WINDOW, -1)
         gone = np.cumsum(covered)[:-1] > 0
@@ -249,10 +278,8 @@ def _cut(names: list[str]):
             texts.append(line.decode() if cut else original[d])
         out = {name: docs.column(name) for name in names}
         out["text"] = pa.array(texts, pa.string())
-        out["dedup__n_words"] = pa.array(np.diff(edges), pa.int64())
-        out["dedup__n_removed"] = pa.array(removed, pa.int64())
-        out["dedup__sha256"] = pa.array(digests, pa.string())
-        return pa.table({name: out[name] for name in [*names, "dedup__n_words", "dedup__n_removed", "dedup__sha256"]})
+        found = [pa.array(np.diff(edges), pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
+        return pa.table({name: out[name] for name in names} | dict(zip(MORE, found, strict=True)))
 
     return run
 
@@ -260,20 +287,22 @@ def _cut(names: list[str]):
 def dedupe(docs: DataFrame, shard_bytes: int = S.SHARD_BYTES) -> DataFrame:
     """Every row of ``docs`` with repeated passages cut from its text, and three more columns.
 
-    ``dedup__n_words``, ``dedup__n_removed``, ``dedup__sha256`` (of the kept words, joined by one space). A text of
-    which nothing is removed stays as it is; otherwise it is its kept words joined by one space.
+    ``dedup__n_words``, ``dedup__n_removed``, ``dedup__sha256`` (of the kept words, joined by one space); a name that
+    ``docs`` has already gets an underscore. A text of which nothing is removed stays as it is; otherwise it is its
+    kept words joined by one space.
     """
-    names = docs.columns
     n = S.count_shards(docs, shard_bytes)
-    given = S.dealt(docs, n)
+    given = S.dealt(docs, n).withColumn(ROW, F.xxhash64("text"))
+    names = given.columns[: len(docs.columns)]
     by_shard = given.groupBy(S.SHARD)
     counts = by_shard.applyInArrow(_count(S.buckets(n)), COUNTS)
     recurring = counts.groupBy("bucket").applyInArrow(_recurring, RECURRING)
     firsts = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(_firsts(S.buckets(n)), FIRSTS)
     copies = firsts.groupBy("bucket").applyInArrow(_copies, COPIES)
-    more = "dedup__n_words long, dedup__n_removed long, dedup__sha256 string"
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(more).fields])
-    return by_shard.cogroup(copies.groupBy("shard")).applyInArrow(_cut(names), schema)
+    own = [T.StructField(c, f.dataType) for c, f in zip(names, docs.schema.fields, strict=True)]
+    more = T.StructType.fromDDL("dedup__n_words long, dedup__n_removed long, dedup__sha256 string").fields
+    cut = by_shard.cogroup(copies.groupBy("shard")).applyInArrow(_cut(names), T.StructType([*own, *more]))
+    return cut.toDF(*docs.columns, *S.free_names(docs.columns, MORE))
 
 
 @query

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+import xxhash
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -16,8 +18,9 @@ def lower(text):
 
 
 def dedupe(rows, window=20):
-    """(doc_id, n_words, n_removed, sha256) in the order of (id, text), null first."""
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    """(doc_id, n_words, n_removed, sha256) in the order of id, null first, and of a signed hash of the text."""
+    signed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64)
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
     seen, out = set(), []
     for key, text in rows:
         w = words(text)

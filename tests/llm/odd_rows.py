@@ -4,7 +4,7 @@ SF = "/root/testdata/sf0.01"
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, score double, start long, "
-    "component_id string, bucket long, sig string"
+    "component_id string, bucket long, sig string, llm__shard long, llm__row long, dedup__n_words string, dedup__sha256 long, c1 string"
 )
 
 
@@ -29,5 +29,6 @@ def odd_rows():
         (13, "the cat the cat the cat the cat sat on the general public license cc by mat"),
     ]
     return [
-        (i, t, None if n % 5 == 0 else "en", None, None, None, None, "x", None, None) for n, (i, t) in enumerate(texts)
+        (i, t, None if n % 5 == 0 else "en", None, None, None, None, "x", None, None, n, 7, "mine", n, "c")
+        for n, (i, t) in enumerate(texts)
     ]

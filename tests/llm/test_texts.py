@@ -243,14 +243,33 @@ def test_dedupe_equals_brute_force(spark, odd, docs, shard_bytes):
 
 def test_dedupe_odd_rows(odd, none):
     got = substring_dedup.dedupe(odd)
-    assert got.columns[: len(odd.columns)] == odd.columns and got.count() == odd.count()
-    rows = got.select("doc_id", "dedup__n_words", "dedup__n_removed", "dedup__sha256").collect()
+    # The caller's columns keep names and values, also where they are named like ours.
+    assert got.columns == [*odd.columns, "dedup__n_words_", "dedup__n_removed", "dedup__sha256_"] and got.count() == odd.count()
+    assert sorted((r.llm__shard, r.dedup__sha256) for r in got.collect()) == [(n, n) for n in range(odd.count())]
+    rows = got.select("doc_id", "dedup__n_words_", "dedup__n_removed", "dedup__sha256_").collect()
     assert by_repr(rows) == by_repr(brute.dedupe(pairs(odd)))
     same = {r.doc_id: r.text for r in got.where("dedup__n_removed = 0").collect()}
     assert same[5] == " \n\t " and same[3] is None and same[11] == "emoji 😀 and \u0000 control\u001c here"
     assert substring_dedup.dedupe(none).count() == 0
 
 
+def test_rows_that_share_an_id_are_spread(spark):
+    """A third of null ids, and one id repeated: no shard holds more than twice its bytes, and results are right."""
+    from opinionlake.llm import shards
+
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{' '.join(f'w{rng.randrange(500)}' for _ in range(60))} {passage if i % 4 == 0 else ''}") for i in range(600)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    size = 12_000
+    held = shards.dealt(df, shards.count_shards(df, size)).groupBy("llm__shard").agg(F.sum(F.octet_length("text")).alias("n"))
+    assert held.agg(F.max("n")).first()[0] < 2 * size + 1000
+    got = substring_dedup.dedupe(df, size).drop("text").collect()
+    assert by_repr(got) == by_repr(brute.dedupe(rows)) and sum(r.dedup__n_removed > 0 for r in got) > 100
+    assert by_repr(jaccard_join.join(df, size).collect()) == by_repr(brute.linked(rows))
+
+
 def test_many_phrases_use_several_automata(odd, monkeypatch):
     from opinionlake.llm import shards
 
@@ -296,6 +315,8 @@ def test_whole_tables_equal_sql(spark, name):
 def test_keep_one_odd_rows(odd, none):
     kept = jaccard_join.keep_one(odd, shard_bytes=1000)
     assert kept.columns == odd.columns
+    texts = {(r.llm__shard, r.dedup__sha256, r.doc_id, r.text) for r in odd.collect()}
+    assert {(r.llm__shard, r.dedup__sha256, r.doc_id, r.text) for r in kept.collect()} < texts
     ids = sorted((r.doc_id for r in kept.collect()), key=repr)
     # 1, 2, 2 and null hold the same passage (the null id comes first), 6 and 7 differ in case only.
     assert ids == sorted([None, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13], key=repr)

@@ -5,6 +5,7 @@ import sys
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -150,6 +151,16 @@ def test_chat_equals_sql(spark):
     assert checks.differences(df, checks.duck(SF), registry.ORACLES["op7_chat"]) == []
 
 
+def test_tied_turns_are_ordered_by_text(spark, tmp_path):
+    texts = ["a!", "a", None, "", "b\"c", "\u00e9", "Z", "<|end|>", "\\", "a\u0000", "a"]
+    rows = [(c, t, r, x) for c in (1, None) for t in (0, None) for r in ("user", "assistant", None) for x in texts]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{folder}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    assert checks.differences(chat_format.op7_chat(spark, folder), con, registry.ORACLES["op7_chat"]) == []
+
+
 def test_chat_parts_and_odd_rows(spark):
     part = lambda kind, text=None, ref=None, units=None: (kind, text, ref, units)
     rows = [
