@@ -172,8 +172,11 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def pack(docs: DataFrame, path: str | None = None, s: Settings = Settings()) -> DataFrame:
-    """One row per piece: its ids (little-endian 32-bit), its document and where it stands in which sequence."""
+def pack(docs: DataFrame, path: str | None = None, s: Settings = Settings(), forget: bool = False) -> DataFrame:
+    """One row per piece: its ids (little-endian 32-bit), its document and where it stands in which sequence.
+
+    With ``forget`` a task leaves no encoded chunks behind in its worker, for jobs that go on to other work there.
+    """
     path = path or K.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +193,8 @@ def pack(docs: DataFrame, path: str | None = None, s: Settings = Settings()) ->
                     yield packer.take()
         packer.pack(last=True)
         yield packer.take()
+        if forget:
+            K.encoder.cache_clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
