@@ -8,6 +8,9 @@ into several blocks at separators; callers add up or join the pieces.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -31,6 +34,49 @@ class Block(NamedTuple):
     rows: np.ndarray
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    """The C library's call that returns free pages, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0)
+
+
+def give_back() -> None:
+    """Return memory that Arrow and numpy have freed to the machine."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def lean(fn: Callable) -> Callable:
+    """``fn`` for mapInArrow, or for applyInArrow of one or two tables, after which a worker keeps no freed memory.
+
+    Spark uses its Python workers again, and their allocators hold on to what a task has freed: an executor's workers
+    together would stay at the largest need that each of them has ever had.
+    """
+    if inspect.isgeneratorfunction(fn):
+
+        def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from fn(given)
+            give_back()
+
+        return batches
+
+    if len(inspect.signature(fn).parameters) == 2:
+
+        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = fn(left, right)
+            give_back()
+            return out
+
+        return pair
+
+    def group(rows: pa.Table) -> pa.Table:
+        out = fn(rows)
+        give_back()
+        return out
+
+    return group
+
+
 def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, offsets) of an Arrow string array; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

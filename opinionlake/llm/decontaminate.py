@@ -271,7 +271,7 @@ def find(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFra
                     names=["doc_id", "item_id", "edits", "similarity", "start_byte", "end_byte"],
                 )
 
-        return rows.mapInArrow(run, FOUND)
+        return rows.mapInArrow(B.lean(run), FOUND)
 
     return reduce(DataFrame.unionByName, [part(ix) for ix in indexes(items, s)])
 
@@ -289,7 +289,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> D
                 clean[[g[0] for g in leaks(batch.column(place), held.value)]] = False
                 yield batch.filter(pa.array(clean))
 
-        return given.mapInArrow(run, docs.schema)
+        return given.mapInArrow(B.lean(run), docs.schema)
 
     return reduce(part, indexes(items, s), docs)
 

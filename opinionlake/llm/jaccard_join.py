@@ -279,9 +279,10 @@ class Groups:
         folder = run_dir(spark, "jaccard")
         self.shards = S.count_shards(docs, shard_bytes)
         by_shard = S.dealt(docs.select("doc_id", "text"), self.shards).groupBy(S.SHARD)
-        counts = by_shard.applyInArrow(_count(S.buckets(self.shards)), COUNTS)
-        orders = counts.groupBy("bucket").applyInArrow(_order, ORDERS)
-        profile = by_shard.cogroup(orders.groupBy("shard")).applyInArrow(_profile(S.buckets(self.shards)), PROFILE)
+        counts = by_shard.applyInArrow(B.lean(_count(S.buckets(self.shards))), COUNTS)
+        orders = counts.groupBy("bucket").applyInArrow(B.lean(_order), ORDERS)
+        profiled = B.lean(_profile(S.buckets(self.shards)))
+        profile = by_shard.cogroup(orders.groupBy("shard")).applyInArrow(profiled, PROFILE)
         profile.write.parquet(f"{folder}/profile")
         every = spark.read.schema(PROFILE).parquet(f"{folder}/profile")
         self.rows = every.select("shard", "place", "doc_id", "n_shingles", "sig")
@@ -340,7 +341,7 @@ def keep_one(docs: DataFrame, shard_bytes: int = S.SHARD_BYTES, block: int = BLO
     kept = kept.unionByName(g.rows.where("sig IS NULL").select("shard", "place"))
     given = S.dealt(docs, g.shards).groupBy(S.SHARD)
     schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(S.dealt(docs, 1).columns, docs.schema.fields, strict=False)])
-    return given.cogroup(kept.groupBy("shard")).applyInArrow(_only, schema).toDF(*docs.columns)
+    return given.cogroup(kept.groupBy("shard")).applyInArrow(B.lean(_only), schema).toDF(*docs.columns)
 
 
 @query

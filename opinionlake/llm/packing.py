@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinionlake.llm import bytesio as B
 from opinionlake.llm import tokens as K
 from opinionlake.llm.registry import query, table
 
@@ -196,7 +197,7 @@ def pack(docs: DataFrame, path: str | None = None, s: Settings = Settings(), for
         if forget:
             K.encoder.cache_clear()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.lean(run), PIECES)
 
 
 @query

@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
         docs.select(F.col("doc_id").alias("key"), "text")
         .join(chosen, "key")
         .select("key", "label", "text")
-        .mapInArrow(_bags(s), "key long, label int, ids binary, counts binary")
+        .mapInArrow(B.lean(_bags(s)), "key long, label int, ids binary, counts binary")
         .collect()
     )
     rows.sort(key=lambda r: (r["key"], r["label"], r["ids"], r["counts"]))
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 [batch.column("doc_id"), pa.array(scores(batch.column("text"), held.value))], names=["doc_id", "score"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(B.lean(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -212,7 +212,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(place), held.value) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(B.lean(run), docs.schema)
 
 
 @query

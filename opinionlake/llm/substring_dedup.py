@@ -295,13 +295,13 @@ def dedupe(docs: DataFrame, shard_bytes: int = S.SHARD_BYTES) -> DataFrame:
     given = S.dealt(docs, n).withColumn(ROW, F.xxhash64("text"))
     names = given.columns[: len(docs.columns)]
     by_shard = given.groupBy(S.SHARD)
-    counts = by_shard.applyInArrow(_count(S.buckets(n)), COUNTS)
-    recurring = counts.groupBy("bucket").applyInArrow(_recurring, RECURRING)
-    firsts = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(_firsts(S.buckets(n)), FIRSTS)
-    copies = firsts.groupBy("bucket").applyInArrow(_copies, COPIES)
+    counts = by_shard.applyInArrow(B.lean(_count(S.buckets(n))), COUNTS)
+    recurring = counts.groupBy("bucket").applyInArrow(B.lean(_recurring), RECURRING)
+    firsts = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(B.lean(_firsts(S.buckets(n))), FIRSTS)
+    copies = firsts.groupBy("bucket").applyInArrow(B.lean(_copies), COPIES)
     own = [T.StructField(c, f.dataType) for c, f in zip(names, docs.schema.fields, strict=True)]
     more = T.StructType.fromDDL("dedup__n_words long, dedup__n_removed long, dedup__sha256 string").fields
-    cut = by_shard.cogroup(copies.groupBy("shard")).applyInArrow(_cut(names), T.StructType([*own, *more]))
+    cut = by_shard.cogroup(copies.groupBy("shard")).applyInArrow(B.lean(_cut(names)), T.StructType([*own, *more]))
     return cut.toDF(*docs.columns, *S.free_names(docs.columns, MORE))
 
 

@@ -24,6 +24,19 @@ def by_repr(rows):
 # --- blocks and words ---------------------------------------------------------
 
 
+def test_lean_functions_give_the_same_and_return_memory(monkeypatch):
+    calls = []
+    monkeypatch.setattr(bytesio, "give_back", lambda: calls.append(1))
+
+    def stream(batches):
+        yield from batches
+
+    assert list(bytesio.lean(stream)(iter([1, 2]))) == [1, 2]
+    assert bytesio.lean(lambda t: t + 1)(1) == 2
+    assert bytesio.lean(lambda a, b: a - b)(5, 3) == 2
+    assert len(calls) == 3
+
+
 @pytest.mark.parametrize("limit", [7, 64, 1 << 20])
 def test_blocks_hold_every_byte_and_words_survive_cuts(limit):
     rng = random.Random(limit)
