@@ -67,7 +67,8 @@ def typed(df: DataFrame) -> DataFrame:
 
 def quantile(column: Column, p: float) -> Column:
     """Exact, linearly interpolated. Its buffer holds one count per distinct
-    value, which suits lengths; use ``approx_quantile`` for wide domains."""
+    value, which suits lengths; for wide domains see
+    ``quantiles.exact_quantile``."""
     return F.percentile(column, F.lit(p))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from opinionlake.functions import extract as X
 from opinionlake.functions import text as TX
 from opinionlake.functions import values as V
-from opinionlake.operators import chat, cleaning, compare, keyed, ranking, retrieve, tables, tfidf
+from opinionlake.operators import chat, cleaning, compare, keyed, quantiles, ranking, retrieve, tables, tfidf
 from opinionlake.plans import pipeline
 from opinionlake.profiles import (
     ALADIN,
@@ -152,6 +152,13 @@ def len_p99_clip(spark, sf):
     return rows.select("review_seq", "site", "content_len", r6("clipped_len"))
 
 
+@query
+def rating_p99_exact(spark, sf):
+    """Scores before they are rounded to ratings: nearly every value is its own."""
+    scores = quantiles.exact_quantile(table(spark, sf, "events"), "value", 0.99, ["event_type"])
+    return scores.select("event_type", r6("bound")).withColumnRenamed("bound", "p99")
+
+
 @query
 def filter_report(spark, sf):
     return cleaning.filter_report(raw_reviews(spark, sf), AS_OF)

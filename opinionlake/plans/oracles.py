@@ -378,6 +378,7 @@ FROM (SELECT *, quantile_cont(content_len, 0.99) OVER (PARTITION BY site) AS p F
     "len_p99_clip": on(BASIC, """
 SELECT review_seq, site, content_len, round(least(CAST(content_len AS DOUBLE), p), 6) AS clipped_len
 FROM (SELECT *, quantile_cont(content_len, 0.99) OVER (PARTITION BY site) AS p FROM basic)"""),
+    "rating_p99_exact": "SELECT event_type, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type",
     "filter_report": on(f"""{PROCESSED},
 steps AS (
   SELECT site, rating_text IS NOT NULL AND date_text IS NOT NULL AND content IS NOT NULL AS complete, rating, date FROM typed),
