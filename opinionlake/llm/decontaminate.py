@@ -13,10 +13,12 @@ Texts and items are compared in lower case with every run of bytes that are
 neither letters nor digits as one space. The edit budget is a share of the
 item's length (``rate``).
 
-The index of the items is broadcast. Items are taken in parts of at most
-``part_bytes`` bytes, so what is broadcast is bounded; with more items the texts
-are read once per part. Texts are searched where they are read, whole and
-without a shuffle; a long text goes through in overlapping pieces.
+The index of the items is broadcast, in parts of about ``part_bytes`` bytes of
+item text (a byte takes some 30 in the index), one part at a time: its result is
+written to the run folder and its broadcast given up before the next part is
+built, so neither the driver nor an executor ever holds more than one. With
+more parts the texts are read once per part. Texts are searched where they are
+read, whole and without a shuffle; a long text goes through in overlapping pieces.
 
 Cases: null or empty texts and items match nothing, nor do items of fewer than
 q bytes after reduction; items with equal id and text count once; rows that
@@ -28,7 +30,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,14 @@ from pyspark.sql import functions as F
 
 from opinionlake.llm import bytesio as B
 from opinionlake.llm.registry import query, table
+from opinionlake.session import remove_dir, run_dir
 
 
 @dataclass(frozen=True)
 class Settings:
     q: int = 8
     rate: float = 0.08
-    part_bytes: int = 32 << 20
+    part_bytes: int = 2 << 20
 
 
 _WORDS = B.byte_table((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -232,16 +234,18 @@ def leaks(col, index: Index) -> list[tuple[int, int, int, int, int]]:
     return [(row, item, *found) for (row, item), found in sorted(best.items())]
 
 
-def indexes(items: DataFrame, s: Settings) -> list[Index]:
-    """The benchmark as indexes of at most about ``part_bytes`` bytes of item text each."""
+def indexes(items: DataFrame, s: Settings) -> tuple[int, Iterator[Index]]:
+    """How many parts of about ``part_bytes`` bytes of item text there are, and their indexes, each built when asked for."""
     usable = items.select("item_id", "text").where(F.col("text") != "").distinct()
     size = usable.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-size // s.part_bytes))
-    found = []
-    for i in range(parts):
-        mine = usable.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == i)
-        found.append(build(sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=repr), s))
-    return found
+
+    def each() -> Iterator[Index]:
+        for i in range(parts):
+            mine = usable.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == i)
+            yield build(sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=repr), s)
+
+    return parts, each()
 
 
 FOUND = "doc_id long, item_id long, edits long, similarity double, start_byte long, end_byte long"
@@ -249,11 +253,10 @@ FOUND = "doc_id long, item_id long, edits long, similarity double, start_byte lo
 
 def find(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per document row and benchmark item that stands in it: edits, similarity and place of the best match."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def part(index: Index) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(index)
-
+    def part(held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix = held.value
             for batch in batches:
@@ -273,25 +276,44 @@ def find(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFra
 
         return rows.mapInArrow(B.lean(run), FOUND)
 
-    return reduce(DataFrame.unionByName, [part(ix) for ix in indexes(items, s)])
+    parts, each = indexes(items, s)
+    if parts == 1:
+        return part(spark.sparkContext.broadcast(next(each)))
+    folder = run_dir(spark, "leaks")
+    for i, index in enumerate(each):
+        held = spark.sparkContext.broadcast(index)
+        part(held).write.parquet(f"{folder}/{i}")
+        held.destroy()
+    return spark.read.schema(FOUND).parquet(*[f"{folder}/{i}" for i in range(parts)])
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, in which no benchmark item stands."""
+    spark = docs.sparkSession
     place = docs.columns.index("text")
 
-    def part(given: DataFrame, index: Index) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(index)
-
+    def part(given: DataFrame, held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[g[0] for g in leaks(batch.column(place), held.value)]] = False
                 yield batch.filter(pa.array(clean))
 
-        return given.mapInArrow(B.lean(run), docs.schema)
-
-    return reduce(part, indexes(items, s), docs)
+        return given.mapInArrow(B.lean(run), given.schema)
+
+    parts, each = indexes(items, s)
+    if parts == 1:
+        return part(docs, spark.sparkContext.broadcast(next(each)))
+    folder = run_dir(spark, "clean")
+    kept = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    for i, index in enumerate(each):
+        held = spark.sparkContext.broadcast(index)
+        part(kept, held).write.parquet(f"{folder}/{i}")
+        held.destroy()
+        kept = spark.read.schema(kept.schema).parquet(f"{folder}/{i}")
+        if i:
+            remove_dir(spark, f"{folder}/{i - 1}")
+    return kept.toDF(*docs.columns)
 
 
 @query

@@ -7,17 +7,18 @@ start) is removed.
 1. Of the phrases of five words inside a window, the one with the smallest hash
    marks it, so equal windows are marked by equal phrases. Shards count their
    marking phrases; phrases seen more than once recur.
-2. Each shard confirms the recurring phrases in its own texts and compiles them
-   into an Aho-Corasick automaton (so the automata are sharded, each with the
-   phrases that can occur in its documents), through which all documents of the
-   shard stream. Every place of a recurring phrase is located; windows marked
-   at such a place are candidates.
-3. Candidates are compared by a 128-bit hash of their words: a shard keeps the
+2. One shard that holds a recurring phrase, the smallest, confirms it: it gives
+   the phrase's words, which go to every shard that counted the phrase.
+3. Each shard compiles the phrases it was sent into Aho-Corasick automata (so
+   the automata are sharded, each with the phrases that can occur in its
+   documents) and streams all its documents through them. Only this locates the
+   places of recurring phrases; windows marked at such a place are candidates.
+4. Candidates are compared by a 128-bit hash of their words: a shard keeps the
    first of each and sends it to the bucket of the hash, where the first of all
    shards is found. All others are copies.
-4. Shards cut the words that copies cover.
+5. Shards cut the words that copies cover.
 
-Texts are shuffled once (the three steps over documents share the exchange) and
+Texts are shuffled once (the four steps over documents share the exchange) and
 are dealt by a hash of id and text, so a passage that a third of all documents
 share, or an id that a third of all rows have, is spread over all shards; it reaches its bucket once per shard. Numbers travel
 as packed arrays. No group holds more than a shard of text or a bucket of
@@ -51,7 +52,9 @@ REACH = WINDOW - PHRASE + 1
 PATTERNS = 60_000
 
 COUNTS = "bucket long, shard long, keys binary, many binary"
-RECURRING = "shard long, keys binary"
+ASKED = "shard long, bucket long, keys binary"
+CONFIRMED = "bucket long, keys binary, phrases binary"
+PHRASES = "shard long, phrases binary"
 FIRSTS = "bucket long, shard long, hi binary, lo binary, docs binary, rows binary, places binary"
 COPIES = "shard long, docs binary, rows binary, places binary"
 # The hash of a row's text, by which rows that share an id are ordered.
@@ -98,20 +101,61 @@ def _count(n_buckets: int):
 
 
 def _recurring(rows: pa.Table) -> pa.Table:
-    """Per shard, those of its phrases that occur more than once anywhere."""
+    """The phrases of a bucket that occur more than once anywhere, each asked of the smallest shard that holds it."""
     keys, many = S.unpack(rows.column("keys"), np.uint64), S.unpack(rows.column("many"), np.uint8)
-    sizes = S.lengths(rows.column("keys"), np.uint64)
-    order = np.argsort(keys, kind="stable")
+    shard = np.repeat(rows.column("shard").to_numpy(), S.lengths(rows.column("keys"), np.uint64))
+    order = np.lexsort((shard, keys))
     k = keys[order]
-    same = np.zeros(len(k), bool)
-    same[1:] = k[1:] == k[:-1]
-    same[:-1] |= same[1:]
-    again = np.empty(len(k), bool)
-    again[order] = same
-    again |= many > 0
-    ends = np.cumsum(sizes)
-    found = [keys[e - n : e][again[e - n : e]].tobytes() for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-    return S.pack({"shard": (pa.int64(), rows.column("shard").to_pylist()), "keys": (pa.binary(), found)})
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    again = many[order] > 0
+    again[:-1] |= ~first[1:]
+    asked = order[first & again]
+    owners, at = np.unique(shard[asked], return_inverse=True)
+    parts, edges = S.split_by(at, len(owners))
+    asked = keys[asked[parts]]
+    return S.pack(
+        {
+            "shard": (pa.int64(), owners.tolist()),
+            "bucket": (pa.int64(), [rows.column("bucket")[0].as_py()] * len(owners)),
+            "keys": (pa.binary(), [asked[edges[i] : edges[i + 1]].tobytes() for i in range(len(owners))]),
+        }
+    )
+
+
+def _confirm(docs: pa.Table, asked: pa.Table) -> pa.Table:
+    """The words of the phrases that a shard is asked for, a line each, in the order of the keys."""
+    buckets, keys, phrases = [], [], []
+    if docs.num_rows and asked.num_rows:
+        w = S.words(S.ordered(docs).column("text"))
+        _, place, phrase = marks(w)
+        marked = np.unique(place)
+        own, first = np.unique(phrase[marked], return_index=True)
+        for bucket, wanted in zip(asked.column("bucket").to_pylist(), asked.column("keys").to_pylist(), strict=True):
+            spots = marked[first[np.searchsorted(own, np.frombuffer(wanted, np.uint64))]]
+            spans = zip(w.starts[spots].tolist(), w.ends[spots + PHRASE - 1].tolist(), strict=True)
+            buckets.append(bucket)
+            keys.append(wanted)
+            phrases.append(b"\n".join([b" ".join(w.data[lo:hi].tobytes().split()) for lo, hi in spans]))
+    return S.pack({"bucket": (pa.int64(), buckets), "keys": (pa.binary(), keys), "phrases": (pa.binary(), phrases)})
+
+
+def _deliver(rows: pa.Table, confirmed: pa.Table) -> pa.Table:
+    """Per shard, the confirmed phrases among those it counted."""
+    shards, phrases = [], []
+    if rows.num_rows and confirmed.num_rows:
+        keys = S.unpack(confirmed.column("keys"), np.uint64)
+        lines = [line for x in confirmed.column("phrases").to_pylist() for line in x.split(b"\n")]
+        order = np.argsort(keys)
+        keys = keys[order]
+        for shard, held in zip(rows.column("shard").to_pylist(), rows.column("keys").to_pylist(), strict=True):
+            own = np.frombuffer(held, np.uint64)
+            slot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            found = order[slot[keys[slot] == own]].tolist()
+            if found:
+                shards.append(shard)
+                phrases.append(b"\n".join([lines[i] for i in found]))
+    return S.pack({"shard": (pa.int64(), shards), "phrases": (pa.binary(), phrases)})
 
 
 def locate(w: S.Words, n_docs: int, phrases: list[str]) -> np.ndarray:
@@ -166,25 +210,18 @@ def _word_places(w: S.Words, docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _firsts(n_buckets: int):
-    def run(docs: pa.Table, recurring: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
         kinds = dict.fromkeys(("bucket", "shard"), pa.int64()) | dict.fromkeys(("hi", "lo", "docs", "rows", "places"), pa.binary())
         empty = S.pack({name: (kind, []) for name, kind in kinds.items()})
-        keys = np.sort(S.unpack(recurring.column("keys"), np.uint64)) if recurring.num_rows else np.zeros(0, np.uint64)
-        if not docs.num_rows or not len(keys):
+        if not docs.num_rows or not confirmed.num_rows:
             return empty
         docs = _ordered(docs)
         shard = docs.column(S.SHARD)[0].as_py()
         w = S.words(docs.column("text"))
-        starts, place, phrase = marks(w)
-        marked = np.unique(place)
-        slot = np.minimum(np.searchsorted(keys, phrase[marked]), len(keys) - 1)
-        confirmed = marked[keys[slot] == phrase[marked]]
-        texts = {
-            f" {b' '.join(w.data[w.starts[p] : w.ends[p + PHRASE - 1]].tobytes().split()).decode('latin-1')} "
-            for p in confirmed.tolist()
-        }
+        starts, place, _ = marks(w)
+        phrases = {f" {x.decode('latin-1')} " for lines in confirmed.column("phrases").to_pylist() for x in lines.split(b"\n")}
         located = np.zeros(len(w.hashes) + 1, bool)
-        located[locate(w, docs.num_rows, sorted(texts))] = True
+        located[locate(w, docs.num_rows, sorted(phrases))] = True
         starts = starts[located[place]]
         if not len(starts):
             return empty
@@ -296,8 +333,10 @@ def dedupe(docs: DataFrame, shard_bytes: int = S.SHARD_BYTES) -> DataFrame:
     names = given.columns[: len(docs.columns)]
     by_shard = given.groupBy(S.SHARD)
     counts = by_shard.applyInArrow(B.lean(_count(S.buckets(n))), COUNTS)
-    recurring = counts.groupBy("bucket").applyInArrow(B.lean(_recurring), RECURRING)
-    firsts = by_shard.cogroup(recurring.groupBy("shard")).applyInArrow(B.lean(_firsts(S.buckets(n))), FIRSTS)
+    asked = counts.groupBy("bucket").applyInArrow(B.lean(_recurring), ASKED)
+    confirmed = by_shard.cogroup(asked.groupBy("shard")).applyInArrow(B.lean(_confirm), CONFIRMED)
+    phrases = counts.groupBy("bucket").cogroup(confirmed.groupBy("bucket")).applyInArrow(B.lean(_deliver), PHRASES)
+    firsts = by_shard.cogroup(phrases.groupBy("shard")).applyInArrow(B.lean(_firsts(S.buckets(n))), FIRSTS)
     copies = firsts.groupBy("bucket").applyInArrow(B.lean(_copies), COPIES)
     own = [T.StructField(c, f.dataType) for c, f in zip(names, docs.schema.fields, strict=True)]
     more = T.StructType.fromDDL("dedup__n_words long, dedup__n_removed long, dedup__sha256 string").fields

@@ -6,6 +6,7 @@ import brute
 import checks
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from odd_rows import SF, odd_rows
 from pyspark.sql import functions as F
@@ -227,11 +228,43 @@ def test_decontamination_of_tables(spark, odd, none):
     # In parts of a few bytes the result is the same.
     parts = decontaminate.find(odd, items, decontaminate.Settings(part_bytes=100))
     assert {(r.doc_id, r.item_id) for r in parts.collect()} == got
+    clean = decontaminate.drop_leaks(odd, items, decontaminate.Settings(part_bytes=100))
+    assert clean.columns == odd.columns and clean.schema == odd.schema and clean.count() == odd.count() - 4
     clean = decontaminate.drop_leaks(odd, items)
     assert clean.columns == odd.columns and clean.count() == odd.count() - 4
     assert decontaminate.find(none, items).count() == 0 and decontaminate.drop_leaks(odd, items.limit(0)).count() == odd.count()
 
 
+def test_one_part_of_the_benchmark_is_held_at_a_time(spark, monkeypatch):
+    """With many parts no index is built, nor broadcast, while another one is still held."""
+    words = [f"word{i}" for i in range(400)]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(12)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after" if i % 2 else "clean " * 9) for i, t in enumerate(texts)], "doc_id long, text string")
+    live, most, build = [0], [0], decontaminate.build
+    kind = type(spark.sparkContext.broadcast(0))
+    destroy = kind.destroy
+
+    def counted(*args):
+        live[0] += 1
+        most[0] = max(most[0], live[0])
+        return build(*args)
+
+    def given_up(self, *args):
+        live[0] -= 1
+        return destroy(self, *args)
+
+    monkeypatch.setattr(decontaminate, "build", counted)
+    monkeypatch.setattr(kind, "destroy", given_up)
+    small = decontaminate.Settings(part_bytes=200)
+    found = decontaminate.find(docs, items, small)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in range(1, 12, 2)}
+    kept = decontaminate.drop_leaks(docs, items, small)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 12, 2))
+    assert most == [1] and live == [0]
+
+
 def test_decontamination_flags_exactly_the_given_leaks(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: decontaminate.reduced(np.frombuffer(t.encode(), np.uint8))[0].tobytes().strip()
@@ -283,6 +316,29 @@ def test_rows_that_share_an_id_are_spread(spark):
     assert by_repr(jaccard_join.join(df, size).collect()) == by_repr(brute.linked(rows))
 
 
+def test_only_the_automata_locate_repeats(monkeypatch):
+    """Phrases reach a shard as words from the shard that confirmed them; without the automata no window is found."""
+    from opinionlake.llm import shards
+
+    d = substring_dedup
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = [
+        pa.table({"doc_id": [n], "text": [f"{a} {passage} {a}"], "llm__shard": [n], "llm__row": [n]})
+        for n, a in enumerate(["one two", "three\tfour", "five"])
+    ]
+    counts = pa.concat_tables([d._count(1)(t) for t in docs])
+    asked = d._recurring(counts)
+    assert asked.column("shard").to_pylist() == [0]
+    sent = d._deliver(counts, d._confirm(docs[0], asked))
+    assert sorted(sent.column("shard").to_pylist()) == [0, 1, 2]
+    mine = sent.filter(pc.equal(sent.column("shard"), 2))
+    assert all(len(x.split()) == 5 and x in passage.encode() for x in mine.column("phrases")[0].as_py().split(b"\n"))
+    places = lambda t: set(shards.unpack(t.column("places"), np.uint32).tolist())
+    assert places(d._firsts(1)(docs[2], mine)) >= set(range(1, 12))
+    monkeypatch.setattr(d, "locate", lambda *_: np.zeros(0, np.int64))
+    assert not places(d._firsts(1)(docs[2], mine))
+
+
 def test_many_phrases_use_several_automata(odd, monkeypatch):
     from opinionlake.llm import shards
 
