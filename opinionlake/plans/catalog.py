@@ -736,6 +736,11 @@ def stream_daily(spark, sf):
     return rows.select("day", "n", F.round(F.col("total") / F.col("n"), 6).alias("mean_value"))
 
 
+@query
+def stream_daily_late(spark, sf):
+    return ingest.late_days(spark, sf).withColumn("total", F.round("total", 2))
+
+
 @query
 def stream_monthly(spark, sf):
     rows = ingest.roll_up_months(ingest.daily_counts(spark, sf))

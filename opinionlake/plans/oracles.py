@@ -659,6 +659,8 @@ SELECT page_id, CAST(page_id AS VARCHAR) AS review_id, row_number() OVER (ORDER
 FROM reviews WHERE site = 'aladin' QUALIFY position <= {CAPS['aladin']}"""),
     "stream_daily": """
 SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1""",
+    "stream_daily_late": """
+SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1""",
     "stream_monthly": """
 SELECT CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n, round(avg(value), 6) AS mean_value
 FROM events GROUP BY 1""",

@@ -83,18 +83,11 @@ def seed(df: DataFrame) -> DataFrame:
     return first_by(with_raw_id(df), ["raw_id"], [F.col("review_seq")])
 
 
-def incremental(raw: DataFrame, seen: DataFrame, profiles: T.Profiles, as_of: dt.datetime, work: str | None = None) -> DataFrame:
-    """Cleaned rows of raw rows not seen before, with both keys."""
-    return with_processed_id(preprocess(new_only(raw, seen, "raw_id"), profiles, as_of, work=work))
-
-
-def run_stats(raw: DataFrame, seen: DataFrame, processed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Counts of an incremental run, one row per site of ``raw``: ``seen`` has
-    the raw ids of earlier runs, ``processed`` the ids of written documents."""
-    done = distinct_keys(seen, "raw_id").withColumn("known", F.lit(True))
-    todo = raw.select("site", "raw_id").join(done, "raw_id", "left").groupBy("site").agg(
-        F.count("*").alias("raw_count"), F.count_if(F.col("known").isNull()).alias("to_process_count")
-    )
+def run_stats(raw: DataFrame, todo: DataFrame, processed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Counts of an incremental run, one row per site of ``raw``: ``todo`` has
+    the rows no earlier run has seen, ``processed`` the ids of written documents."""
+    taken = todo.groupBy("site").agg(F.count("*").alias("to_process_count"))
+    todo = raw.groupBy("site").agg(F.count("*").alias("raw_count")).join(taken, "site", "left")
     written = distinct_keys(processed, "processed_id").withColumn("known", F.lit(True))
     keys = rows.groupBy("site", "processed_id").agg(F.count("*").alias("n"))
     made = keys.join(written, "processed_id", "left").groupBy("site").agg(
@@ -131,15 +124,18 @@ def run_incremental(
     seen = _known(spark, f"{out_path}/ledger", "raw_id", sites)
     processed = _known(spark, f"{out_path}/documents", "processed_id", sites)
     work = run_dir(spark, "incremental")
-    clean = incremental(raw, seen, profiles, as_of, work)
+    unseen = new_only(raw, seen, "raw_id")
+    save(unseen, f"{work}/todo")
+    todo = spark.read.schema(unseen.schema).parquet(f"{work}/todo")
+    clean = with_processed_id(preprocess(todo, profiles, as_of, work=work))
     save(clean, f"{work}/clean")
     rows = spark.read.schema(clean.schema).parquet(f"{work}/clean")
-    stats = run_stats(raw, seen, processed, rows)
+    stats = run_stats(raw, todo, processed, rows)
     counts = spark.createDataFrame(stats.collect(), stats.schema)  # one row per site
     documents = fitted_features(rows, profiles, work)
     append_new(spark, f"{out_path}/documents", documents, "processed_id", "review_seq", run, values=sites)
     kept = rows.select("raw_id", F.lit("kept").alias("outcome"))
-    new_only(raw, seen, "raw_id").select("site", "raw_id").join(kept, "raw_id", "left").select(
+    todo.select("site", "raw_id").join(kept, "raw_id", "left").select(
         "site", F.lit(run).alias("run"), "raw_id", F.coalesce("outcome", F.lit("rejected")).alias("outcome")
     ).write.mode("append").partitionBy("site", "run").parquet(f"{out_path}/ledger")
     remove_dir(spark, work)

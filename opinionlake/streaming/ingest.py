@@ -87,6 +87,89 @@ def latest_version(spark: SparkSession, target: str) -> DataFrame:
     return table.where(F.col("version") == newest.scalar()).drop("version")
 
 
+def run_day_counts(stream: DataFrame, value: Column, target: str, checkpoint: str, event_time: str = "ts", open_batches: int = 16) -> None:
+    """Add the available input to the day counts at ``target``, without state.
+
+    A batch writes the counts of its own rows by day, under its number, so a
+    replay overwrites itself, and a row that comes late, however late, corrects
+    its day. With more than ``open_batches`` of them they are folded, so what a
+    reader adds up stays small. A stream keeps nothing between batches.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        days = batch.groupBy(F.to_date(event_time).alias("day")).agg(F.count("*").alias("n"), F.sum(value).cast("double").alias("total"))
+        days.write.mode("overwrite").parquet(f"{target}/batches/batch={epoch}")
+        if len(_open_counts(batch.sparkSession, target)[1]) > open_batches:
+            fold_day_counts(batch.sparkSession, target)
+
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def _finished(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the completely written folders ``name=number`` below ``folder``, rising."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(folder)):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path(folder))]
+    return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(path(p, "_SUCCESS")))
+
+
+def _open_counts(spark: SparkSession, target: str) -> tuple[list[int], list[int]]:
+    """(folds, batches after the newest fold)."""
+    folds = _finished(spark, f"{target}/folds")
+    newest = folds[-1] if folds else -1
+    return folds, [b for b in _finished(spark, f"{target}/batches") if b > newest]
+
+
+COUNTS = "day date, n long, total double"
+
+
+def _added(spark: SparkSession, target: str, folds: list[int], batches: list[int]) -> DataFrame:
+    paths = [f"{target}/folds/fold={f}" for f in folds[-1:]] + [f"{target}/batches/batch={b}" for b in batches]
+    rows = spark.read.schema(COUNTS).parquet(*paths) if paths else spark.createDataFrame([], COUNTS)
+    return rows.groupBy("day").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def fold_day_counts(spark: SparkSession, target: str) -> None:
+    """Fold all batches but the newest, which may be replayed, into one table
+    named by the last of them. What the fold before has replaced is removed;
+    what this one replaces stays for readers that have begun."""
+    folds, batches = _open_counts(spark, target)
+    if len(batches) < 2:
+        return
+    _added(spark, target, folds, batches[:-1]).write.mode("overwrite").parquet(f"{target}/folds/fold={batches[-2]}")
+    if folds:
+        for b in [b for b in _finished(spark, f"{target}/batches") if b <= folds[-1]]:
+            remove_dir(spark, f"{target}/batches/batch={b}")
+        for f in folds[:-1]:
+            remove_dir(spark, f"{target}/folds/fold={f}")
+
+
+def day_counts(spark: SparkSession, target: str) -> DataFrame:
+    """(day, n, total) over all that has arrived."""
+    return _added(spark, target, *_open_counts(spark, target))
+
+
+def late_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Day counts of events that arrive in four deliveries, the last days
+    first, and every day's rows spread over several of them."""
+    base = run_dir(spark, "late-days")
+    events = spark.read.schema(SCHEMAS["events"]).parquet(f"{folder}/events.parquet")
+    turn = F.pmod(F.dayofmonth("ts") + F.col("event_id") % 11, F.lit(32))
+    for low, high in ((24, 31), (16, 23), (8, 15), (0, 7)):
+        events.where(turn.between(low, high)).write.mode("append").parquet(f"{base}/arrived")
+        stream = spark.readStream.schema(SCHEMAS["events"]).parquet(f"{base}/arrived")
+        run_day_counts(stream, F.col("value"), f"{base}/table", f"{base}/checkpoint", open_batches=1)
+    return day_counts(spark, f"{base}/table")
+
+
 def roll_up_months(daily: DataFrame) -> DataFrame:
     """Daily counts and sums to months; empty days add nothing."""
     return daily.groupBy(F.trunc("day", "month").alias("month")).agg(

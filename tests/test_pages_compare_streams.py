@@ -231,3 +231,31 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     assert sorted(daily.collect()) == sorted(batch.collect())
     months = {r.month.month: r.n for r in ingest.roll_up_months(daily).collect()}
     assert sum(months.values()) == 30 and set(months) == {1, 2}
+
+
+def test_day_counts_of_late_rows_keep_no_state(spark, tmp_path):
+    """Rows of all days in every batch, batches folded: equal to the whole, whatever is replayed or half written."""
+    src, table, mark = (str(tmp_path / x) for x in ("in", "t", "c"))
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base + dt.timedelta(days=(i * 7) % 40), f"k{i}", float(i)) for i in range(200)]
+    rows += [(None, "none", 1.0), (base, "no value", None)]
+    for i in range(7):
+        spark.createDataFrame(rows[i::7], EVENTS).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(EVENTS).parquet(src)
+        ingest.run_day_counts(stream, F.col("v"), table, mark, open_batches=2)
+    assert not (tmp_path / "c" / "state").exists()
+    want = {}
+    for ts, _, v in rows:
+        n, total = want.get(ts and ts.date(), (0, None))
+        want[ts and ts.date()] = (n + 1, total if v is None else (total or 0) + v)
+    shown = lambda: {r.day: (r.n, r.total) for r in ingest.day_counts(spark, table).collect()}
+    assert shown() == want
+    folds, batches = ingest._open_counts(spark, table)
+    assert folds and len(batches) <= 2 and len(ingest._finished(spark, f"{table}/batches")) < 7
+    # The newest batch, which alone can be replayed, is never folded; a fold without its marker doesn't count.
+    assert batches[-1] == 6
+    (tmp_path / "t" / "folds" / "fold=6").mkdir()
+    assert shown() == want
+    ingest.fold_day_counts(spark, table)
+    assert shown() == want
+    assert ingest.day_counts(spark, str(tmp_path / "nothing")).count() == 0
