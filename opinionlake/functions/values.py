@@ -58,9 +58,12 @@ def _spelled_moment(text: Column) -> Column:
 
 
 def to_moment(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Text to a moment: the usual spellings first, then any other with a day, time, fraction or zone; else NULL."""
+    """Text to a moment: the usual spellings first, then any other with a day, time, fraction or zone; else NULL.
+
+    The rare spellings are read inside ``let``, which keeps the generated code of a stage below what Java compiles.
+    """
     text = strip(value)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], _spelled_moment(text))
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], let(text, _spelled_moment))
 
 
 def to_five(rating: Column, scale: int | Column) -> Column:
