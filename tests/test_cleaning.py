@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from opinionlake.functions import text as TX
 from opinionlake.functions import values as V
 from opinionlake.operators import cleaning as C
+from opinionlake.operators.keyed import with_processed_id
 from opinionlake.profiles import ALADIN, KYOBO, PROFILES, YES24
 from opinionlake.sources import files
 
@@ -112,6 +113,19 @@ def test_dedupe_keeps_first_of_equal_cleaned_text(spark):
     assert sorted(r.review_seq for r in C.preprocess(rows, KYOBO, AS_OF).collect()) == [0, 2, 3]
 
 
+def test_dedupe_takes_a_date_as_its_day(spark):
+    """A review listed with a time and without is one; the first row stays, as it would by ``processed_id``."""
+    rows = rows_of(spark, [
+        ("kyobo", "9", "2024-01-01 09:30", "좋은 책"), ("kyobo", "9", "2024-01-01", "좋은 책"),
+        ("kyobo", "9", "2024-01-01T00:00:00.5Z", "좋은 책!"), ("kyobo", "9", "2024-01-02 09:30", "좋은 책"),
+    ])
+    kept = C.preprocess(rows, KYOBO, AS_OF)
+    assert sorted(r.review_seq for r in kept.collect()) == [0, 3]
+    assert with_processed_id(kept).select("processed_id").distinct().count() == 2
+    report = C.filter_report(rows, AS_OF).where("site = 'kyobo'").first()
+    assert (report.rows_unique, report.rows_kept) == (2, 2)
+
+
 def test_row_order_does_not_matter(spark):
     rows = rows_of(spark, [("kyobo", "9", "2024-01-01", f"같은 책 {i % 3}") for i in range(30)])
     a = C.preprocess(rows, KYOBO, AS_OF).collect()
