@@ -137,6 +137,37 @@ def test_common_words_are_not_read_to_their_end():
     assert doc.tolist() == [0, 1, 2, 3] * 2 and score[0] == round(0.81 + 0.001, 6) and read == 5 + n
 
 
+def test_a_shard_of_one_document_comes_to_an_end():
+    """All words of the question stay open, as one document can't fill the k best."""
+    row = {"ids": np.array([7]).tobytes(), "counts": np.array([1, 1], "<u4").tobytes(), "docs": np.zeros(2, "<u4").tobytes()}
+    lists = postings.Lists(row | {"weights": np.array([0.6, 0.8]).tobytes()})
+    of, doc, score, _ = lists.best(np.array([0, 0]), np.array([0, 1]), np.array([0.8, 0.6]), 1, 4)
+    assert (of.tolist(), doc.tolist(), score.tolist()) == ([0], [0], [0.96])
+
+
+def test_a_floor_leaves_out_only_what_scores_less():
+    docs = np.arange(6, dtype="<u4")
+    row = {"ids": np.arange(6).tobytes(), "counts": np.array([6], "<u4").tobytes(), "docs": docs.tobytes()}
+    lists = postings.Lists(row | {"weights": np.linspace(0.1, 0.6, 6).tobytes()})
+    of, doc, score, read = lists.best(np.array([0, 1]), np.array([0, 0]), np.ones(2), 2, 4, np.array([0.5, 0.7]))
+    assert (of.tolist(), doc.tolist(), read) == ([0, 0], [5, 4], 6)
+
+
+def test_the_index_is_not_shuffled_to_the_questions(spark, monkeypatch):
+    """Blocks meet the written index where it is; what a task hands on is k rows of each of its questions and parts."""
+    monkeypatch.setattr(postings, "SHARD_WORDS", 50)
+    monkeypatch.setattr(postings, "BLOCK", 10)
+    frame = type(spark.range(0))
+    plans, plain = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: plans.append(self) or plain(self, *a, **b))
+    texts = spark.createDataFrame([(i, f"word{i % 40} common more") for i in range(300)], "id long, text string")
+    found = retrieve.nearest_terms(texts.where("id < 60"), texts, "id", "id")
+    whole = plans[-1]._jdf.queryExecution().executedPlan().toString()
+    index_side = whole[: whole.index("MapInArrow")]
+    assert "weights" in index_side and "Exchange" not in index_side and "Generate" not in whole[: whole.index("Exchange")]
+    assert found.count() == 240
+
+
 def test_embed_hook_and_index_reuse(spark, tmp_path):
     docs = spark.createDataFrame([(1, "aa"), (2, "bbb")], "doc_id long, page_content string")
     built = []
