@@ -146,3 +146,24 @@ def test_maps_hold_every_weight(spark):
     assert {i: len(m) for i, m in maps.items()} == {i: sum(k[0] == i for k in long) for i in range(3)}
     # "a1. a1" loses its dot and its blank to one underscore each.
     assert set(maps[0]) == {"a1", "a1_2", "b2", "a1__a1", "a1_b2"}
+
+
+def test_terms_that_are_not_kept_never_become_rows(spark):
+    """Weights are made from a row's token list at once: no list is exploded, and nothing is grouped by row."""
+    plan = T.tfidf_rows(frame(spark, TEXTS), YES24)._jdf.queryExecution().analyzed().toString().split("scalar-subquery")[0]
+    assert "Generate" not in plan and "Aggregate" not in plan.split("MapInArrow")[0]
+
+
+def test_slices_hold_whole_rows_and_every_term(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "SLICE", 3)
+    words = [["a1", "b2"], None, [], ["c3", "d4", "e5", "f6"], ["a1"], ["b2", "b2"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "x", "x", "x", "y", "x"]), pa.array(words, pa.list_(pa.string()))], names=["site", "_words"])
+    got, slices = [], 0
+    for site, rows, of, terms in T._slices(batch, {"x"}):
+        slices += 1
+        got += [(site, rows[i].item(), t) for i, t in zip(of, terms.to_pylist(), strict=True)]
+    assert slices > 2
+    every = {0: ["a1", "b2", "a1 b2"], 3: ["c3", "d4", "e5", "f6", "c3 d4", "d4 e5", "e5 f6"], 5: ["b2", "b2", "b2 b2"]}
+    assert sorted(got) == sorted([("x", r, t) for r, ts in every.items() for t in ts] + [("y", 4, "a1")])
