@@ -55,6 +55,7 @@ SHARDS = "part long, shard long, ids long, docs long, payload binary"
 class Settings:
     shard_ids: int = 1 << 20
     least: int = 24
+    keep: int = 2_000_000  # chunks a worker remembers
 
 
 class Grammar(NamedTuple):
@@ -65,13 +66,29 @@ class Grammar(NamedTuple):
     starts: np.ndarray
 
 
-def _frequent(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the codes that occur at least ``least`` times, sorted; which entries may be one of them)."""
+def _frequent(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes that occur at least ``least`` times, sorted; entries that are one of them; which one each of these is)."""
     # Counts by a hash bound the true ones from above, so few codes have to be sorted.
-    slot = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    hashed = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    slot = hashed(codes)
     maybe = np.flatnonzero((np.bincount(slot, minlength=1 << 20) >= least)[slot])
-    some, n = np.unique(codes[maybe], return_counts=True)
-    return some[n >= least], maybe
+    slot, codes = slot[maybe], codes[maybe]
+    some, n = np.unique(codes, return_counts=True)
+    found = some[n >= least]
+    if not len(found):
+        return found, maybe[:0], maybe[:0]
+    # A slot names one of its codes; the others that share it are searched for.
+    place, number = hashed(found), np.arange(len(found))
+    name = np.zeros(1 << 20, np.int64)
+    name[place] = number
+    which = name[slot]
+    hit = found[which] == codes
+    shared = np.zeros(1 << 20, bool)
+    shared[place[name[place] != number]] = True
+    rest = np.flatnonzero(shared[slot] & ~hit)
+    which[rest] = np.minimum(np.searchsorted(found, codes[rest]), len(found) - 1)
+    hit[rest] = found[which[rest]] == codes[rest]
+    return found, maybe[hit], which[hit]
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, s: Settings = Settings()) -> Grammar:
@@ -82,16 +99,16 @@ def compress(ids: np.ndarray, starts: np.ndarray, s: Settings = Settings()) -> G
         last[np.append(starts[1:], len(symbols)) - 1] = True
     left, right, lengths = [], [], []
     size = np.ones(ALPHABET, np.int64)
+    fresh = 0
     while len(symbols) > 1:
-        inner = np.flatnonzero(~last[:-1])
+        # A pair of older symbols was rarer than that a round ago, and only gets rarer.
+        new = symbols >= fresh
+        inner = np.flatnonzero((new[:-1] | new[1:]) & ~last[:-1])
         codes = (symbols[inner].astype(np.uint64) << np.uint64(32)) | symbols[inner + 1]
-        pairs, maybe = _frequent(codes, s.least)
+        pairs, hit, rule = _frequent(codes, s.least)
         if not len(pairs):
             break
-        at, codes = inner[maybe], codes[maybe]
-        rule = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
-        hit = pairs[rule] == codes
-        at, rule = at[hit], rule[hit]
+        at = inner[hit]
         # In a run of places one after the other, every second one is taken.
         begins = np.ones(len(at), bool)
         begins[1:] = at[1:] != at[:-1] + 1
@@ -102,7 +119,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, s: Settings = Settings()) -> G
         keep = used >= 2
         if not keep.any():
             break
-        number = np.cumsum(keep) - 1 + len(size)
+        fresh = len(size)
+        number = np.cumsum(keep) - 1 + fresh
         at, rule = at[keep[rule]], rule[keep[rule]]
         chosen = pairs[keep]
         a, b = (chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)
@@ -215,7 +233,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, s: Settings = S
     path = path or K.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = K.encoder(path), TaskContext.get().partitionId()
+        encoder, part = K.encoder(path, s.keep), TaskContext.get().partitionId()
         keys: list[int] = []
         parts: list[np.ndarray] = []
         sizes: list[int] = []

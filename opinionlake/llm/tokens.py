@@ -5,7 +5,8 @@ characters, and never joins anything over such a place. So a text's ids are
 those of its chunks between these places, one after the other, and a chunk that
 was met before need not be encoded again. Chunks are found with numpy in the
 bytes of a block of texts, told apart by a 64-bit hash, and only new ones go to
-the tokenizer. A worker keeps what it has encoded, up to ``KEEP`` chunks.
+the tokenizer. A worker keeps what it has encoded, up to ``KEEP`` chunks or as
+many as it is told.
 """
 
 from __future__ import annotations
@@ -66,8 +67,8 @@ def _tokenizer(path: str):
 class Encoder:
     """Ids of texts, with a bounded memory of encoded chunks."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, keep: int | None = None) -> None:
+        self.path, self.keep = path, keep or KEEP
         self._clear()
 
     def _clear(self) -> None:
@@ -110,8 +111,9 @@ class Encoder:
             known |= hit
         return known, place, length
 
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        if len(self.stores[0][0]) + len(self.stores[1][0]) + len(keys) > KEEP:
+    def _learn(self, keys: np.ndarray, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(place, length) of the new keys."""
+        if len(self.stores[0][0]) + len(self.stores[1][0]) + len(keys) > self.keep:
             self._clear()
         new, n = self._encode_new(chunks)
         while self.used + len(new) > len(self.flat):
@@ -127,6 +129,7 @@ class Encoder:
         if not merge:
             none = np.zeros(0, np.int64)
             self.stores[1] = [np.zeros(0, np.uint64), none, none]
+        return place, n
 
     def block(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments, ids per segment)."""
@@ -139,22 +142,28 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(block.rows), np.int64)
         ends = np.append(starts[1:], len(data))
         hashes = B.range_hash(B.prefix_sums(data), starts, ends) + (ends - starts).astype(np.uint64)
-        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        # As np.unique would, but any place of a chunk will do, so the sort need not be stable.
+        order = np.argsort(hashes)
+        in_order = hashes[order]
+        edge = np.ones(len(order), bool)
+        edge[1:] = in_order[1:] != in_order[:-1]
+        keys, first = in_order[edge], order[edge]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(edge) - 1
         known, place, length = self._find(keys)
         if not known.all():
             new = np.flatnonzero(~known)
             raw = data.tobytes()
             at = first[new]
             chunks = [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            cleared = len(self.stores[0][0]) + len(self.stores[1][0]) + len(new) > KEEP
+            cleared = len(self.stores[0][0]) + len(self.stores[1][0]) + len(new) > self.keep
             if cleared:
                 # The memory starts anew, with all chunks of this block.
                 self._clear()
                 at = first
                 new = np.arange(len(keys))
                 chunks = [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            self._learn(keys[new], chunks)
-            known, place, length = self._find(keys)
+            place[new], length[new] = self._learn(keys[new], chunks)
         n = length[back]
         total = np.cumsum(n)
         at = np.arange(int(total[-1])) + np.repeat(place[back] - (total - n), n)
@@ -181,9 +190,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int | None = None) -> Encoder:
     """The encoder of this worker for a vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, keep)
 
 
 def default_path() -> str:

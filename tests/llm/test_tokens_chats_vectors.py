@@ -98,6 +98,37 @@ def test_packing_odd_rows(odd, none):
 # --- token output -------------------------------------------------------------
 
 
+def test_later_rounds_look_at_new_symbols_only(monkeypatch):
+    rounds, frequent = [], token_output._frequent
+    monkeypatch.setattr(token_output, "_frequent", lambda codes, least: (rounds.append(codes), frequent(codes, least))[1])
+    words = np.random.default_rng(5).integers(1, 300, (400, 4))
+    ids = words[np.random.default_rng(6).integers(0, 400, 9000)].ravel().astype(np.uint32)
+    ids[::7] = np.random.default_rng(7).integers(300, 50_000, len(ids[::7]))
+    g = token_output.compress(ids, np.arange(0, len(ids), 90), token_output.Settings(least=6))
+    assert (token_output.expand(g, g.symbols) == ids).all() and len(rounds) > 2
+    new = [(c >> np.uint64(32) >= token_output.ALPHABET) | (c & np.uint64(0xFFFFFFFF) >= token_output.ALPHABET) for c in rounds[1:]]
+    assert all(n.all() for n in new)
+
+
+def test_frequent_codes_that_share_a_slot():
+    codes = np.random.default_rng(3).integers(0, 1 << 62, 30_000).astype(np.uint64)
+    times = np.random.default_rng(4).integers(1, 9, len(codes))
+    line = np.random.default_rng(5).permutation(np.repeat(codes, times))
+    found, at, which = token_output._frequent(line, 5)
+    assert found.tolist() == sorted(codes[times >= 5].tolist())
+    assert (found[which] == line[at]).all() and at.tolist() == np.flatnonzero(np.isin(line, found)).tolist()
+
+
+def test_a_block_is_looked_up_once(monkeypatch):
+    looked, find = [], tokens.Encoder._find
+    monkeypatch.setattr(tokens.Encoder, "_find", lambda self, keys: (looked.append(len(keys)), find(self, keys))[1])
+    encoder = tokens.Encoder(tokens.default_path(), 30)
+    for text in ("a few new words", "a few more new words", " ".join(f"w{i}" for i in range(40))):
+        _, ids, _ = next(encoder.column(pa.array([text])))
+        assert ids.tolist() == plain_ids(text)[:-1]
+    assert len(looked) == 3
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_grammar_round_trip(seed):
     rng = np.random.default_rng(seed)
