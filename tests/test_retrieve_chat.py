@@ -36,6 +36,49 @@ def test_nearest_equals_brute_force(spark, monkeypatch, block_bytes, metric):
     assert all(abs(abs(r.score) - abs(cost[r.query_id, r.doc_id])) < 1e-6 for r in got)
 
 
+def test_questions_of_a_task_leave_it_in_one_pack(spark, monkeypatch):
+    """However many packs they came in, so the packs for the far cells don't get smaller and more with the questions."""
+    small_blocks(monkeypatch, 8 << 20)
+    monkeypatch.setattr(neighbours, "PAIRS", 5)
+    m = np.random.default_rng(11).normal(size=(600, 8)).astype(np.float32)
+    asked, corpus = vectors(spark, "query_id", m).repartition(8), vectors(spark, "doc_id", m)
+    packs = neighbours.partitions(asked, corpus, 8, 3, "l2")[1]
+    groups = packs.select("group").distinct().count()
+    assert groups > 10 and packs.count() <= 8 * groups + groups * (groups - 1)
+    got = retrieve.nearest(asked, corpus, 8, 3).collect()
+    cost = ((m[:, None].astype(float) - m[None].astype(float)) ** 2).sum(axis=2).round(6)
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in got) == [
+        (q, n + 1, int(d)) for q in range(600) for n, d in enumerate(np.lexsort((np.arange(600), cost[q]))[:3])
+    ]
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot"])
+@pytest.mark.parametrize("scale", [1e-9, 1e-3, 1, 1e5, 1e11])
+def test_single_precision_leaves_no_pair_out(metric, scale):
+    rng = np.random.default_rng(4)
+    rows = (rng.normal(size=(500, 16)) + rng.normal(size=16) * 30) * scale
+    asked = np.vstack([rows[:20], rows[20:40] * (1 + 1e-7), rng.normal(size=(20, 16)) * scale])
+    square = (rows**2).sum(axis=1).max() if metric == "dot" else None
+    cells = neighbours.Cells(np.zeros((1, 17 if metric == "dot" else 16)), square)
+    cost = cells.cost(asked, rows)
+    least = np.sort(cost, axis=1)[:, 3]
+    q, r = cells.within(asked, cells.single(rows), np.sqrt((rows**2).sum(axis=1).max()), least)
+    found = np.zeros(cost.shape, bool)
+    found[q, r] = True
+    assert found[cost <= least[:, None]].all() and (scale < 1e-5 or found.mean() < 0.9)
+    assert cells.single(rows * (1e16 / scale)) is None
+
+
+def test_nearest_of_vectors_too_large_for_single_precision(spark, monkeypatch):
+    small_blocks(monkeypatch, 8 << 20)
+    m = np.random.default_rng(12).normal(size=(200, 8)) * 1e17
+    one = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "doc_id long, vec array<double>")
+    got = retrieve.nearest(one.withColumnRenamed("doc_id", "query_id"), one, 8, 2).collect()
+    cost = ((m[:, None] - m[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(cost, np.inf)
+    assert {r.query_id: r.doc_id for r in got if r["rank"] == 2} == dict(enumerate(cost.argmin(axis=1).tolist()))
+
+
 def test_nearest_leaves_out_vectors_that_cannot_be_compared(spark):
     rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [0.0, 1.0]), (7, [])]
     corpus = spark.createDataFrame(rows, "doc_id long, vec array<float>")
