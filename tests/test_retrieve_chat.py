@@ -211,6 +211,57 @@ def test_the_index_is_not_shuffled_to_the_questions(spark, monkeypatch):
     assert found.count() == 240
 
 
+def test_a_blocks_questions_come_to_a_task_once(spark, monkeypatch):
+    """Every block meets every shard, but brings its questions with the first shard of a part only."""
+    monkeypatch.setattr(postings, "SHARD_WORDS", 50)
+    monkeypatch.setattr(postings, "BLOCK", 30)
+    frame = type(spark.range(0))
+    plans, plain = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: plans.append(self) or plain(self, *a, **b))
+    texts = spark.createDataFrame([(i, f"word{i % 40} common more") for i in range(300)], "id long, text string")
+    found = retrieve.nearest_terms(texts.where("id < 60"), texts, "id", "id")
+    pairs = plans[-1].select("shard", F.size("query_ids").alias("n"), F.spark_partition_id().alias("task")).collect()
+    shards, tasks = len({r.shard for r in pairs}), len({r.task for r in pairs})
+    brought = sum(r.n for r in pairs if r.n and r.n > 0)
+    assert shards > 20 and tasks < shards and brought * 2 < 60 * shards and brought % 60 == 0
+    assert found.count() == 240
+
+
+def test_alike_documents_share_shards(spark, monkeypatch, tmp_path):
+    """Two kinds of texts that come in turn: hardly a shard holds both, so most questions pass by half of the shards."""
+    monkeypatch.setattr(postings, "SHARD_WORDS", 3000)
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(f"{'ab'[i % 2]}{w}" for w in rng.zipf(1.5, size=30) % 50)) for i in range(1000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(postings, "spread", lambda df, key: df)
+    shards = postings.build(docs, "doc_id", "text", str(tmp_path / "ix"))[0].collect()
+    sides = [{int(i) % 2 for i in np.frombuffer(r.ids, "<i8")} for r in shards]
+    assert sum(len(r.ids) // 8 for r in shards) == 1000 and len(sides) > 8
+    assert sum(len(s) == 1 for s in sides) > 0.8 * len(sides)
+
+
+def test_single_precision_leaves_nothing_out():
+    """Scores that differ by less than single precision tells apart: the best of them, and ties by id, come out exactly."""
+    rng = np.random.default_rng(8)
+    n, words = 3000, 40
+    table = rng.random((words, n)) * (rng.random((words, n)) < np.linspace(0.01, 0.9, words)[:, None])
+    table[:, 1000:2000] = table[:, :1000] * (1 + 1e-7 * rng.random((words, 1000)))
+    table /= np.maximum(np.sqrt((table * table).sum(axis=0)), 1e-9)
+    place, docs = np.nonzero(table)
+    counts = np.bincount(place, minlength=words).astype("<u4")
+    ids = rng.permutation(n)
+    lists = postings.Lists({"ids": ids.tobytes(), "counts": counts.tobytes(), "docs": docs.astype("<u4").tobytes(), "weights": table[place, docs].tobytes()})
+    asked = rng.random((60, words)) * (rng.random((60, words)) < 0.3)
+    asked /= np.sqrt((asked * asked).sum(axis=1, keepdims=True))
+    q, p = np.nonzero(asked)
+    scores = (asked @ table).round(postings.DIGITS)
+    order = np.stack([np.lexsort((ids, -s))[:4] for s in scores])
+    for floor in (0.0, scores[np.arange(60), order[:, 3]]):
+        of, doc, score, _ = lists.best(q, p, asked[q, p], 60, 4, floor)
+        assert of.tolist() == np.repeat(np.arange(60), 4).tolist() and doc.tolist() == order.ravel().tolist()
+        assert np.abs(score - scores[of, doc]).max() < 1.5 * 10.0**-postings.DIGITS
+
+
 def test_embed_hook_and_index_reuse(spark, tmp_path):
     docs = spark.createDataFrame([(1, "aa"), (2, "bbb")], "doc_id long, page_content string")
     built = []
