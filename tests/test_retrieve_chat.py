@@ -240,6 +240,15 @@ def test_alike_documents_share_shards(spark, monkeypatch, tmp_path):
     assert sum(len(s) == 1 for s in sides) > 0.8 * len(sides)
 
 
+def test_products_of_a_task_take_one_thread(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "environment", {})
+    monkeypatch.delenv("OMP_NUM_THREADS", raising=False)
+    texts = spark.createDataFrame([(1, "word more")], "id long, text string")
+    assert retrieve.nearest_terms(texts, texts, "id", "id").count() == 1
+    told = spark.range(1).mapInPandas(lambda b: (x.assign(id=int(__import__("os").environ["OMP_NUM_THREADS"])) for x in b), "id long")
+    assert told.first().id == 1
+
+
 def test_single_precision_leaves_nothing_out():
     """Scores that differ by less than single precision tells apart: the best of them, and ties by id, come out exactly."""
     rng = np.random.default_rng(8)
