@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from opinionlake.operators import chat, neighbours, postings, retrieve
 from opinionlake.plans import pipeline
+from opinionlake.plans.catalog import QUERIES
 from opinionlake.profiles import NO_HITS_MESSAGE, SUBJECT_MISSING_MESSAGE
 from opinionlake.sources import files, index
+from opinionlake.sources.samples import SCHEMAS
 
 
 def vectors(spark, name, m):
@@ -240,13 +242,26 @@ def test_alike_documents_share_shards(spark, monkeypatch, tmp_path):
     assert sum(len(s) == 1 for s in sides) > 0.8 * len(sides)
 
 
-def test_products_of_a_task_take_one_thread(spark, monkeypatch):
-    monkeypatch.setattr(spark.sparkContext, "environment", {})
-    monkeypatch.delenv("OMP_NUM_THREADS", raising=False)
-    texts = spark.createDataFrame([(1, "word more")], "id long, text string")
-    assert retrieve.nearest_terms(texts, texts, "id", "id").count() == 1
-    told = spark.range(1).mapInPandas(lambda b: (x.assign(id=int(__import__("os").environ["OMP_NUM_THREADS"])) for x in b), "id long")
-    assert told.first().id == 1
+@pytest.mark.parametrize("name", ["lexical_topk", "rag_context"])
+def test_queries_bring_each_question_once_a_part(spark, monkeypatch, tmp_path, name):
+    texts = [(i, f"word{i} some{i % 7} common", "en", "web", 9) for i in range(200)]
+    tables = {
+        "documents": spark.createDataFrame(texts, SCHEMAS["documents"]),
+        "conversations": spark.createDataFrame([(i, 0, "user", f"word{i} some{i % 5}") for i in range(50)], SCHEMAS["conversations"]),
+        "events": spark.range(200).selectExpr("id AS event_id", "timestamp_ntz'2020-01-01' AS ts", "id AS user_id", "'a' AS event_type", "3.0D AS value", "'' AS props"),
+        "orders": spark.range(200).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "1.0D AS o_totalprice", "timestamp_ntz'1995-03-04' AS o_orderdate", "'1' AS o_orderpriority"),
+    }
+    for table, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+    monkeypatch.setattr(postings, "SHARD_WORDS", 12)
+    frame = type(spark.range(0))
+    plans, plain = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: plans.append(self) or plain(self, *a, **b))
+    result = QUERIES[name](spark, str(tmp_path)).collect()
+    pairs = plans[-1].select(F.size("query_ids").alias("n"), F.spark_partition_id().alias("task")).collect()
+    tasks = len({r.task for r in pairs})
+    assert len(pairs) > 2 * tasks and sum(r.n > 0 for r in pairs if r.n is not None) == tasks
+    assert len({r.query_id for r in result}) == 50
 
 
 def test_single_precision_leaves_nothing_out():
